@@ -4,24 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm import sql
+from tallyloom.llm.media import media_features, store_media
+from tallyloom.llm.mixing import mix
 from tallyloom.llm.neardup import near_duplicates
+from tallyloom.llm.scratch import Scratch
+from tallyloom.llm.sharding import shard_by_bytes
+from tallyloom.llm.urlfilter import filter_urls
+from tallyloom.llm.warc import read_records, write_archives
+
+SHARDS = 8
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(_table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return read_records(index, index.archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(Scratch(spark, "media").keep(store_media(_table(spark, sf_dir, "documents")), "png"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_warc": op4_warc,
+    "op7_media": op7_media,
+    "op8_mixing": op8_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
+    "op4_warc": sql.WARC,
+    "op10_url_filter": sql.URL_FILTER,
 }

@@ -1,13 +1,13 @@
 """DuckDB SQL for the rows of those queries that SQL can express."""
 
 _GAP = r"'[ \t\n\x0B\f\r]+'"
-_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_GAP}), x -> x <> '')"
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_GAP}), lambda x: x <> '')"
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
@@ -18,3 +18,26 @@ least AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
 SELECT d AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d = c AS kept
 FROM least LEFT JOIN sizes ON sizes.doc_id = d
 """
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS m FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN m IS NULL OR m IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m IS DISTINCT FROM page_id THEN m END AS refers_to
+FROM f
+"""
+
+URL_FILTER = r"""
+WITH s AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS u FROM pages),
+h AS (SELECT page_id, regexp_extract(u, '^[^/?#]*') AS a, u FROM s),
+p AS (
+  SELECT page_id, translate(a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u[length(a) + 1:], '^[^?#]*') AS path FROM h),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, length(rules.p) DESC) AS k, h || rules.p AS rule, verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p))
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND k = 1
+"""
