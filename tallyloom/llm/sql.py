@@ -41,3 +41,15 @@ fit AS (
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p))
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND k = 1
 """
+
+_LOWER = f"list_filter(regexp_split_to_array(lower(text), {_GAP}), lambda x: x <> '')"
+_SHINGLES = """unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT DISTINCT doc_id, {_SHINGLES} FROM (SELECT doc_id, {_LOWER} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+i AS (SELECT DISTINCT item_id, {_SHINGLES} FROM (SELECT item_id, {_LOWER} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL)),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
