@@ -43,14 +43,17 @@ def _rows(table: DataFrame, key: str) -> DataFrame:
 
 
 def _texts(table: DataFrame, key: str) -> DataFrame:
-    """(key, s): the shingles of each row as texts."""
-    return _rows(table, key).select(key, _words(F.col("text")).alias("w")).select(key, F.explode(_shingles("w", "array_join({}, ' ')")).alias("s"))
+    """(key, s): the shingles of each row as texts.
+
+    explode_outer here and below: of explode Spark would infer a filter on the array and work out the words once for each shingle in it.
+    """
+    return _rows(table, key).select(key, _words(F.col("text")).alias("w")).select(key, F.explode_outer(_shingles("w", "array_join({}, ' ')")).alias("s")).filter("s is not null")
 
 
 def _hashes(table: DataFrame, key: str) -> DataFrame:
     """(key, n, h): the shingles of each row as hashes; n: how many the row has, repeats counted."""
     hashed = _rows(table, key).select(key, _words(F.col("text")).alias("w")).select(key, _shingles("w", "xxhash64({})").alias("hs"))
-    return hashed.select(key, F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    return hashed.select(key, F.size("hs").alias("n"), F.explode_outer("hs").alias("h")).filter("h is not null")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
