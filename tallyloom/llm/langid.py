@@ -31,22 +31,22 @@ TEMPER = 0.25
 LEAST = 0.5
 PSEUDO = 2.0
 UNKNOWN_PRIOR = 1e-3
+UNSEEN = 0.02  # of a language's trigrams are as likely as those of "und"
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every trigram that holds a letter, in turn, and for each text the number of those before it. Letters: a-z, A-Z lower-cased, and all bytes of other than ASCII characters; all else is one kind of gap."""
-    if len(data) < 3:
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    """Bucket of every trigram that holds a letter, in turn, and for each text the number of those before it. Letters: a-z, A-Z lower-cased, and all bytes of other than ASCII characters; all else, and what lies before and after a text, is one kind of gap."""
+    texts = len(offsets) - 1
     low = data | np.where((data - np.uint8(65)) < 26, np.uint8(32), np.uint8(0))
-    letter = ((low - np.uint8(97)) < 26) | (data > 127)
-    code = np.where(letter, low, np.uint8(32)).astype(np.uint32)
+    code = np.full(len(data) + texts + 1, 32, np.uint32)
+    code[np.arange(len(data)) + np.repeat(np.arange(1, texts + 1), np.diff(offsets))] = np.where(((low - np.uint8(97)) < 26) | (data > 127), low, np.uint8(32))
+    letter = code != 32
     joined = (code[:-2] * np.uint32(0x9E3779B1) + code[1:-1] * np.uint32(0x85EBCA77) + code[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
     good = letter[:-2] | letter[1:-1] | letter[2:]
-    for back in (1, 2):  # not across the end of a text
-        at = offsets[1:-1] - back
-        good[at[(at >= 0) & (at < len(good))]] = False
+    starts = offsets + np.arange(1, texts + 2)  # of the texts in code; the gaps between them lie one before
+    good[starts[1:-1] - 2] = False
     places = np.flatnonzero(good)
-    return (joined[places] >> np.uint32(16)).astype(np.int32), np.searchsorted(places, offsets)
+    return (joined[places] >> np.uint32(16)).astype(np.int32), np.searchsorted(places + 1, starts)
 
 
 def _languages(docs: DataFrame) -> list[str]:
@@ -79,8 +79,9 @@ def fit_text(docs: DataFrame, languages: list[str]) -> np.ndarray:
     table = np.full((BUCKETS, len(languages) + 1), 0.5)  # at most BUCKETS * MAX_LANGUAGES counts
     found = counts.toArrow()
     table[found["bucket"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
-    table[:, -1] = 1
-    return np.log(table / table.sum(axis=0)).astype(np.float32)
+    table = (1 - UNSEEN) * table / table.sum(axis=0) + UNSEEN / BUCKETS
+    table[:, -1] = 1 / BUCKETS
+    return np.log(table).astype(np.float32)
 
 
 def text_likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
