@@ -19,7 +19,7 @@ cannot be named and are left out; texts under one repeated doc_id or item_id cou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm.scratch import Scratch
 
@@ -27,33 +27,33 @@ WORDS = 5
 BROADCAST_ROWS = 500_000
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+def _runs(table: DataFrame, key: str) -> DataFrame:
+    """(key, n, w0 to w4): every run of WORDS words of each row; n: how many there are. Fewer words are one run, filled up with nulls.
 
-
-def _shingles(words: str, make: str) -> Column:
-    """make of each run of WORDS words, of all if they are fewer; nothing without words."""
-    whole = make.format(f"{words}")
-    part = make.format(f"slice({words}, i, {WORDS})")
-    return F.expr(f"case when size({words}) >= {WORDS} then transform(sequence(1, size({words}) - {WORDS - 1}), i -> {part}) when size({words}) > 0 then array({whole}) end")
+    The runs are columns side by side, so that what follows is compiled code. (slice() in a function of the array's
+    elements would copy the array for each; of explode() in place of explode_outer() Spark would infer a filter on the
+    array and work out the words once more for it.)
+    """
+    rows = table.select(F.col(key).cast("long").alias(key), F.lower(F.col("text").cast("string")).alias("text")).filter(f"`{key}` is not null and text is not null")
+    rows = rows.select(key, F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0B\f\r]+").alias("w"))
+    filled = f"case when size(w) >= {WORDS} then w when w[0] <> '' then concat(w, array_repeat(cast(null as string), {WORDS} - size(w))) end"
+    rows = rows.select(key, F.expr(filled).alias("w")).select(key, "w", (F.size("w") - (WORDS - 1)).alias("n"))
+    shifted = F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.col("n")) for k in range(WORDS)))
+    runs = rows.select(key, "n", F.explode_outer(shifted).alias("x"))
+    return runs.select(key, "n", *(F.col("x")[str(k)].alias(f"w{k}") for k in range(WORDS))).filter("w0 is not null")
 
 
-def _rows(table: DataFrame, key: str) -> DataFrame:
-    return table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).filter(f"`{key}` is not null and text is not null")
+_RUN = [f"w{k}" for k in range(WORDS)]
 
 
 def _texts(table: DataFrame, key: str) -> DataFrame:
-    """(key, s): the shingles of each row as texts.
-
-    explode_outer here and below: of explode Spark would infer a filter on the array and work out the words once for each shingle in it.
-    """
-    return _rows(table, key).select(key, _words(F.col("text")).alias("w")).select(key, F.explode_outer(_shingles("w", "array_join({}, ' ')")).alias("s")).filter("s is not null")
+    """(key, s): the shingles of each row as texts."""
+    return _runs(table, key).select(key, F.concat_ws(" ", *_RUN).alias("s"))
 
 
 def _hashes(table: DataFrame, key: str) -> DataFrame:
     """(key, n, h): the shingles of each row as hashes; n: how many the row has, repeats counted."""
-    hashed = _rows(table, key).select(key, _words(F.col("text")).alias("w")).select(key, _shingles("w", "xxhash64({})").alias("hs"))
-    return hashed.select(key, F.size("hs").alias("n"), F.explode_outer("hs").alias("h")).filter("h is not null")
+    return _runs(table, key).select(key, "n", F.xxhash64(*_RUN).alias("h"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
