@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyloom.plans import listing, resolving
+
+_ALL = {**resolving.QUERIES, **listing.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: plan for name, (plan, _) in _ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first registered query."""
-    name = next(iter(QUERIES))
-    return QUERIES[name](spark, sf_dir)
+    """Customers matched against the supplier master: blocked, scored and ranked."""
+    return QUERIES["score_top2_gap"](spark, sf_dir)
