@@ -85,7 +85,7 @@ def fit_text(docs: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def text_likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """The columns of docs but the text, n (trigrams with a letter) and ll, the log-likelihoods by language."""
+    """The columns of docs but the text, n (trigrams with a letter), ll, the tempered log-likelihoods by language, and own, the posteriors by the text alone (all 0 without a letter)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [x for x in docs.columns if x != "text"]
 
@@ -103,12 +103,16 @@ def text_likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
                     sums[some] = np.add.reduceat(table[found], upto[:-1][some], axis=0, dtype=np.float64)
                 n.append(np.diff(upto))
                 ll.append(sums)
-            flat = np.concatenate(ll)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in keep), pa.array(np.concatenate(n)), lists], [*keep, "n", "ll"])
+            count, flat = np.concatenate(n), TEMPER * np.concatenate(ll)
+            prior = np.zeros(flat.shape[1])
+            prior[-1] = np.log(UNKNOWN_PRIOR)
+            own = softmax(flat + prior) * (count > 0)[:, None]
+            at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * flat.shape[1])
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (flat, own)]
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in keep), pa.array(count), *lists], [*keep, "n", "ll", "own"])
 
     kinds = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in keep)
-    return docs.mapInArrow(scored, f"{kinds}, n long, ll array<double>")
+    return docs.mapInArrow(scored, f"{kinds}, n long, ll array<double>, own array<double>")
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:
@@ -116,18 +120,6 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def _posteriors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        k = batch.schema.get_field_index("ll")
-        flat = batch["ll"].flatten().to_numpy(zero_copy_only=False)
-        if len(batch):
-            ll = TEMPER * flat.reshape(len(batch), -1)
-            ll[:, -1] += np.log(UNKNOWN_PRIOR)
-            own = softmax(ll) * (batch["n"].to_numpy() > 0)[:, None]
-            flat = own.ravel()
-        yield batch.set_column(k + 1, "own", pa.ListArray.from_arrays(pa.array(np.linspace(0, len(flat), len(batch) + 1).astype(np.int32)), pa.array(flat)))
-
-
 def _sums(rows: DataFrame, key: str, size: int) -> DataFrame:
     """(key, key_sums): the text posteriors summed by value."""
     sums = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*(F.sum(F.col("own")[i]).alias(f"s{i}") for i in range(size)))
@@ -147,9 +139,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     languages = _languages(rows)
     model = fit_text(rows, languages)
     size = len(languages) + 1
-    scored = text_likelihoods(rows, model).withColumn("own", F.col("ll")).withColumn("domain", registered_domain(F.col("host")))
-    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in scored.schema)
-    scored = scratch.keep(scored.mapInArrow(_posteriors, kinds), "likelihoods")
+    scored = scratch.keep(text_likelihoods(rows, model), "likelihoods").withColumn("domain", registered_domain(F.col("host")))
 
     total = np.array(scored.agg(*(F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(size))).head(), float)
     for key in ("declared", "suffix", "domain", "host"):
@@ -161,7 +151,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
             if not len(batch):
                 continue
             table = lambda x: np.array([row or [0.0] * size for row in batch[x].to_pylist()])
-            own, logs = table("own"), TEMPER * table("ll")
+            own, logs = table("own"), table("ll")
             left = {x: np.maximum(table(f"{x}_sums") - own, 0) for x in ("declared", "suffix", "domain", "host")}
             everywhere = np.maximum(total - own, 0)
             prior = (everywhere + PSEUDO / size) / (everywhere.sum(axis=1, keepdims=True) + PSEUDO)

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +30,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        # whole texts go to Python in batches of this many bytes, however many rows that is
+        if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         atexit.register(self._clear)
 
     def path(self, name: str) -> str:

@@ -1,4 +1,4 @@
-"""Words and five-word shingles of whole texts as 64-bit hashes, a few megabytes of text at a time.
+"""Words and five-word shingles of whole texts as 64-bit hashes, half a megabyte of text at a time.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage return in the
 UTF-8 form, A-Z lower-cased. Equal words have equal hashes in every process.
@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 WORDS = 5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
 _powers: dict[str, np.ndarray] = {}
