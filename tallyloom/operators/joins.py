@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.functions import normalize as N
+from tallyloom.operators.ranking import latest_per_key
+
 BROADCAST_ROWS = 100_000
 
 
@@ -51,6 +54,12 @@ def duplicates_by_any(rows: DataFrame, seen: DataFrame, tests: Sequence[tuple[st
     return out.groupBy(key).agg(F.min_by("reason", "_k").alias("reason"))
 
 
+def latest_sales(sales: DataFrame) -> DataFrame:
+    """The latest row of each normalised order number: _key and the columns of sales (order_no, soldto, at, ordinal)."""
+    keyed = sales.withColumn("_key", N.order_key(F.col("order_no"))).filter("_key <> ''")
+    return latest_per_key(keyed, "_key", "at", "ordinal")
+
+
 def key_variants(code: Column, widths: Sequence[int] = (10, 18)) -> Column:
     """A code as it is, without leading zeros, and filled up with zeros."""
     bare = F.regexp_replace(code, "^0+(?=.)", "")
