@@ -35,3 +35,18 @@ def test_stages(spark, tmp_path):
     assert max(x["count"] for x in copies) <= 3 and {x.doc_id for x in copies} <= {x.doc_id for x in kept.collect()}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, out.select("doc_id", "size", "shard").collect())) == sorted(map(tuple, shard_by_bytes(mixed).select("doc_id", "size", "shard").collect()))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, prose(999, "en", 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, copies int, shard string, h long, size string"
+    rows = [(k, prose(k, "en", 30), "en", None if k % 2 else "s", 1, 5, 6, "x", 7, "y") for k in range(12)] + [(None, prose(77, "en", 20), None, None, None, None, None, None, None, None)] * 2 + [(3, prose(3, "en", 30), "en", None, 1, 5, 6, "x", 7, "y")]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns, name
+            if name == "near-duplicates":
+                assert kept.count() == (0 if docs.isEmpty() else 14)  # the repeated row goes, rows without doc_id stay
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        assert out.count() == kept.count() and (docs.isEmpty() or kept.count() > 0)
