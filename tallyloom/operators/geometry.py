@@ -41,3 +41,32 @@ def nearest_anchor(boxes: DataFrame, anchors: DataFrame, page: list[str], box_id
     near = a.join(b, page).withColumn("distance", distance("a_", "b_"))
     best = near.groupBy(*page, box_id).agg(F.min(F.struct("distance", anchor_id)).alias("x"))
     return best.select(*page, box_id, F.col(f"x.{anchor_id}").alias(anchor_id), F.col("x.distance").alias("distance"))
+
+
+# fixed values: points of an address candidate and of its place on the page
+POSTAL, CITY, STREET, NAME, PAIR, MISMATCH = 25, 20, 25, 10, 15, -35
+NEGATIVE_SHARE, ABOVE_SHARE, COLUMN, OTHER_COLUMN, MOST = 0.65, 0.35, 12, -45, 100
+
+
+def quality(postal: Column, city: Column, street: Column, name: Column, validation: Column) -> Column:
+    """Points for the parts that an address has, and whether its postal code and city fit."""
+    has = lambda c, points: F.when(F.coalesce(F.trim(c) != "", F.lit(False)), points).otherwise(0)
+    pair = F.when(validation.isin("ok", "cedex_ok"), PAIR).when(validation == "ville_incompatible", MISMATCH).otherwise(0)
+    return has(postal, POSTAL) + has(city, CITY) + has(street, STREET) + has(name, NAME) + pair
+
+
+def placed_candidates(candidates: DataFrame, anchors: DataFrame, page: list[str], candidate_id: str) -> DataFrame:
+    """candidates (page, candidate_id, quality, width, height, box) with total: quality, more for the nearest delivery anchor, less for the nearest billing one.
+
+    anchors: page, kind (positive or negative), box. An address above its anchor counts for less; one in the anchor's
+    column for more, in another for less. Pages meet only their own anchors.
+    """
+    a = candidates.select(*page, candidate_id, "quality", "width", "height", *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
+    b = anchors.select(*page, "kind", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
+    near = a.join(b, page, "left").withColumn("near", distance_score(distance("a_", "b_"), F.hypot("width", "height")))
+    near = near.withColumn("near", F.col("near") * F.when(F.col("a_y1") < F.col("b_y0"), ABOVE_SHARE).otherwise(1.0))
+    column = F.when(same_column("a_", "b_", F.col("width")), COLUMN).otherwise(OTHER_COLUMN)
+    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("near", column.alias("column"))))
+    out = near.groupBy(*page, candidate_id, "quality").agg(best("positive").alias("p"), best("negative").alias("n"))
+    total = F.col("quality") + F.coalesce(F.col("p.near") + F.col("p.column"), F.lit(0.0)) - F.floor(NEGATIVE_SHARE * F.coalesce(F.col("n.near"), F.lit(0.0)))
+    return out.select(*page, candidate_id, F.least(F.lit(float(MOST)), F.greatest(F.lit(0.0), total)).alias("total"))

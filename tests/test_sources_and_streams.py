@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.sources import sinks, tables as S
+from tallyloom.sources.pages import read_pages
 from tallyloom.streaming import flows
 
 
@@ -51,3 +52,13 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
     flows.routed(stream.withColumn("decision", F.when(F.col("id") % 2 == 0, "send").otherwise("review")), {"send": f"{tmp_path}/send", "review": f"{tmp_path}/review"}, f"{tmp_path}/c2")
     assert spark.read.parquet(f"{tmp_path}/send").count() + spark.read.parquet(f"{tmp_path}/review").count() == 45
     assert flows.session_counts(rows, "ts", "user", "10 minutes").agg(F.sum("n")).head()[0] == 40
+
+
+def test_pages_by_the_first_reader_that_gives_text(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x" * 100)), ("b", bytearray(b"y"))], "path string, content binary")
+
+    def first(content):
+        raise ValueError("not mine") if content[:1] == b"x" else None
+
+    got = {x.path: (x.page, x.reader, x.error) for x in read_pages(files, [("one", lambda c: [""] if c[:1] == b"y" else first(c)), ("two", lambda c: [c.decode()])]).collect()}
+    assert got["a"] == (1, "two", None) and got["b"][0] is None and "under 80" in got["b"][2]
