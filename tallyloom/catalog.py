@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.plans import documents, listing, resolving
+from tallyloom.plans import documents, listing, resolving, streams
 
-_ALL = {**resolving.QUERIES, **listing.QUERIES, **documents.QUERIES}
+_ALL = {**resolving.QUERIES, **listing.QUERIES, **documents.QUERIES, **streams.QUERIES}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: plan for name, (plan, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
 
