@@ -28,7 +28,11 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tallyloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark = spark
+        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        # with its scheme, so that Python tasks open files in the same store as Spark does
+        base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString()
+        self.root = f"{base}/tallyloom-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
         # whole texts go to Python in batches of this many bytes, however many rows that is
         if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
