@@ -14,7 +14,7 @@ def _rendered(spark, d):
     code = F.concat(F.lit("A"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
     price = F.format_string("%.2f", F.col("l_extendedprice") / F.col("l_quantity"))
     line = F.concat_ws(" ", code, F.lit("spare part"), F.col("l_quantity").cast("int").cast("string"), F.lit("PCE"), price, F.format_string("%.2f", "l_extendedprice"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")).alias("x"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", line.alias("line")).alias("x"))
     texts = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
     return texts.select("l_orderkey", F.concat(F.lit("Article Designation Qte PU Total\n"), F.array_join(F.transform("x", lambda x: x.line), "\n"), F.lit("\nTotal 10,00")).alias("text"))
 
@@ -25,7 +25,7 @@ def order_lines_from_text(spark, d):
     return L.order_lines(_rendered(spark, d), materials, "l_orderkey").select("l_orderkey", "line_number", "article", F.col("quantity").cast("int").alias("quantity"), F.round("total", 2).alias("total"))
 
 
-ORDER_LINES = """WITH f AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey) = 1)
+ORDER_LINES = """WITH f AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) = 1)
 SELECT l_orderkey, (10 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS line_number, 'A' || lpad(l_partkey::VARCHAR, 8, '0') AS article, l_quantity::INT AS quantity, round(l_extendedprice, 2) AS total FROM f"""
 
 
