@@ -29,9 +29,37 @@ def same_column(a: str, b: str, width: Column) -> Column:
     return overlap | (F.abs(centre(a)[0] - centre(b)[0]) <= COLUMN_SHARE * width)
 
 
-def distance_score(d: Column, diagonal: Column, most: float = 70.0) -> Column:
-    """Falls from `most` next to the anchor to 0 a page's diagonal away."""
-    return F.greatest(F.lit(0.0), most * (1 - d / diagonal))
+def distance_score(d: Column, diagonal: Column, most: float = 70.0, reach: float = 0.28) -> Column:
+    """Whole points, from `most` at the anchor to 0 at `reach` of a page's diagonal and beyond."""
+    limit = F.greatest(F.lit(1.0), reach * diagonal)
+    return F.floor(F.greatest(F.lit(0.0), most * (1 - d / limit))).cast("int")
+
+
+def is_below(anchor: str, box: str) -> Column:
+    return F.col(f"{box}y0") >= F.col(f"{anchor}y0") - 5
+
+
+def is_beside(anchor: str, box: str, height: Column) -> Column:
+    """To the right of the anchor and about as high on the page."""
+    return (F.col(f"{box}x0") >= F.col(f"{anchor}x1") - 5) & (F.abs(centre(box)[1] - centre(anchor)[1]) <= 0.06 * height)
+
+
+def position(anchor: str, box: str, height: Column) -> Column:
+    return F.when(is_below(anchor, box), "below").when(is_beside(anchor, box, height), "right").otherwise("above")
+
+
+def relation_score(anchor: str, box: str, width: Column, height: Column, directional: bool = False) -> Column:
+    """Points for a near box, more in the anchor's column, below it or beside it; directional: others count a quarter."""
+    near = distance_score(distance(anchor, box), F.hypot(width, height), 45.0, 0.55) + F.when(same_column(anchor, box, width), 15).otherwise(0)
+    below, beside = is_below(anchor, box), is_beside(anchor, box, height)
+    if directional:
+        near = F.when(below | beside, near).otherwise(F.floor(near * 0.25))
+    return (near + F.when(below, 10).when(beside, 8).otherwise(0)).cast("int")
+
+
+def column_band(box: str, width: Column) -> Column:
+    middle = centre(box)[0]
+    return F.when(middle <= 0.42 * width, "left").when(middle >= 0.58 * width, "right").otherwise("center")
 
 
 def nearest_anchor(boxes: DataFrame, anchors: DataFrame, page: list[str], box_id: str, anchor_id: str) -> DataFrame:
@@ -45,7 +73,8 @@ def nearest_anchor(boxes: DataFrame, anchors: DataFrame, page: list[str], box_id
 
 # fixed values: points of an address candidate and of its place on the page
 POSTAL, CITY, STREET, NAME, PAIR, MISMATCH = 25, 20, 25, 10, 15, -35
-NEGATIVE_SHARE, ABOVE_SHARE, COLUMN, OTHER_COLUMN, MOST = 0.65, 0.35, 12, -45, 100
+NEGATIVE_SHARE, ABOVE_SHARE, COLUMN, OTHER_COLUMN, MOST = 0.65, 0.35, 12, 45, 100
+BLOCK, VOCABULARY, MOST_VOCABULARY, LEAST_MARGIN = 25, 400, 35, 0.01
 
 
 def quality(postal: Column, city: Column, street: Column, name: Column, validation: Column) -> Column:
@@ -55,18 +84,38 @@ def quality(postal: Column, city: Column, street: Column, name: Column, validati
     return has(postal, POSTAL) + has(city, CITY) + has(street, STREET) + has(name, NAME) + pair
 
 
+_BOX = ("x0", "y0", "x1", "y1")
+
+
 def placed_candidates(candidates: DataFrame, anchors: DataFrame, page: list[str], candidate_id: str) -> DataFrame:
-    """candidates (page, candidate_id, quality, width, height, box) with total: quality, more for the nearest delivery anchor, less for the nearest billing one.
+    """(page, candidate_id, total, position) of each candidate.
+
+    candidates: page, candidate_id, quality, width, height, box, and if known block (it was built from a delivery
+    anchor's own block) and margin (how much nearer to delivery words than to billing words, as a share of the page).
+    anchors: page, kind (positive or negative), place (their order; the first of equal ones counts), box.
 
-    anchors: page, kind (positive or negative), box. An address above its anchor counts for less; one in the anchor's
-    column for more, in another for less. Pages meet only their own anchors.
+    The best positive anchor adds its distance score, the best negative one takes a share of its relation score; above
+    the anchor the sum shrinks; blocks, the margin and the column follow. From 0 to MOST. Null block or margin: none.
     """
-    a = candidates.select(*page, candidate_id, "quality", "width", "height", *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = anchors.select(*page, "kind", *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
-    near = a.join(b, page, "left").withColumn("near", distance_score(distance("a_", "b_"), F.hypot("width", "height")))
-    near = near.withColumn("near", F.col("near") * F.when(F.col("a_y1") < F.col("b_y0"), ABOVE_SHARE).otherwise(1.0))
-    column = F.when(same_column("a_", "b_", F.col("width")), COLUMN).otherwise(OTHER_COLUMN)
-    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("near", column.alias("column"))))
-    out = near.groupBy(*page, candidate_id, "quality").agg(best("positive").alias("p"), best("negative").alias("n"))
-    total = F.col("quality") + F.coalesce(F.col("p.near") + F.col("p.column"), F.lit(0.0)) - F.floor(NEGATIVE_SHARE * F.coalesce(F.col("n.near"), F.lit(0.0)))
-    return out.select(*page, candidate_id, F.least(F.lit(float(MOST)), F.greatest(F.lit(0.0), total)).alias("total"))
+    for name, kind in (("block", "boolean"), ("margin", "double")):
+        if name not in candidates.columns:
+            candidates = candidates.withColumn(name, F.lit(None).cast(kind))
+    own = [*page, candidate_id, "quality", "width", "height", "block", "margin"]
+    a = candidates.select(*own, *(F.col(c).alias(f"a_{c}") for c in _BOX))
+    b = anchors.select(*page, "kind", "place", *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    width, height = F.col("width"), F.col("height")
+    near = a.join(b, page, "left").withColumns({
+        "points": F.when(F.col("kind") == "positive", distance_score(distance("b_", "a_"), F.hypot(width, height))).otherwise(relation_score("b_", "a_", width, height)),
+        "position": position("b_", "a_", height), "band": column_band("b_", width), "own_band": column_band("a_", width), "same": same_column("b_", "a_", width),
+    })
+    best = lambda kind: F.max_by(F.struct("points", "position", "band", "same"), F.when(F.col("kind") == kind, F.struct("points", -F.col("place"))))
+    found = near.groupBy(*own, "own_band").agg(best("positive").alias("p"), best("negative").alias("n"))
+    has_p, has_n = F.col("p").isNotNull(), F.col("n").isNotNull()
+    block = F.coalesce("block", F.lit(False))
+    total = F.greatest(F.lit(0), F.col("quality") + F.coalesce(F.col("p.points"), F.lit(0)) - F.floor(NEGATIVE_SHARE * F.coalesce(F.col("n.points"), F.lit(0))))
+    total = F.when(has_p & (F.col("p.position") == "above"), F.floor(ABOVE_SHARE * total)).otherwise(total)
+    total = total + F.when(block & has_p, BLOCK).otherwise(0)
+    total = total + F.when(F.col("margin") >= LEAST_MARGIN, F.floor(F.least(F.lit(float(MOST_VOCABULARY)), VOCABULARY * F.col("margin")))).otherwise(0)
+    billing = (F.col("p.band") != F.col("n.band")) & (F.col("own_band") == F.col("n.band"))
+    total = F.when(~(has_p & has_n), total).when(block, total + COLUMN).when(billing, F.greatest(F.lit(0), total - OTHER_COLUMN)).when(F.col("p.same"), total + COLUMN).otherwise(total)
+    return found.select(*page, candidate_id, F.least(F.lit(MOST), total).cast("int").alias("total"), F.col("p.position").alias("position"))

@@ -110,8 +110,9 @@ def test_geometry(spark):
 def test_address_candidates_by_place(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     candidates = spark.createDataFrame([(1, "near", 70, 600.0, 800.0, 50.0, 120.0, 150.0, 140.0), (1, "far", 70, 600.0, 800.0, 500.0, 700.0, 590.0, 720.0), (2, "alone", 70, 600.0, 800.0, 0.0, 0.0, 1.0, 1.0)], f"page int, c string, quality int, width double, height double, {box}")
-    anchors = spark.createDataFrame([(1, "positive", 50.0, 100.0, 150.0, 110.0), (1, "negative", 500.0, 690.0, 590.0, 699.0)], f"page int, kind string, {box}")
-    got = {x.c: x.total for x in geometry.placed_candidates(candidates, anchors, ["page"], "c").collect()}
-    assert got["near"] == 100.0 and got["far"] < 20.0 and got["alone"] == 70.0
+    anchors = spark.createDataFrame([(1, "positive", 0, 50.0, 100.0, 150.0, 110.0), (1, "negative", 1, 500.0, 690.0, 590.0, 699.0)], f"page int, kind string, place int, {box}")
+    got = {x.c: (x.total, x.position) for x in geometry.placed_candidates(candidates, anchors, ["page"], "c").collect()}
+    # near: 70 + 64 of 70 at 25 of 280 points' distance - 0, and 12 for the column; far: 70 + 0 - 65 % of 43 + 15 + 10, then - 45
+    assert got == {"near": (100, "below"), "far": (0, "below"), "alone": (70, None)}
     rows = spark.createDataFrame([("31770", "COLOMIERS", "RUE", "X", "ok"), ("31770", None, "", "X", "ville_incompatible")], "p string, c string, s string, n string, v string")
     assert [x[0] for x in rows.select(geometry.quality(*map(F.col, "pcsnv"))).collect()] == [95, 0]
