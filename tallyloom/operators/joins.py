@@ -87,22 +87,29 @@ def full_outer_newest(left: DataFrame, right: DataFrame, key: str, at: str) -> D
 def token_matches(left: DataFrame, right: DataFrame, left_id: str, left_tokens: str, right_id: str, right_tokens: str, least: float) -> DataFrame:
     """(left_id, right_id, common, jaccard) of pairs with 100 * Jaccard of at least `least`.
 
-    By way of an inverted index on the rarest tokens (prefix filter): two sets of that similarity have one of their first
-    n - ceil(least / 100 * n) + 1 tokens, rarest first, in common. Common words never make pairs of their own.
+    Ids are unique, tokens distinct. By way of an inverted index on the rarest tokens (prefix filter): two sets of that
+    similarity have one of their first n - ceil(least / 100 * n) + 1 tokens, rarest first, in common. Where a pair meets
+    at its rarest common token, what follows in both sets bounds all that they can share; the few pairs that could have
+    enough are judged there, so that neither candidates nor pairs are shuffled again. Tokens are compared as 64-bit hashes.
     """
-    a = left.select(F.col(left_id).alias("_a"), F.col(left_tokens).alias("_ta")).filter(F.size("_ta") > 0)
-    b = right.select(F.col(right_id).alias("_b"), F.col(right_tokens).alias("_tb")).filter(F.size("_tb") > 0)
-    often = a.select(F.explode("_ta").alias("t")).unionAll(b.select(F.explode("_tb"))).groupBy("t").agg(F.count("*").alias("n"))
+    hashed = lambda side, key, words: side.select(F.col(key), F.transform(words, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
+    a, b = hashed(left, left_id, left_tokens), hashed(right, right_id, right_tokens)
+    often = a.select(F.explode("w").alias("t")).unionAll(b.select(F.explode("w"))).groupBy("t").agg(F.count("*").alias("n"))
     share = least / 100.0
 
-    def prefix(side: DataFrame, key: str, words: str) -> DataFrame:
-        ranked = side.select(key, F.explode(words).alias("t")).join(often, "t").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("w"))
-        length = F.size("w") - F.ceil(F.size("w") * share - 1e-9).cast("int") + 1
-        return ranked.select(key, F.explode(F.slice("w", F.lit(1), length)).alias("x")).select(key, F.col("x.t").alias("t"))
-
-    pairs = prefix(a, "_a", "_ta").join(prefix(b, "_b", "_tb"), "t").select("_a", "_b").distinct()
-    scored = pairs.join(a, "_a").join(b, "_b").withColumn("common", F.size(F.array_intersect("_ta", "_tb")))
-    scored = scored.withColumn("jaccard", 100.0 * F.col("common") / (F.size("_ta") + F.size("_tb") - F.col("common"))).filter(F.col("jaccard") >= least)
+    def prefix(side: DataFrame, key: str, name: str) -> DataFrame:
+        """The key, t, its place, and the whole set, rarest first."""
+        ranked = side.select(F.col(key).alias(name), F.explode("w").alias("t")).join(often, "t").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("w"))
+        ranked = ranked.select(name, F.transform("w", lambda x: x.t).alias(f"{name}w"), F.size("w").alias(f"{name}n"))
+        length = F.col(f"{name}n") - F.ceil(F.col(f"{name}n") * share - 1e-9).cast("int") + 1
+        return ranked.select(name, f"{name}w", f"{name}n", F.posexplode(F.slice(f"{name}w", F.lit(1), length)).alias(f"{name}i", "t"))
+
+    n_a, n_b = F.col("_an"), F.col("_bn")
+    needed = share / (1 + share) * (n_a + n_b) - 1e-9
+    pairs = prefix(a, left_id, "_a").join(prefix(b, right_id, "_b"), "t").filter(F.least(n_a - F.col("_ai"), n_b - F.col("_bi")) >= needed)
+    both = F.array_intersect("_aw", "_bw")
+    scored = pairs.withColumn("both", both).withColumn("common", F.size("both")).withColumn("jaccard", 100.0 * F.col("common") / (n_a + n_b - F.col("common")))
+    scored = scored.filter(F.col("jaccard") >= least).filter(F.element_at("both", 1) == F.col("t"))
     return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), "common", "jaccard")
 
 
