@@ -8,8 +8,7 @@ document may be of any length. Only DataFrame functions are used.
    of n shingles in a document with three quarters of them can lack at most floor(n / 4) of its sketch, so k_c -
    floor(n / 4), at least one, must be there: the search loses nothing, whatever the document's length.
 2. Each document's shingle hashes stream past the sketches, which are broadcast if they are at most BROADCAST_ROWS, and
-   joined by shuffle otherwise. Documents too small to hold an item of a class are not counted for it. Pairs of
-   document and item with enough sketch hashes are candidates.
+   joined by shuffle otherwise. Pairs of document and item with enough sketch hashes are candidates.
 3. The shingles of candidate documents, as texts, are counted against the whole sets of their items.
 
 Words are runs of other than ASCII white space, in lower case. A text of one to four words is one shingle. Defined
@@ -28,7 +27,7 @@ BROADCAST_ROWS = 500_000
 
 
 def _runs(table: DataFrame, key: str) -> DataFrame:
-    """(key, n, w0 to w4): every run of WORDS words of each row; n: how many there are. Fewer words are one run, filled up with nulls.
+    """(key, w0 to w4): every run of WORDS words of each row. Fewer words are one run, filled up with nulls.
 
     The runs are columns side by side, so that what follows is compiled code. (slice() in a function of the array's
     elements would copy the array for each; of explode() in place of explode_outer() Spark would infer a filter on the
@@ -39,8 +38,8 @@ def _runs(table: DataFrame, key: str) -> DataFrame:
     filled = f"case when size(w) >= {WORDS} then w when w[0] <> '' then concat(w, array_repeat(cast(null as string), {WORDS} - size(w))) end"
     rows = rows.select(key, F.expr(filled).alias("w")).select(key, "w", (F.size("w") - (WORDS - 1)).alias("n"))
     shifted = F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.col("n")) for k in range(WORDS)))
-    runs = rows.select(key, "n", F.explode_outer(shifted).alias("x"))
-    return runs.select(key, "n", *(F.col("x")[str(k)].alias(f"w{k}") for k in range(WORDS))).filter("w0 is not null")
+    runs = rows.select(key, F.explode_outer(shifted).alias("x"))
+    return runs.select(key, *(F.col("x")[str(k)].alias(f"w{k}") for k in range(WORDS))).filter("w0 is not null")
 
 
 _RUN = [f"w{k}" for k in range(WORDS)]
@@ -52,8 +51,8 @@ def _texts(table: DataFrame, key: str) -> DataFrame:
 
 
 def _hashes(table: DataFrame, key: str) -> DataFrame:
-    """(key, n, h): the shingles of each row as hashes; n: how many the row has, repeats counted."""
-    return _runs(table, key).select(key, "n", F.xxhash64(*_RUN).alias("h"))
+    """(key, h): the shingles of each row as hashes."""
+    return _runs(table, key).select(key, F.xxhash64(*_RUN).alias("h"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -62,7 +61,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def sketches(items: DataFrame) -> DataFrame:
     """(item_id, h, n_item, needed): the sketch hashes of each item, its size, and how many of them a document must have."""
-    own = _hashes(items, "item_id").select("item_id", "h").distinct()
+    own = _hashes(items, "item_id").distinct()
     # the k least of n: hashes are compared as they are, so that every item draws from one random order
     sets = own.groupBy("item_id").agg(F.sort_array(F.collect_list("h")).alias("hs")).withColumn("n_item", F.size("hs"))
     sets = sets.withColumn("k", F.least("n_item", F.expr("cast(pow(2, floor(log2(n_item)) - 1) as int) + 1")))
@@ -74,7 +73,7 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item (the item's shingles), n_shared (of these in the document), containment of each found pair. docs: doc_id, text; items: item_id, text."""
     scratch = Scratch(docs.sparkSession, "decontam")
     probes = scratch.keep(sketches(items), "sketches")
-    met = _hashes(docs, "doc_id").join(_bounded(probes), "h").filter("4 * n >= 3 * n_item").select("doc_id", "item_id", "h", "needed")
+    met = _hashes(docs, "doc_id").join(_bounded(probes), "h").select("doc_id", "item_id", "h", "needed")
     pairs = met.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("hits"), F.first("needed").alias("needed")).filter("hits >= needed").select("doc_id", "item_id")
     pairs = scratch.keep(pairs, "candidates")
     chosen = docs.join(_bounded(scratch.keep(pairs.select("doc_id").distinct(), "documents")), "doc_id", "left_semi")

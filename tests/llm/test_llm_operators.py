@@ -222,6 +222,9 @@ def test_decontamination_matches_brute_force(spark, rows):
     assert got == want and (50, 1) in want and (6, 5) in want
     assert decontam.find_items(table(spark, []), bench).count() == 0
     assert decontam.find_items(table(spark, rows), bench.limit(0)).count() == 0
+    words = prose(1, 60).split()  # an item whose halves stand in two rows of one doc_id
+    halves = spark.createDataFrame([(1, " ".join(words[:32])), (1, " ".join(words[28:])), (2, " ".join(words[:32]))], "doc_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontam.find_items(halves, bench).collect()] == [(1, 6)]
 
 
 def test_png_filters_and_checksums():
