@@ -6,11 +6,12 @@ weight until none is above.
 
 The mix is cut into equal-token blocks of about total / BLOCKS words. Seats for blocks go to the sources by the highest
 quotients target / (2 k - 1), the k-th seat of a source; the first seats make up the first output shard, the next the
-second, so that each shard has an integer quota of each source (quotas()). A source's documents lie in a seeded order,
-cut at hash values into blocks of about equal words; it passes over all its blocks as often as its target goes in its
-words and then takes blocks in that order up to its quota; the last block is cut before the
-document that would go beyond the target. Whole documents are taken; up to FILLING more, each the largest that there is
-still room for, bring a source close to its target from below.
+second, so that each shard has an integer quota of each source (quotas()). Where many small sources leave one with less
+than the whole blocks of its target, the missing seats are dealt to the shards in turn. A source's documents lie in a
+seeded order, passed over again and again, and cut into blocks of total / BLOCKS words each: the source takes as many
+blocks in turn as its quotas say, whole passes included, and shard after shard its quota of them. The target only trims
+what would go beyond it, or tops up from the one block after the last. Whole documents are taken; up to FILLING more,
+each the largest that there is still room for, bring a source close to its target from below.
 
 Documents are counted and summed by block with partial aggregation; only block sums, never a source's documents, come
 together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
@@ -26,6 +27,7 @@ from tallyloom.llm.scratch import Scratch
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCKS = 4096
+SHARDS = 8
 SEED = 20240611
 FILLING = 5
 MAX_SOURCES = 1_000_000  # their targets are worked out in one task
@@ -74,14 +76,20 @@ def seats(goals: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return offered.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < blocks).select("source", "place")
 
 
-def quotas(goals: DataFrame, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
+def quotas(goals: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """(source, shard, blocks): the integer quota of each source in each of shards output shards."""
     shard = F.floor(F.col("place") * shards / blocks).cast("int")
-    return seats(goals, blocks).withColumn("shard", shard).groupBy("source", "shard").agg(F.count("*").alias("blocks"))
+    dealt = seats(goals, blocks).withColumn("shard", shard).groupBy("source", "shard").agg(F.count("*").alias("blocks"))
+    whole = goals.select("source", F.floor(F.col("target") * blocks / F.sum("target").over(Window.partitionBy())).alias("whole"))
+    had = dealt.groupBy("source").agg(F.sum("blocks").alias("had"))
+    missing = whole.alias("w").join(had.alias("h"), F.expr("w.source <=> h.source"), "left").select("w.source", (F.col("whole") - F.coalesce("had", F.lit(0))).alias("missing")).filter("missing > 0")
+    each = missing.select("source", "missing", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    more = each.select("source", "shard", F.floor((F.col("missing") + (shards - 1) - F.col("shard")) / shards).alias("blocks"))
+    return dealt.union(more).groupBy("source", "shard").agg(F.sum("blocks").alias("blocks")).filter("blocks > 0")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), quota (blocks of its source) of every document."""
+    """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), copies, quota (blocks of its source) and shards (the output shard of each copy) of every document."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"))
     rows = scratch.keep(rows, "sizes")
@@ -95,15 +103,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
 
 
 def _with_quota(goals: DataFrame, blocks: int) -> DataFrame:
-    quota = quotas(goals, blocks=blocks).groupBy("source").agg(F.sum("blocks").alias("quota"))
+    """goals and by_shard: the source's quota in each output shard."""
+    in_shard = lambda k: F.coalesce(F.sum(F.when(F.col("shard") == k, F.col("blocks"))), F.lit(0)).cast("long")
+    quota = quotas(goals, blocks=blocks).groupBy("source").agg(F.array(*map(in_shard, range(SHARDS))).alias("by_shard"))
     joined = goals.alias("g").join(quota.alias("q"), F.expr("g.source <=> q.source"), "left")
-    return joined.select("g.*", F.coalesce("q.quota", F.lit(0)).alias("quota"))
+    return joined.select("g.*", F.coalesce("q.by_shard", F.array_repeat(F.lit(0).cast("long"), SHARDS)).alias("by_shard"))
 
 
 def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: int, scratch: Scratch) -> DataFrame:
     total = goals.agg(F.sum("source_size")).head()[0] or 0
-    step = max(1.0, total / blocks)  # words of a block
-    goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
+    step = max(1.0, total / blocks)  # words of a range of hashes, within which a running sum is taken
+    goals = goals.withColumn("quota", F.aggregate("by_shard", F.lit(0).cast("long"), lambda x, y: x + y))
+    # the quota's blocks, of which the target trims or to which it adds from one block more
+    goals = goals.withColumn("limit", F.least("target", (F.col("quota") + 1) * F.lit(total / blocks)))
+    goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
     small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
     joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.doc_id", "r.size", "g.*")
@@ -115,14 +128,24 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     before = by.select("sid", "block", (F.sum("words").over(Window.partitionBy("sid").orderBy("block")) - F.col("words")).alias("before"))
     own = Window.partitionBy("sid", "block").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = joined.withColumn("upto", F.sum("size").over(own)).join(before, ["sid", "block"])
-    extra = F.col("target") - F.col("passes") * F.col("source_size")
+    extra = F.col("limit") - F.col("passes") * F.col("source_size")
     once_more = F.col("before") + F.col("upto") <= extra
-    placed = scratch.keep(placed.select("doc_id", "size", "sid", "source_size", "target", "quota", "passes", extra.alias("extra"), once_more.alias("once_more")), "placed")
+    placed = scratch.keep(placed.select("doc_id", "size", "sid", "source_size", "target", "quota", "by_shard", "passes", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), extra.alias("extra"), once_more.alias("once_more")), "placed")
     added = _filling(placed, scratch)
     extra_copy = (F.col("once_more") | F.col("added").isNotNull()).cast("long")
     copies = F.least(F.lit(int(most)), F.col("passes") + extra_copy)
     out = placed.join(F.broadcast(added) if added.count() <= 50_000 else added, ["sid", "doc_id", "size"], "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"), F.col("quota").cast("long").alias("quota"))
+    copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
+    out = out.withColumn("copies", copies)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("quota").cast("long").alias("quota"), _shards(total / blocks).alias("shards"))
+
+
+def _shards(width: float) -> Column:
+    """The output shard of each copy: that of the block in which it begins, as the quotas of the source deal its blocks out; what is added beyond them goes with the last."""
+    last = lambda k: F.aggregate(F.slice("by_shard", 1, k + 1), F.lit(0).cast("long"), lambda x, y: x + y)  # noqa: E731  the first block after shard k
+    block = lambda copy: F.least(F.floor((copy * F.col("source_size") + F.col("start")) / F.lit(width or 1.0)), F.col("quota") - 1)
+    shard = lambda copy: F.when(F.col("quota") > 0, sum((block(copy) >= last(k)).cast("int") for k in range(SHARDS - 1))).otherwise(F.pmod("sid", F.lit(SHARDS)).cast("int"))
+    return F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
 
 
 def _filling(placed: DataFrame, scratch: Scratch) -> DataFrame:

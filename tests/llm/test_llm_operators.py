@@ -309,6 +309,34 @@ def test_mix_comes_near_its_targets(spark, rows):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_quotas_decide_what_is_taken(spark):
+    more = [(k, prose(k, 10 + k % 30), "en", f"s{k % 3}") for k in range(900)]
+    rows = table(spark, more).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.col("doc_id").alias("rid"))
+    goals = mixing._with_quota(mixing.targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), 64).cache()
+    width = goals.agg(F.sum("source_size")).head()[0] / 64
+    quota = {x.source: x.by_shard for x in goals.collect()}
+    assert all(len(x) == mixing.SHARDS for x in quota.values()) and sum(map(sum, quota.values())) == 64
+
+    def taken(goals):
+        words, in_shard = Counter(), Counter()
+        for x in mixing._taken(rows, goals, 3, 64, 1, Scratch(spark, "quotas")).collect():
+            assert len(x.shards) == x.copies
+            words[f"s{x.doc_id % 3}"] += x.taken
+            for shard in x.shards:
+                in_shard[f"s{x.doc_id % 3}", shard] += x.size
+        return words, in_shard
+
+    words, in_shard = taken(goals)
+    target = {x.source: x.target for x in goals.collect()}
+    assert all(0 <= target[s] - words[s] <= 10 for s in quota)
+    for s, by_shard in quota.items():  # each output shard has its quota of blocks, to the document, and the last what the target trims
+        assert all(abs(in_shard[s, k] - n * width) <= 40 + (width if k == 7 else 0) for k, n in enumerate(by_shard))
+    halved, _ = taken(goals.withColumn("by_shard", F.transform("by_shard", lambda x: F.floor(x / 2))))
+    for s, by_shard in quota.items():
+        n = sum(x // 2 for x in by_shard)
+        assert n * width - 40 <= halved[s] <= min(target[s], (n + 1) * width) and halved[s] < words[s]
+
+
 def test_exchange_finds_alternating_classes():
     r = random.Random(2)
     line = [w for _ in range(3000) for w in (r.randrange(4), 4 + r.randrange(4))]
