@@ -10,12 +10,14 @@ second, so that each shard has an integer quota of each source (quotas()). Where
 than the whole blocks of its target, the missing seats are dealt to the shards in turn. A source's documents lie in a
 seeded order, passed over again and again, and cut into blocks of total / BLOCKS words each: the source takes as many
 blocks in turn as its quotas say, whole passes included, and shard after shard its quota of them. The target only trims
-what would go beyond it, or tops up from the one block after the last. Whole documents are taken; up to FILLING more,
-each the largest that there is still room for, bring a source close to its target from below.
+what would go beyond it, or tops up from the one block after the last. Whole documents are taken. A document larger
+than the room that is left is passed over, and the rest go on in the seeded order: in each round those of at most half
+the room, as far as their running sum goes, and where there are none the first of those that fit; the room halves or the
+source is done in each, until no untaken document of any source fits (_filling()).
 
 Documents are counted and summed by block with partial aggregation; only block sums, never a source's documents, come
 together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
-a null doc_id or source, and repeated rows, are mixed like others (equal rows alike). No documents, no rows.
+a null doc_id or source, and repeated rows, are mixed like others, each row by itself. No documents, no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MOST = 3
 BLOCKS = 4096
 SHARDS = 8
 SEED = 20240611
-FILLING = 5
+_ORDER = ("mixed", "doc_id", "size", "rid")  # of the documents of a source
 MAX_SOURCES = 1_000_000  # their targets are worked out in one task
 
 
@@ -92,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), copies, quota (blocks of its source) and shards (the output shard of each copy) of every document."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"))
-    rows = scratch.keep(rows, "sizes")
+    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")  # read from there on, so that it is stable
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = scratch.keep(targets(sizes, weights, most), "targets")
     n = goals.count()
@@ -119,22 +121,22 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
     small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
-    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.doc_id", "r.size", "g.*")
+    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", "g.*")
     mixed = F.xxhash64("doc_id", F.lit(seed))
     place = F.shiftrightunsigned(mixed, 11) * F.lit(2.0**-53)  # uniform in [0, 1)
     joined = joined.withColumn("mixed", place).withColumn("block", F.floor(F.col("mixed") * F.col("own_blocks")))
 
     by = joined.groupBy("sid", "block").agg(F.sum("size").alias("words"))
     before = by.select("sid", "block", (F.sum("words").over(Window.partitionBy("sid").orderBy("block")) - F.col("words")).alias("before"))
-    own = Window.partitionBy("sid", "block").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("sid", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = joined.withColumn("upto", F.sum("size").over(own)).join(before, ["sid", "block"])
     extra = F.col("limit") - F.col("passes") * F.col("source_size")
     once_more = F.col("before") + F.col("upto") <= extra
-    placed = scratch.keep(placed.select("doc_id", "size", "sid", "source_size", "target", "quota", "by_shard", "passes", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), extra.alias("extra"), once_more.alias("once_more")), "placed")
+    placed = scratch.keep(placed.select("rid", "doc_id", "size", "sid", "mixed", "block", "source_size", "target", "quota", "by_shard", "passes", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), extra.alias("extra"), once_more.alias("once_more")), "placed")
     added = _filling(placed, scratch)
     extra_copy = (F.col("once_more") | F.col("added").isNotNull()).cast("long")
     copies = F.least(F.lit(int(most)), F.col("passes") + extra_copy)
-    out = placed.join(F.broadcast(added) if added.count() <= 50_000 else added, ["sid", "doc_id", "size"], "left")
+    out = placed.join(F.broadcast(added) if added.count() <= 50_000 else added, "rid", "left")
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
     out = out.withColumn("copies", copies)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("quota").cast("long").alias("quota"), _shards(total / blocks).alias("shards"))
@@ -149,16 +151,26 @@ def _shards(width: float) -> Column:
 
 
 def _filling(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sid, doc_id, size, added): what each source takes beyond its last block, one at a time the largest document that its target still has room for."""
+    """(rid, added): what each source takes beyond the first document that did not fit, until nothing fits."""
     room = placed.groupBy("sid").agg(F.first("extra").alias("extra"), F.coalesce(F.sum(F.when(F.col("once_more"), F.col("size"))), F.lit(0)).alias("used")).select("sid", (F.col("extra") - F.col("used")).alias("room"))
-    added = None
-    for _ in range(FILLING):
+    room = scratch.keep(room, "room")
+    rest = placed.filter("not once_more and size > 0").select("rid", "sid", "block", *_ORDER[:-1])
+    added = placed.select("rid", F.lit(True).alias("added")).limit(0)
+    while True:
         bound = F.broadcast(room) if room.count() <= 50_000 else room
-        fit = placed.filter("not once_more and size > 0").select("sid", "doc_id", "size").join(bound, "sid").filter("size <= room")
-        if added is not None:
-            fit = fit.join(F.broadcast(added) if added.count() <= 50_000 else added, ["sid", "doc_id", "size"], "left_anti")
-        best = fit.groupBy("sid", "room").agg(F.max(F.struct("size", "doc_id")).alias("x")).select("sid", F.col("x.doc_id").alias("doc_id"), F.col("x.size").alias("size"), F.lit(True).alias("added"), (F.col("room") - F.col("x.size")).alias("room"))
-        best = scratch.keep(best, "filling")
-        more = best.drop("room")
-        added, room = more if added is None else added.union(more), best.select("sid", "room")
-    return added
+        # what does not fit now never will
+        fit = scratch.keep(rest.join(bound, "sid").filter("size <= room"), "fit")
+        firsts = fit.groupBy("sid").agg(F.min(F.struct(*_ORDER)).alias("x"), F.sum(F.when(2 * F.col("size") <= F.col("room"), 1)).alias("small")).filter("small is null").select(F.col("x.rid").alias("rid"))
+        small = fit.filter(2 * F.col("size") <= F.col("room"))
+        by = small.groupBy("sid", "block").agg(F.sum("size").alias("words"))
+        before = by.select("sid", "block", (F.sum("words").over(Window.partitionBy("sid").orderBy("block")) - F.col("words")).alias("before")).join(bound, "sid").filter("before < room").drop("room")
+        own = Window.partitionBy("sid", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reached = small.join(before, ["sid", "block"]).withColumn("upto", F.sum("size").over(own)).filter(F.col("before") + F.col("upto") <= F.col("room"))
+        taken = scratch.keep(reached.select("rid").union(firsts).withColumn("added", F.lit(True)), "filling")
+        n = taken.count()
+        if n == 0:  # only where no row of fit is left: else each source has small ones, the first of which fits, or a first
+            return added
+        added = added.union(taken)
+        known = fit.join(F.broadcast(taken) if n <= 50_000 else taken, "rid", "left")
+        room = scratch.keep(known.groupBy("sid").agg((F.first("room") - F.coalesce(F.sum(F.when(F.col("added"), F.col("size"))), F.lit(0))).alias("room")), "room")
+        rest = known.filter("added is null").select("rid", "sid", "block", *_ORDER[:-1])

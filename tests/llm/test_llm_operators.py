@@ -337,6 +337,18 @@ def test_quotas_decide_what_is_taken(spark):
         assert n * width - 40 <= halved[s] <= min(target[s], (n + 1) * width) and halved[s] < words[s]
 
 
+def test_long_documents_are_passed_over(spark):
+    rows = spark.createDataFrame([(k, "s", 20, k) for k in range(500)] + [(500 + k, "s", n, 500 + k) for k, n in enumerate((20_000, 9_000, 2_500, 30))] + [(None, "t", 7, 600 + k) for k in range(40)], "doc_id long, source string, size long, rid long")
+    goals = spark.createDataFrame([("s", 41_530, 5, 12_345.0, [3] * 8), ("t", 280, 2, 150.0, [3] * 8)], "source string, source_size long, weight int, target double, by_shard array<long>")
+    for seed in range(3):
+        got = mixing._taken(rows, goals, 3, 24, seed, Scratch(spark, "long")).collect()
+        for target, size in ((12_345, 41_530), (150, 280)):
+            mine = [x for x in got if x.source_size == size]
+            room = target - sum(x.taken for x in mine)
+            assert 0 <= room < min(x.size for x in mine if not x.copies)
+        assert {x.copies for x in got} == {0, 1}
+
+
 def test_exchange_finds_alternating_classes():
     r = random.Random(2)
     line = [w for _ in range(3000) for w in (r.randrange(4), 4 + r.randrange(4))]
