@@ -1,8 +1,9 @@
 """Documents to a training corpus: language ID, near-duplicates, benchmark decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but
-the last return the columns of documents. Decisions are small tables of doc_ids; they are broadcast up to BROADCAST_ROWS
-rows and joined by shuffle beyond. Documents with a null doc_id cannot be named in a decision and stay.
+the last return the columns of documents. Decisions are small tables of row ids; they are broadcast up to BROADCAST_ROWS
+rows and joined by shuffle beyond. A stage gives each row an id of its own (_numbered()), decides by it and drops it, so
+that rows with a null or repeated doc_id are judged one by one like others; only as near-duplicates those with a null stay.
 """
 
 from __future__ import annotations
@@ -28,37 +29,55 @@ def _bounded(df: DataFrame, scratch: Scratch) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    return docs.join(_bounded(ids.select("doc_id").distinct(), Scratch(docs.sparkSession, name)), "doc_id", "left_anti").select(docs.columns)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs and _row, unique and stable: the file and the place in it of a row of Parquet; else numbers that are written with docs."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return Scratch(docs.sparkSession, name).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    files = sorted(x for x, in docs.select("_metadata.file_path").distinct().collect())
+    small = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file long, _path string")
+    at = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    return at.join(F.broadcast(small), "_path").select(*docs.columns, F.expr("_file * 1099511627776L + _index").alias("_row"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """rows with _row as their doc_id."""
+    return rows.select(F.col("_row").alias("doc_id"), *(x for x in rows.columns if x not in ("doc_id", "_row")))
+
+
+def _without(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    gone = ids.select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(_bounded(gone, Scratch(rows.sparkSession, name)), "_row", "left_anti").drop("_row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language could not be told go."""
-    return _without(docs, identify(docs).filter("not accepted"), "language")
+    rows = _numbered(docs, "language")
+    return _without(rows, identify(_named(rows)).filter("not accepted"), "language").select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays; of rows that repeat a doc_id one."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, one if rows repeat it; rows with a null doc_id stay."""
     scratch = Scratch(spark, "copies")
-    found = scratch.keep(near_duplicates(docs), "found")
-    once = _without(docs, found.filter("not kept"), "copies")
-    repeated = scratch.keep(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return once
-    rest = once.join(_bounded(repeated, scratch), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(once, repeated, "copies").unionByName(rest)
+    rows = _numbered(docs, "copies")
+    found = near_duplicates(_named(rows.filter("doc_id is not null"))).select(F.col("doc_id").alias("_row"), "component_id")
+    found = scratch.keep(found.join(rows.select("_row", "doc_id"), "_row"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(_bounded(first.select("component_id", F.col("x._row").alias("_first")), scratch), "component_id").filter("_row <> _first")
+    return _without(rows, gone.select(F.col("_row").alias("doc_id")), "copies").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    return _without(docs, find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    rows = _numbered(docs, "leaks")
+    return _without(rows, find_items(_named(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    taken = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    rows = _numbered(docs, "mixed")
+    taken = mix(rows, row="_row").filter("copies > 0").select(F.col("rid").alias("_row"), F.col("copies").alias("_copies"))
     taken = _bounded(taken, Scratch(spark, "mixed"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

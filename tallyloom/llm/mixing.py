@@ -90,18 +90,19 @@ def quotas(goals: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Data
     return dealt.union(more).groupBy("source", "shard").agg(F.sum("blocks").alias("blocks")).filter("blocks > 0")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), copies, quota (blocks of its source) and shards (the output shard of each copy) of every document."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, blocks: int = BLOCKS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), copies, quota (blocks of its source) and shards (the output shard of each copy) of every document. row: a column of docs, unique and not null, that is returned as rid."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"))
-    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")  # read from there on, so that it is stable
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"), (docs[row].cast("long") if row else F.monotonically_increasing_id()).alias("rid"))
+    rows = scratch.keep(rows, "sizes")  # read from there on, so that it is stable
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = scratch.keep(targets(sizes, weights, most), "targets")
     n = goals.count()
     if n > MAX_SOURCES:
         raise ValueError(f"{n} sources; their targets are worked out in one task, which holds at most {MAX_SOURCES}")
     goals = scratch.keep(_with_quota(goals, blocks), "quotas")
-    return _taken(rows, goals, most, blocks, seed, scratch)
+    taken = _taken(rows, goals, most, blocks, seed, scratch)
+    return taken if row else taken.drop("rid")
 
 
 def _with_quota(goals: DataFrame, blocks: int) -> DataFrame:
@@ -139,7 +140,7 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     out = placed.join(F.broadcast(added) if added.count() <= 50_000 else added, "rid", "left")
     copies = F.when(F.col("size") > 0, copies).otherwise(0).cast("int")
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("quota").cast("long").alias("quota"), _shards(total / blocks).alias("shards"))
+    return out.select("rid", "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("quota").cast("long").alias("quota"), _shards(total / blocks).alias("shards"))
 
 
 def _shards(width: float) -> Column:

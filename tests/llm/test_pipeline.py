@@ -50,3 +50,23 @@ def test_stages_on_odd_tables(spark, tmp_path):
                 assert kept.count() == (0 if docs.isEmpty() else 14)  # the repeated row goes, rows without doc_id stay
         out = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
         assert out.count() == kept.count() and (docs.isEmpty() or kept.count() > 0)
+
+
+def test_rows_without_or_with_repeated_doc_ids_are_judged_by_themselves(spark, tmp_path):
+    item = prose(999, "en", 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = {k: prose(k, "en", 40) for k in range(40)}
+    rows = [(k, text[k], "en", "s", 1) for k in range(20)]
+    rows += [(3, text[30], "en", "s", 1), (19, text[2], "en", "s", 1), (None, text[31], "en", "s", 1), (None, "12 34", "en", "s", 1), (None, text[32] + " " + item, "en", "s", 1), (4, text[33] + " " + item, "en", "s", 1), (5, "56", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for written in (True, False):
+        kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+            had = sorted((x.doc_id or -1, x.text) for x in kept.collect())
+            kept = stage(spark, kept, str(tmp_path))
+            if written:
+                kept.write.parquet(f"{tmp_path}/stage{k}")
+                kept = spark.read.parquet(f"{tmp_path}/stage{k}")
+            left = sorted((x.doc_id or -1, x.text) for x in kept.collect())
+            gone = [(-1, "12 34"), (5, "56")], [(19, text[2])], [(-1, text[32] + " " + item), (4, text[33] + " " + item)], []
+            assert sorted(set(had) - set(left)) == sorted(gone[k]) and len(left) == len(had) - len(gone[k]), name  # one source: its target is all its words
