@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -359,33 +360,145 @@ def test_exchange_finds_alternating_classes():
     assert len(set(of[:4])) == 1 and len(set(of[4:])) == 1 and of[0] != of[4]
 
 
-def test_brown_scores(spark, rows, monkeypatch):
-    docs = rows + [(3000 + k, prose(k % 40, 30), "en", "a") for k in range(120)]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    tokens = lambda t: [x for x in re.split(r"[ \t\n\x0b\f\r]+", (t or "").translate(urlfilter._LOWER)) if x] + [None]
-    counts = Counter(w for i, t, *_ in docs if not held(i) for w in tokens(t))
+def tokens_of(text):
+    return [x for x in re.split(r"[ \t\n\x0b\f\r]+", (text or "").translate(urlfilter._LOWER)) if x]
+
+
+def held_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def test_batches_raise_the_likelihood():
+    r = np.random.default_rng(4)
+    v, groups = 300, 6
+    word_class = r.integers(0, groups, v)
+    line = [int(r.integers(v))]
+    for _ in range(60_000):  # the class after g is g + 1 or, seldom, any
+        g = (word_class[line[-1]] + 1) % groups if r.random() < 0.9 else r.integers(groups)
+        line.append(int(r.choice(np.flatnonzero(word_class == g))))
+    bigrams = np.zeros((v, v))
+    np.add.at(bigrams, (line[:-1], line[1:]), 1)
+    size = groups + 3
+    of = r.integers(0, groups, v)
+    seen = []
+    for _ in range(4):
+        member = np.eye(size)[of]
+        table_ = member.T @ bigrams @ member
+        seen.append(brown.likelihood(table_))
+        for part in brown._batches(np.arange(v), bigrams.sum(axis=1), bigrams.sum() / 500):
+            member = np.eye(size)[of]
+            of[part] = brown.moved(table_, of[part], bigrams[part] @ member, (bigrams.T @ member)[part], groups)
+        member = np.eye(size)[of]  # words that move at once are static to each other in the table
+        assert np.isclose(table_.sum(), bigrams.sum()) and abs(table_ - member.T @ bigrams @ member).sum() < 0.01 * bigrams.sum()
+    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:], strict=False)) and seen[-1] > seen[0] + 50_000
+    pairs = [(of[x] == of[y]) == (word_class[x] == word_class[y]) for x in range(0, v, 3) for y in range(x)]
+    assert np.mean(pairs) > 0.95
+
+
+def test_words_without_a_class_join_one():
+    table_ = np.zeros((5, 5))  # classes 0 and 1 take turns; 2: tail, 3: end, 4: none yet
+    table_[0, 1] = table_[1, 0] = 100
+    table_[0, 4] = table_[4, 0] = 9
+    to = brown.moved(table_, np.array([4]), np.array([[9.0, 0, 0, 0, 0]]), np.array([[9.0, 0, 0, 0, 0]]), 2)
+    assert to.tolist() == [1] and table_[0, 1] == table_[1, 0] == 109 and table_[0, 4] == table_[4, 0] == 0
+
+
+def brute_scores(docs, model, head):
+    """log10 probability of every text under the classes of the model, all else counted anew."""
+    train = [tokens_of(t) for i, t, *_ in docs if not held_out(i)]
+    counts = Counter(w for x in train for w in x)
+    symbol = {w: int(model.of[k]) for w, k in head.items()}
+    bigrams, mass = Counter(), Counter()
+    stream = [brown.END]
+    for x in train:
+        stream += [symbol.get(w, brown.TAIL) for w in x] + [brown.END]
+    bigrams.update(zip(stream, stream[1:], strict=False))
+    into, out = Counter(stream[1:]), Counter(stream[:-1])
+    for w, n in counts.items():
+        mass[symbol.get(w, brown.TAIL)] += n
+    tail_types = sum(w not in symbol for w in counts)
+    ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
+    discount = min(0.9, max(0.1, ones / (ones + 2 * twos)))
+
+    def step(a, b):
+        share = (into[b] + 1) / (len(stream) - 1 + brown.SYMBOLS)
+        return (bigrams[a, b] + brown.BACK_OFF * share) / (out[a] + brown.BACK_OFF)
+
+    def emit(w):
+        if w in symbol:
+            return counts[w] / mass[symbol[w]]
+        return (counts[w] - discount if w in counts else discount * tail_types + 1) / (mass[brown.TAIL] + 1)
+
+    result = {}
+    for i, t, *_ in docs:
+        line = [brown.END] + [symbol.get(w, brown.TAIL) for w in tokens_of(t)] + [brown.END]
+        result[i] = sum(math.log10(step(a, b)) for a, b in zip(line, line[1:], strict=False)) + sum(math.log10(emit(w)) for w in tokens_of(t))
+    return result
+
+
+@pytest.mark.parametrize("head", [brown.HEAD, 150])
+def test_brown_scores(spark, rows, monkeypatch, head):
+    docs = rows + [(3000 + k, prose(k % 40, 30), "en", "a") for k in range(120)] + [(None, prose(77, 40), "en", "a")]
+    tokens = lambda t: tokens_of(t) + [None]
+    counts = Counter(w for i, t, *_ in docs if not held_out(i) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
-    monkeypatch.setattr(brown, "HEAD", 150)  # so that some words are outside the head
+    monkeypatch.setattr(brown, "HEAD", head)
     got = {x.doc_id: x for x in brown.score(table(spark, docs)).collect()}
     assert len(got) == len(docs)
+    frame = table(spark, docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"), "text")
+    model, _, _ = brown.train(frame, Scratch(spark, "t"))
+    words = sorted({w for w in counts if w is not None})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes, _ = word_hashes(data, np.array([0, len(data)]))
+    kept = sorted((int(h), w) for h, w in zip(hashes, words, strict=True) if counts[w] > 1)
+    if len(kept) > len(model.of):  # those of the highest counts, whole steps of them
+        least = sorted((counts[w] for _, w in kept), reverse=True)[len(model.of) - 1]
+        kept = [(h, w) for h, w in kept if counts[w] >= least]
+    assert len(kept) == len(model.of) <= head
+    want = brute_scores(docs, model, {w: k for k, (_, w) in enumerate(kept)})
     for i, t, *_ in docs:
         x, own = got[i], tokens(t)
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(i), len(own), sum(w in counts for w in own), n)
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held_out(i), len(own), sum(w in counts for w in own), n)
         assert math.isclose(x.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
-    unseen = [x for x in got.values() if x.held_out and x.n_tokens > 5]
-    assert sum(x.score for x in unseen) > sum(x.base_score for x in unseen)  # better than the unigram model on unseen texts
+        assert math.isclose(x.score, want[i], rel_tol=1e-9)
     assert brown.score(table(spark, [])).count() == 0
-    assert brown.score(table(spark, [(i, "a b", "en", "a") for i in range(60) if held(i)])).select(F.max("n_known")).head()[0] == 0
+    assert brown.score(table(spark, [(i, "a b", "en", "a") for i in range(60) if held_out(i)])).select(F.max("n_known")).head()[0] == 0
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_held_out_texts_are_better_told_than_by_the_base(spark, sf):
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the tables are not here")
+    got = brown.score(spark.read.parquet(path)).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).head()
+    assert got[0] > got[1] + 0.3 * got[2]
 
 
 def test_brown_model_is_a_distribution(spark):
-    scratch = Scratch(spark, "t")
-    texts = [prose(k, 12) for k in range(60)]
-    model, _ = brown.train(spark.createDataFrame([(t,) for t in texts], "text string"), scratch)
+    texts = [prose(k, 12) + f" once{k}" for k in range(60)]
+    rows_ = spark.createDataFrame([(k, k, False, t) for k, t in enumerate(texts)], "rid long, doc_id long, held_out boolean, text string")
+    model, rest, _ = brown.train(rows_, Scratch(spark, "t"))
     assert np.allclose((10**model.step).sum(axis=1), 1)
-    of = model.of[model.symbol[:-1]]
-    for c in set(of.tolist()):
-        assert math.isclose((10 ** model.emit[:-1][of == c]).sum(), 1)
+    for c in set(model.of.tolist()):
+        assert math.isclose((10 ** model.emit[:-1][model.of == c]).sum(), 1)
+    tail = [x.n for x in rest.collect()]
+    assert len(tail) >= 60 and math.isclose(sum(n - model.discount for n in tail) + 10**model.unknown, 10**model.tail)
+
+
+def test_counts_of_a_range_add_up():
+    r = np.random.default_rng(1)
+    width = brown.RANGE * 2 * brown.SYMBOLS
+    want, blocks = defaultdict(lambda: np.zeros(width, np.int64)), []
+    for _ in range(5):
+        keys = np.unique(r.integers(0, 3 * width, 400))
+        n = r.integers(1, 9, len(keys))
+        for k, x in zip(keys, n, strict=True):
+            want[int(k) // width][k % width] += x
+        of = keys // width
+        blocks.append(brown._blocks(np.unique(of), of, keys - of * width, n))
+    whole = pa.Table.from_batches(blocks).sort_by("r").to_batches()
+    got = {r_: total.copy() for (r_,), total in brown._folded(iter(whole), ("r",))}
+    assert set(got) == set(want) and all((got[k] == want[k]).all() for k in want)
 
 
 TRIE_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"), ("allow", "a.example.org", "/es/x"), ("block", "org", "")]
