@@ -201,6 +201,65 @@ def test_pii_rows(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def check_digit(digits):
+    return digits + next(str(d) for d in range(10) if pii.luhn(digits + str(d)))
+
+
+def test_planted_spans_are_added_and_decoys_are_not(spark):
+    """Spans that no base pattern has, among base ones and lookalikes; precision and recall of what is added."""
+    r = random.Random(12)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(6))
+    card = lambda: check_digit("4" + number(14))
+    grouped = lambda x, by: by.join(x[k : k + 4] for k in range(0, 16, 4))
+    planted = [  # kind, the text before, the span
+        lambda: ("email", "contact ", f"{name()} [at] {name()} [dot] com"), lambda: ("email", "e-mail: ", f"{name()}.{name()}(at){name()}.org"), lambda: ("email", "write to me, mail ", f"{name()} at {name()} dot net"),
+        lambda: ("ip", "host ", f"2001:db8:{number(3)}:{number(2)}::{number(4)}"), lambda: ("ip", "server ", f"fe80::{number(3)}:{number(4)}:{number(4)}:{number(4)}"),
+        lambda: ("card", "card ", grouped(card(), ".")), lambda: ("card", "visa: ", grouped(card(), "/")),
+        lambda: ("phone", "call ", f"({r.randrange(200, 999)}) 555-{number(4)}"), lambda: ("phone", "telefon ", f"0{r.randrange(30, 99)}1 {number(3)} {number(4)}"), lambda: ("phone", "phone ", f"0044 20 7946 {number(4)}"),
+    ]
+    decoys = [
+        lambda: f"version {r.randrange(1, 9)}.{r.randrange(300, 999)}.{r.randrange(9)}.{r.randrange(256, 999)}", lambda: f"order 1{number(3)}.{number(4)}.{number(4)}.{number(4)}", lambda: f"they met at {name()}.then at noon",
+        lambda: f"item no 00{number(7)}", lambda: f"at 12:30:45:10 and 1:2:3:4:5", lambda: f"invoice 3{number(12)}", lambda: f"ref {number(3)}-{number(2)}-{number(4)}", lambda: f"id 0{number(2)}{number(4)}{number(4)}",
+    ]
+    docs, want = [], set()
+    for k in range(900):
+        text = prose(k, 10) + " "
+        if k % 3 == 0:
+            text += r.choice([f"mail {name()}@{name()}.com", f"call +1 ({number(3)}) 555-{number(4)}", f"card {card()}", f"host {r.randrange(1, 223)}.{r.randrange(255)}.1.{r.randrange(255)}"])
+        elif k % 3 == 1:
+            kind, before, span = r.choice(planted)()
+            want.add((k, f"{kind}:{len(text) + len(before)}:{len(text) + len(before) + len(span)}"))
+            text += before + span
+        else:
+            text += r.choice(decoys)()
+        docs.append((k, text + " " + prose(k + 5000, 5)))
+    rows_ = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = set()
+    for x in rows_:
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_by_regex(dict(docs)[x.doc_id])}
+        mine = {(x.doc_id, s) for s in x.spans.split(",") if s and s not in base}
+        assert len(mine) == x.n_added
+        got |= mine
+    assert len(want) == 300 and len(got & want) >= 0.8 * len(want), len(got & want)
+    assert len(got & want) >= 0.95 * len(got), sorted(got - want)
+
+
+def test_gazetteers_come_as_a_table(spark):
+    known = pii.gazetteers(spark.createDataFrame([("domain", "ZZ"), ("domain", "zz")], "kind string, term string"))
+    assert known.domains == {"zz"} and known.issuers == pii.DEFAULT.issuers
+    assert pii.votes("a@b.zz", 0, 0, 6, True, known)[2] == 1 == -pii.votes("a@b.com", 0, 0, 7, True, known)[2]
+
+
+def test_spans_that_overlap():
+    rows_ = np.zeros((4, pii.WIDTH), np.int64)
+    rows_[:, :4] = [[1, 0, 10, 20], [0, 3, 18, 25], [0, 3, 25, 30], [0, 2, 28, 40]]
+    rows_[2, 5], weights = 7, np.zeros(pii._SIZE)
+    weights[0], weights[7] = 5.0, 6.0
+    assert pii.added(rows_, weights) == [(25, 3, 30)]
+    assert pii.added(rows_[:1], weights) == []
+
+
 def test_labelers_that_agree_are_trusted():
     code = lambda votes: sum((v + 1) * 3 ** (len(votes) - 1 - k) for k, v in enumerate(votes))
     counts = [(3, code((1, 1, 1, 1, 1, 1)), 500), (3, code((0, -1, -1, -1, -1, -1)), 500), (3, code((1, 1, 1, -1, 1, 1)), 50)]
@@ -228,25 +287,59 @@ def test_decontamination_matches_brute_force(spark, rows):
     assert [(x.doc_id, x.item_id) for x in decontam.find_items(halves, bench).collect()] == [(1, 6)]
 
 
+def filtered(rows_, kinds, step):
+    """Rows of samples behind the filters, byte by byte as the format's text says."""
+    out = np.zeros((len(rows_), rows_.shape[1] + 1), np.uint8)
+    for i, row in enumerate(rows_.astype(int)):
+        for j, x in enumerate(row):
+            a = int(row[j - step]) if j >= step else 0
+            b = int(rows_[i - 1][j]) if i else 0
+            c = int(rows_[i - 1][j - step]) if i and j >= step else 0
+            p = a + b - c
+            near = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
+            out[i, j + 1] = (x - (0, a, b, (a + b) // 2, near)[kinds[i]]) % 256
+        out[i, 0] = kinds[i]
+    return out
+
+
 def test_png_filters_and_checksums():
     r = np.random.default_rng(1)
     payload = r.integers(0, 256, 64 * 37).astype(np.uint8).tobytes()
-    for kind in (0, 1, 2):
+    for kind in (None, 0, 1, 2):
         assert media.read_png(media.write_png(payload, kind)).tobytes() == payload
-    rows_ = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(int)
-    up = np.vstack([np.zeros((1, 64), int), rows_[:-1]])
-    left, corner = (np.hstack([np.zeros((len(x), 1), int), x[:, :-1]]) for x in (rows_, up))
-    p = left + up - corner
-    near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
-    for kind, guess in ((3, (left + up) // 2), (4, near)):
-        stored = np.hstack([np.full((len(rows_), 1), kind), (rows_ - guess) % 256]).astype(np.uint8)
-        assert media.unfilter(stored, 1).tobytes() == payload
+    rows_ = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+    for step in (1, 2, 4):
+        for top in (0, 1, 2, 3, 4, 5):
+            kinds = r.integers(0, 5, len(rows_)) if top == 5 else np.full(len(rows_), top)
+            assert media.unfilter(filtered(rows_, kinds, step), step).tobytes() == payload
+    text = (prose(3, 900)).encode()
+    text = text.ljust(-(-len(text) // 64) * 64, b"\0")
+    stored = next(zlib.decompress(body) for kind, body in media.chunks(media.write_png(text)) if kind == b"IDAT")
+    kinds = Counter(stored[::65])
+    assert kinds[1] + kinds[2] > 0.9 * kinds.total() and min(kinds[1], kinds[2]) > 0  # so that unfiltering has work to do
+    assert np.frombuffer(stored, np.uint8).reshape(-1, 65).tolist() == filtered(np.frombuffer(text, np.uint8).reshape(-1, 64), list(stored[::65]), 1).tolist()
     png = bytearray(media.write_png(payload))
     png[60] ^= 1
     with pytest.raises(ValueError):
         media.read_png(bytes(png))
     with pytest.raises(ValueError):
         media.read_png(media.write_png(payload)[:-4])
+    with pytest.raises(ValueError):
+        media.unfilter(np.full((1, 65), 5, np.uint8), 1)
+
+
+def test_hash_matches_the_transform_written_out():
+    r = np.random.default_rng(6)
+    for height in (1, 7, 32, 61):
+        image = r.integers(0, 256, (height, 64)).astype(np.uint8)
+        place = lambda n: [[k * n // 32] if n < 32 else list(range(k * n // 32, (k + 1) * n // 32)) for k in range(32)]
+        down, across = place(height), place(64)
+        small = [[sum(int(image[y, x]) for y in ys for x in xs) / (len(ys) * len(xs)) for xs in across] for ys in down]
+        c = [[math.cos(math.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)]
+        low = [round(1e6 * sum(small[y][x] * c[u][y] * c[v][x] for y in range(32) for x in range(32))) for u in range(8) for v in range(8)][1:]
+        middle = sorted(low)[31]
+        bits = "".join("1" if x > middle else "0" for x in low) + "0"
+        assert media.dct_hash(image) == f"{int(bits, 2):016x}"
 
 
 def test_media_rows(spark, rows):
