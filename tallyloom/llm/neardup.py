@@ -13,9 +13,10 @@ shingles). Groups are the connected components of the links; the smallest doc_id
 4. Two members that both missed their hub could still be linked. Documents of buckets that are not yet all in one
    component are open. Ordered by frequency among the open documents, rarest first, the first n - ceil(0.75 n) + 1
    shingles of two linked sets have one in common; buckets by such shingles get up to HUBS hubs each.
-5. Of buckets that are still in several components, the documents are compared in blocks of BLOCK, block against block
-   within a family of connected buckets, by a matrix product that gives out links only. What is left here grows with
-   the documents that lie close to the threshold in one group of copies, not with the groups themselves.
+5. Of buckets that are still in several components, the documents are compared in blocks of at most about BLOCK sets
+   and BLOCK_BYTES, block against block within a family of connected buckets, by a matrix product that gives out links
+   only. A family's pairs of blocks are dealt out by their second block, so that many tasks share a large family. What is
+   left here grows with the documents that lie close to the threshold in one group of copies, not with the groups.
 
 Every step is a partial aggregation, an equi-join whose large keys Spark can split, or a pass over rows; no bucket is
 gathered in a task beyond blocks of bounded size. Defined results: null or wordless text: size 0, linked with nothing, its own group. Null doc_id:
@@ -38,7 +39,9 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 ROWS, BANDS = 5, 51
 LEAST_NUMERATOR, LEAST_DENOMINATOR = 75, 100
-HUBS, BLOCK = 16, 256
+HUBS, BLOCK = 16, 512
+BLOCK_BYTES = 4 << 20  # of shingle hashes in a block; one longer document is a block of its own
+CELLS = 1 << 22  # of a matrix of sets and shingles
 BROADCAST_ROWS = 500_000  # ids of 8 bytes: at most 4 MB before Spark's hash table
 
 _orders: list[np.ndarray] = []
@@ -214,42 +217,52 @@ def _prefixes(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return shared.filter(F.col("place") + F.col("alone") <= length).select("bucket", "node", "n")
 
 
+def _sides(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, components, sizes and all hashes in turn of each block, without copies."""
+    rows, upto = column.values, column.offsets.to_numpy()
+    found = rows.field("found")
+    offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] // 8
+    hashes = np.frombuffer(found.buffers()[2], U)
+    node, comp = rows.field("node").to_numpy(), rows.field("comp").to_numpy()
+    for first, last in zip(upto[:-1], upto[1:], strict=True):
+        yield node[first:last], comp[first:last], np.diff(offsets[first : last + 1]), hashes[offsets[first] : offsets[last]]
+
+
 def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links between two blocks of sets: |A and B| from a product of 0/1 matrices over the shingles that both blocks have."""
     for batch in batches:
-        for row in batch.to_pylist():
-            sides = [[np.frombuffer(x["found"], U) for x in row[k]] for k in ("left", "right")]
-            flat = [np.concatenate(x) for x in sides]
+        for sides in zip(_sides(batch["left"]), _sides(batch["right"]), strict=True):
+            node, comp, sizes, flat = zip(*sides, strict=True)
             common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
-            sizes = [np.array([len(x) for x in side]) for side in sides]
-            both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-            for first in range(0, len(common), 8192):
-                part, tables = common[first : first + 8192], []
+            owner = [np.repeat(np.arange(len(x)), x) for x in sizes]
+            both = np.zeros((len(node[0]), len(node[1])), np.int64)
+            width = max(256, CELLS // max(1, *map(len, node)))
+            for first in range(0, len(common), width):
+                part, tables = common[first : first + width], []
                 for k in (0, 1):
                     at = np.minimum(np.searchsorted(part, flat[k]), len(part) - 1)
                     hit = part[at] == flat[k]
-                    table = np.zeros((len(sizes[k]), len(part)), np.float32)
-                    table[np.repeat(np.arange(len(sizes[k])), sizes[k])[hit], at[hit]] = 1
+                    table = np.zeros((len(node[k]), len(part)), np.float32)
+                    table[owner[k][hit], at[hit]] = 1
                     tables.append(table)
-                both += tables[0] @ tables[1].T
-            comp = [np.array([x["comp"] for x in row[k]]) for k in ("left", "right")]
+                both += np.rint(tables[0] @ tables[1].T).astype(np.int64)
             union = sizes[0][:, None] + sizes[1][None, :] - both
             linked = (LEAST_DENOMINATOR * both >= LEAST_NUMERATOR * union) & (comp[0][:, None] != comp[1][None, :])
             u, v = np.nonzero(linked)
-            node = [np.array([x["node"] for x in row[k]], np.int64) for k in ("left", "right")]
             yield pa.RecordBatch.from_arrays([pa.array(node[0][u]), pa.array(node[1][v])], ["u", "v"])
 
 
-def _in_blocks(families: DataFrame, sets: DataFrame) -> DataFrame:
+def _in_blocks(families: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) of nodes (family, node, comp) of one family in different components."""
     members = sets.join(_small(families), "node")
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
-    blocks = members.join(sizes, "family").withColumn("slot", F.pmod(F.xxhash64("node"), "slots"))
-    blocks = blocks.groupBy("family", "slot").agg(F.collect_list(F.struct("node", "comp", "found")).alias("block"))
-    left = blocks.select("family", F.col("slot").alias("i"), F.col("block").alias("left"))
-    right = blocks.select("family", F.col("slot").alias("j"), F.col("block").alias("right"))
-    pairs = left.join(right, "family").filter("i <= j").select("left", "right")
-    return pairs.mapInArrow(_blocks_linked, "u long, v long")
+    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("found")) / BLOCK_BYTES)).alias("slots"))
+    blocks = members.join(_small(scratch.keep(sizes, "slots")), "family").withColumn("slot", F.pmod(F.xxhash64("node"), "slots"))
+    blocks = scratch.keep(blocks.groupBy("family", "slots", "slot").agg(F.collect_list(F.struct("node", "comp", "found")).alias("block")), "blocks")
+    alone = blocks.filter("slots = 1").select(F.col("block").alias("left"), F.col("block").alias("right"))
+    many = blocks.filter("slots > 1")
+    left = many.select("family", F.col("block").alias("left"), F.explode(F.sequence("slot", F.col("slots") - 1)).alias("slot"))
+    pairs = left.join(many.select("family", "slot", F.col("block").alias("right")), ["family", "slot"]).select("left", "right")
+    return alone.union(pairs).mapInArrow(_blocks_linked, "u long, v long")
 
 
 def _hubs(members: DataFrame, slots: int) -> DataFrame:
@@ -296,7 +309,7 @@ def _representatives(docs: DataFrame, found: DataFrame, nodes: DataFrame, scratc
     families = Components(scratch)
     families.add(stars)
     if families.labels is not None:
-        parts.add(_in_blocks(parts.of(families.labels.select("node", F.col("comp").alias("family"))), sets))
+        parts.add(_in_blocks(parts.of(families.labels.select("node", F.col("comp").alias("family"))), sets, scratch))
     return parts.labels
 
 

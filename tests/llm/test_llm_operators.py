@@ -103,6 +103,28 @@ def test_blocks_find_what_hubs_miss():
     assert got == {(0, 2)}
 
 
+def test_families_of_many_blocks(spark, monkeypatch):
+    """Sets near the threshold, some of them very long, in blocks of few bytes: the links of all pairs, each block bounded."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    r = np.random.default_rng(9)
+    sets = {}
+    for k in range(60):
+        base = np.arange(1, 2001 if k % 15 == 0 else 101, dtype=np.uint64) * np.uint64(2**40 + 7)
+        keep = r.random(len(base)) > 0.13
+        sets[k] = np.sort(base[keep])
+    nodes = spark.createDataFrame([(0 if k % 3 else 1, k, k) for k in sets], "family long, node long, comp long")
+    frame = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "node long, found binary")
+    got = {(min(u, v), max(u, v)) for u, v in neardup._in_blocks(nodes, frame, Scratch(spark, "t")).collect()}
+    want = set()
+    for a in sets:
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if (a % 3 == 0) == (b % 3 == 0) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((b, a))
+    assert got == want and len(want) > 50
+
+
 def test_densified_bins_agree_about_as_often_as_sets_overlap():
     r = np.random.default_rng(3)
     same = r.integers(0, 2**63, 30).astype(np.uint64)
