@@ -1,16 +1,21 @@
 """Language of documents by Bayesian fusion of what the text, the declared language, the address and the host say.
 
-1. Text: a naive Bayes model of hashed letter trigrams, fitted on about FIT_DOCS documents, chosen by hash, with their
-   declared languages as (noisy) labels. Its log-likelihoods, times TEMPER since trigrams overlap, are the likelihoods of
+1. Text: a naive Bayes model of hashed letter trigrams, fitted on about FIT_DOCS documents of each language, chosen by
+   hash, with their declared languages as (noisy) labels: the primary part of the declared value, in lower case ("en" of
+   "EN-us"); values of another form declare nothing. Every language that LEAST_DOCS documents declare is a class. Its log-likelihoods, times TEMPER since trigrams overlap, are the likelihoods of
    each document, of which the whole text counts. One more class, "und", gives all trigrams the same probability.
 2. Declared markup language and address suffix: P(value | language) from the text posteriors summed by value.
 3. Host: P(language | host), smoothed towards its registered domain, and that towards all documents, from text
    posteriors summed by host and domain. A document's own share is left out of all sums that judge it.
 
+The host may be any name of where documents come from (in the tables the column source). Where no suffix is given, it is
+what follows the last dot of the host, if those are letters.
+
 The sums are partial aggregations by value, joined back; a hot host is one row of sums and its documents are split by
 Spark. Defined results: rejected ("und") are documents without a letter (null and empty texts too), those that "und"
-explains best, and those whose best language has a posterior under LEAST. A null declared language, suffix or host gives no evidence.
-Null or repeated doc_ids are judged like others. No labelled documents: all is "und".
+explains best, and those whose best language has a posterior under LEAST. Of languages with equal posteriors the first by
+code wins. A null declared language, suffix or host gives no evidence. Null or repeated doc_ids are judged like others,
+texts of any length as a whole. No language with LEAST_DOCS labelled documents: all is "und". No documents, no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.shingles import buffers, slices
 
-FIT_DOCS = 20_000
-MAX_LANGUAGES = 64
+FIT_DOCS = 5_000
+LEAST_DOCS = 5
 BUCKETS = 1 << 16
 TEMPER = 0.25
 LEAST = 0.5
@@ -49,34 +54,36 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (joined[places] >> np.uint32(16)).astype(np.int32), np.searchsorted(places + 1, starts)
 
 
-def _languages(docs: DataFrame) -> list[str]:
-    top = docs.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES)
-    return sorted(x for x, _ in top.collect())
+def primary(declared: Column) -> Column:
+    """The primary language of a declared value, two or three letters, in lower case; null if it has another form."""
+    return F.nullif(F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_][A-Za-z0-9_-]*)?\s*$", 1)), F.lit(""))
+
 
+def _languages(docs: DataFrame) -> dict[str, int]:
+    """Documents by language, for those that LEAST_DOCS and more declare; two or three letters bound their number."""
+    found = docs.filter("code is not null").groupBy("code").count().filter(F.col("count") >= LEAST_DOCS)
+    return dict(sorted(tuple(x) for x in found.collect()))
 
-def fit_text(docs: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(bucket | language) as float32 [BUCKETS, languages + 1], "und" last. docs: doc_id, text, declared."""
+
+def fit_text(docs: DataFrame, languages: dict[str, int]) -> np.ndarray:
+    """log P(bucket | language) as float32 [BUCKETS, languages + 1], "und" last. docs: doc_id, text, code; languages: documents of each."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {x: k for k, x in enumerate(languages)}
-        table = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             offsets, data = buffers(batch["text"])
-            label = [index.get(x, -1) for x in batch["declared"].to_pylist()]
+            label = [index[x] for x in batch["code"].to_pylist()]
             for first, last in slices(offsets):
                 own = offsets[first : last + 1]
                 found, upto = trigrams(data[own[0] : own[-1]], own - own[0])
-                owner = np.repeat(np.array(label[first:last]), np.diff(upto))
-                for k in set(label[first:last]) - {-1}:
-                    table[k] += np.bincount(found[owner == k], minlength=BUCKETS)
-        k, bucket = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(table[k, bucket])], ["k", "bucket", "n"])
-
-    labelled = docs.filter(F.col("declared").isin(languages))
-    share = min(1.0, FIT_DOCS / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20))).select("text", "declared")
+                owner = np.repeat(np.array(label[first:last], np.int64), np.diff(upto))
+                keys, n = np.unique(owner * BUCKETS + found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((keys // BUCKETS).astype(np.int32)), pa.array((keys % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "bucket", "n"])
+
+    share = docs.sparkSession.createDataFrame([(x, int(min(1.0, FIT_DOCS / n) * (1 << 20))) for x, n in languages.items()], "code string, share int")
+    chosen = docs.join(F.broadcast(share), "code").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1 << 20)) < F.col("share")).select("text", "code")
     counts = chosen.mapInArrow(counted, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((BUCKETS, len(languages) + 1), 0.5)  # at most BUCKETS * MAX_LANGUAGES counts
+    table = np.full((BUCKETS, len(languages) + 1), 0.5)  # the trigrams of FIT_DOCS documents a language
     found = counts.toArrow()
     table[found["bucket"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
     table = (1 - UNSEEN) * table / table.sum(axis=0) + UNSEEN / BUCKETS
@@ -136,13 +143,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     scratch = Scratch(docs.sparkSession, "langid")
     column = lambda x, name: (F.lit(None) if x is None else docs[x]).cast("string").alias(name)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), column(text, "text"), column(declared, "declared"), column(host, "host"), column(suffix, "suffix"))
+    ending = F.lower(F.nullif(F.regexp_extract("host", r"\.([A-Za-z]+)$", 1), F.lit("")))
+    rows = rows.withColumns({"code": primary(F.col("declared")), "suffix": F.lower("suffix") if suffix else ending})
     languages = _languages(rows)
     model = fit_text(rows, languages)
     size = len(languages) + 1
     scored = scratch.keep(text_likelihoods(rows, model), "likelihoods").withColumn("domain", registered_domain(F.col("host")))
 
     total = np.array(scored.agg(*(F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(size))).head(), float)
-    for key in ("declared", "suffix", "domain", "host"):
+    for key in ("code", "suffix", "domain", "host"):
         scored = scored.join(_sums(scored, key, size), key, "left")
     names = [*languages, "und"]
 
@@ -152,7 +161,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
                 continue
             table = lambda x: np.array([row or [0.0] * size for row in batch[x].to_pylist()])
             own, logs = table("own"), table("ll")
-            left = {x: np.maximum(table(f"{x}_sums") - own, 0) for x in ("declared", "suffix", "domain", "host")}
+            left = {x: np.maximum(table(f"{x}_sums") - own, 0) for x in ("code", "suffix", "domain", "host")}
             everywhere = np.maximum(total - own, 0)
             prior = (everywhere + PSEUDO / size) / (everywhere.sum(axis=1, keepdims=True) + PSEUDO)
             share = prior
@@ -160,7 +169,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
                 prior = (left[x] + PSEUDO * prior) / (left[x].sum(axis=1, keepdims=True) + PSEUDO)
             prior[:, -1] = UNKNOWN_PRIOR
             logs += np.log(prior)
-            for x in ("declared", "suffix"):  # P(value | language) is P(language | value) / P(language) but for a factor
+            for x in ("code", "suffix"):  # P(value | language) is P(language | value) / P(language) but for a factor
                 given = (left[x] + PSEUDO * share) / (left[x].sum(axis=1, keepdims=True) + PSEUDO) / share
                 given[:, -1] = 1
                 logs += np.where(np.array(batch[x].is_valid())[:, None], np.log(given), 0)

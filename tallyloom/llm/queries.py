@@ -28,6 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By text, declared language, source as host, and its suffix where it is an address."""
     return identify(_table(spark, sf_dir, "documents"))
 
 
