@@ -8,7 +8,7 @@ The mix is cut into equal-token blocks of about total / BLOCKS words. Seats for
 quotients target / (2 k - 1), the k-th seat of a source; the first seats make up the first output shard, the next the
 second, so that each shard has an integer quota of each source (quotas()). Where many small sources leave one with less
 than the whole blocks of its target, the missing seats are dealt to the shards in turn. A source's documents lie in a
-seeded order, passed over again and again, and cut into blocks of total / BLOCKS words each: the source takes as many
+seeded order of doc_id and text, passed over again and again, and cut into blocks of total / BLOCKS words each: the source takes as many
 blocks in turn as its quotas say, whole passes included, and shard after shard its quota of them. The target only trims
 what would go beyond it, or tops up from the one block after the last. Whole documents are taken. A document larger
 than the room that is left is passed over, and the rest go on in the seeded order: in each round those of at most half
@@ -93,7 +93,7 @@ def quotas(goals: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Data
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, blocks: int = BLOCKS, seed: int = SEED, row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target (of the document's source), taken (words, repeats counted), copies, quota (blocks of its source) and shards (the output shard of each copy) of every document. row: a column of docs, unique and not null, that is returned as rid."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"), (docs[row].cast("long") if row else F.monotonically_increasing_id()).alias("rid"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size"), (docs[row].cast("long") if row else F.monotonically_increasing_id()).alias("rid"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
     rows = scratch.keep(rows, "sizes")  # read from there on, so that it is stable
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = scratch.keep(targets(sizes, weights, most), "targets")
@@ -122,8 +122,8 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
     small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
-    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", "g.*")
-    mixed = F.xxhash64("doc_id", F.lit(seed))
+    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", "r.text_hash", "g.*")
+    mixed = F.xxhash64("doc_id", "text_hash", F.lit(seed))  # by text too, so that rows with a null or one repeated doc_id do not meet in one block
     place = F.shiftrightunsigned(mixed, 11) * F.lit(2.0**-53)  # uniform in [0, 1)
     joined = joined.withColumn("mixed", place).withColumn("block", F.floor(F.col("mixed") * F.col("own_blocks")))
 

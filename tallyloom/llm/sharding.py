@@ -8,7 +8,7 @@ are combined in the same way, at most MAX_BUCKETS of them, whatever the size of
 about the smallest differences within buckets, unless one group alone is larger than a shard's share.
 
 Defined results: size is the UTF-8 bytes of the text plus 1; a null text has none, and falls into the group of empty
-texts. Slots count from 0 without gaps within a shard, in the order of mixed doc_ids. Rows with a null or repeated
+texts. Slots count from 0 without gaps within a shard, in a mixed order of doc_ids and rows. Rows with a null or repeated
 doc_id are dealt like others. More shards than groups leave some shards empty; no rows give no rows.
 """
 
@@ -81,8 +81,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text") -> Data
     scratch = Scratch(spark, "sharding")
     body = F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")
     half = lambda first: F.conv(F.substring("digest", first, 14), 16, 10).cast("long")  # noqa: E731  56 of 128 bits
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("digest"))
-    keys = scratch.keep(rows.select("doc_id", "size", "text_crc32", half(1).alias("key_a"), half(15).alias("key_b")), "sizes")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"), F.md5(body).alias("digest"), F.monotonically_increasing_id().alias("rid"))
+    keys = scratch.keep(rows.select("rid", "doc_id", "size", "text_crc32", half(1).alias("key_a"), half(15).alias("key_b")), "sizes")
 
     groups = keys.groupBy("key_a", "key_b").agg(F.sum("size").alias("bytes"))
     buckets = min(MAX_BUCKETS, max(1, -(-groups.count() // BUCKET_GROUPS)))
@@ -102,9 +102,10 @@ def _slotted(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """rows and slot: counted within chunks of a shard, plus the rows of the chunks before."""
     rows = scratch.keep(rows, "placed")
     chunks = max(1, -(-rows.count() // (shards * CHUNK_ROWS)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(chunks)))
+    # by row too, so that rows with a null or one repeated doc_id do not meet in one chunk
+    rows = rows.withColumn("mixed", F.xxhash64("doc_id", "rid")).withColumn("chunk", F.pmod("mixed", F.lit(chunks)))
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).select("shard", "chunk", "before")
-    own = Window.partitionBy("shard", "chunk").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32")
+    own = Window.partitionBy("shard", "chunk").orderBy("mixed", "rid")
     numbered = rows.withColumn("place", F.row_number().over(own) - 1)
     return numbered.join(before, ["shard", "chunk"]).withColumn("slot", (F.col("before") + F.col("place")).cast("long"))
