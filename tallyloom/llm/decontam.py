@@ -11,7 +11,8 @@ document may be of any length. Only DataFrame functions are used.
    joined by shuffle otherwise. Pairs of document and item with enough sketch hashes are candidates.
 3. The shingles of candidate documents, as texts, are counted against the whole sets of their items.
 
-Words are runs of other than ASCII white space, in lower case. A text of one to four words is one shingle. Defined
+Words are runs of other than ASCII white space, in lower case. A text of one to four words is one shingle, so that an item
+of fewer than five words is found only where it is the whole document. Defined
 results: null and wordless items and documents have no shingles and are never found; rows with a null doc_id or item_id
 cannot be named and are left out; texts under one repeated doc_id or item_id count together. Empty tables give no rows.
 """
@@ -80,7 +81,8 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     whole = scratch.keep(_texts(items, "item_id").distinct(), "shingles")
     sizes = whole.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    shared = _texts(chosen, "doc_id").join(_bounded(whole), "s").distinct()
-    counts = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared")).join(pairs, ["doc_id", "item_id"], "left_semi")
+    # a shingle of many items counts for the candidates among them only
+    shared = _texts(chosen, "doc_id").join(_bounded(whole), "s").join(_bounded(pairs), ["doc_id", "item_id"], "left_semi").distinct()
+    counts = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     found = counts.join(_bounded(sizes), "item_id").filter("100 * n_shared >= 75 * n_item")
     return found.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
