@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 8 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder on one machine (master local), else RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 

@@ -465,6 +465,22 @@ def test_long_documents_are_passed_over(spark):
         assert {x.copies for x in got} == {0, 1}
 
 
+def test_rows_with_null_and_repeated_doc_ids_are_mixed_and_dealt_like_others(spark, monkeypatch):
+    texts = [prose(k, 20) for k in range(60)]
+    docs = table(spark, [(7001, prose(1, 1000), "en", "a")] + [(None, t, "en", "a") for t in texts] + [(5, t, "en", "b") for t in texts[:30]] + [(k, prose(k, 15), "en", "b") for k in range(6000, 6040)])
+    got = mixing.mix(docs).collect()
+    for source_size in {x.source_size for x in got}:
+        mine = [x for x in got if x.source_size == source_size]
+        room = mine[0].target - sum(x.taken for x in mine)
+        assert 0 <= room < min(x.size for x in mine if x.copies < 3), (source_size, room)
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 4)
+    dealt = sharding.shard_by_bytes(docs, 3).collect()
+    assert len(dealt) == 131
+    for shard in range(3):
+        mine = sorted(x.slot for x in dealt if x.shard == shard)
+        assert mine == list(range(len(mine)))
+
+
 def test_exchange_finds_alternating_classes():
     r = random.Random(2)
     line = [w for _ in range(3000) for w in (r.randrange(4), 4 + r.randrange(4))]
@@ -638,6 +654,29 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(df.limit(0), TRIE_RULES).count() == 0
 
 
+def test_url_rules_by_join_and_many_rules(spark, monkeypatch):
+    r = random.Random(9)
+    hosts = ["org", "example.org", "a.example.org", "com", "b.com", "EXAMPLE.net"]
+    many = list({(r.choice(["allow", "block"]), r.choice(hosts), "/" * (k % 3 > 0) + "".join(r.choice("ab/1") for _ in range(k % 7))) for k in range(400)})
+    urls = [None, "", "x", "http://", "http://org", "a://b.com?/x"] + ["http://" + r.choice(["", "x.", "y.x."]) + r.choice(hosts) + "/" + "".join(r.choice("ab/1") for _ in range(r.randrange(9))) + r.choice(["", "?q", "#f"]) for _ in range(300)] + ["http://org/" + "a/" * 30_000]
+    df = spark.createDataFrame([(k % 50 or None, u, "h") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    plain = []
+    for k, u in enumerate(urls):
+        host, path = urlfilter.parts(u)
+        fit = [(len(h), len(p), v == "block", h.lower() + p, v) for v, h, p in many if (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        best = max(fit, default=(0, 0, 0, None, "allow"))
+        plain.append((k % 50 or None, host, path, best[3], best[4]))
+    order = lambda rows: sorted(rows, key=repr)
+    as_table = spark.createDataFrame(many, "verdict string, host string, path string")
+    by_trie = order(map(tuple, urlfilter.filter_urls(df, many).collect()))
+    assert by_trie == order(plain) == order(map(tuple, urlfilter.filter_urls(df, as_table).collect()))
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 10)
+    for rules in (many, as_table):
+        assert order(map(tuple, urlfilter.filter_urls(df, rules).collect())) == order(plain)
+    assert urlfilter.filter_by_join(df.limit(0), as_table).count() == 0
+    assert {x.verdict for x in urlfilter.filter_by_join(df, as_table.limit(0)).collect()} == {"allow"}
+
+
 def test_language_id(spark):
     words = {"en": "the and of to in is that with".split(), "de": "der die und das nicht von zu mit".split(), "fr": "le la et les des une dans que".split()}
     r = random.Random(8)
@@ -659,6 +698,77 @@ def test_language_id(spark):
     assert [x.lang for x in unlabelled] == ["und"]
 
 
+def brute_languages(docs):
+    """doc_id to (language, posterior) of (doc_id, text, declared, host), all written out; every labelled document fits the model."""
+    code = lambda x: (m := re.fullmatch(r"\s*([A-Za-z]{2,3})([-_][\w-]*)?\s*", x or "", re.ASCII)) and m[1].lower()
+    suffix = lambda h: (m := re.search(r"\.([A-Za-z]+)$", h or "")) and m[1].lower()
+
+    def grams(text):
+        signs = [32] + [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in (text or "").encode()] + [32]
+        for x, y, z in zip(signs, signs[1:], signs[2:], strict=False):
+            if (x, y, z) != (32, 32, 32):
+                yield (((x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F & 0xFFFFFFFF) >> 16
+
+    declared = Counter(code(d) for _, _, d, _ in docs if code(d))
+    names = sorted(x for x, n in declared.items() if n >= langid.LEAST_DOCS)
+    size, b = len(names) + 1, langid.BUCKETS
+    seen = {x: Counter(g for _, t, d, _ in docs if code(d) == x for g in grams(t)) for x in names}
+    log = lambda x, g: float(np.float32(math.log((1 - langid.UNSEEN) * (seen[x][g] + 0.5) / (seen[x].total() + 0.5 * b) + langid.UNSEEN / b)))
+    norm = lambda logs: [math.exp(x - max(logs)) / sum(math.exp(y - max(logs)) for y in logs) for x in logs]
+    ll, own = [], []
+    for _, t, *_ in docs:
+        gs = list(grams(t))
+        ll.append([langid.TEMPER * sum(log(x, g) for g in gs) for x in names] + [langid.TEMPER * len(gs) * float(np.float32(math.log(1 / b)))])
+        own.append(norm([*ll[-1][:-1], ll[-1][-1] + math.log(langid.UNKNOWN_PRIOR)]) if gs else [0.0] * size)
+    keys = [(code(d), suffix(h), h and ".".join(h.split(".")[-2:]), h) for *_, d, h in docs]
+    total = [sum(o[k] for o in own) for k in range(size)]
+    out = {}
+    for i, (doc_id, t, _, _) in enumerate(docs):
+        def rest(which, i=i):  # all other documents of the value
+            value = keys[i][which]
+            return [0.0] * size if value is None else [max(0.0, sum(o[k] for o, q in zip(own, keys, strict=True) if q[which] == value) - own[i][k]) for k in range(size)]
+
+        toward = lambda sums, prior: [(s + langid.PSEUDO * p) / (sum(sums) + langid.PSEUDO) for s, p in zip(sums, prior, strict=True)]
+        share = toward([max(0.0, x - y) for x, y in zip(total, own[i], strict=True)], [1 / size] * size)
+        prior = toward(rest(3), toward(rest(2), share))
+        prior[-1] = langid.UNKNOWN_PRIOR
+        logs = [x + math.log(p) for x, p in zip(ll[i], prior, strict=True)]
+        for which in (0, 1):
+            if keys[i][which] is not None:
+                given = [g / s for g, s in zip(toward(rest(which), share), share, strict=True)]
+                logs = [x + math.log(g) for x, g in zip(logs, [*given[:-1], 1.0], strict=True)]
+        after = norm(logs)
+        best = after.index(max(after))
+        good = any(True for _ in grams(t)) and best < size - 1 and after[best] >= langid.LEAST
+        out[doc_id] = (names[best] if good else "und", after[best] if any(True for _ in grams(t)) else 0.0)
+    return out
+
+
+def test_language_id_matches_the_fusion_written_out(spark):
+    r = random.Random(3)
+    words = {"en": "the and of to in is".split(), "de": "der die und das nicht zu".split(), "pt": "que os uma para com".split()}
+    docs = []
+    for k in range(90):
+        x = ("en", "de", "pt")[k % 3]
+        text = " ".join(r.choice(words[x if r.random() < 0.7 else "en"]) for _ in range(1 + k % 7))
+        docs.append((k, text, r.choice([x, x.upper() + "-xx", x + "_1", None, "junk!", "de"]), r.choice([f"www.a{k % 4}.{x}", f"b.{x}", "nothing", None])))
+    docs += [(200, "qqq", "zz", "a0.en"), (201, None, "en", "a.de"), (202, "éé à ñ", None, "b.pt"), (203, "12", "pt", None)]
+    want = brute_languages(docs)
+    got = {x.doc_id: x for x in langid.identify(table(spark, docs)).collect()}
+    assert set(got) == set(want) and {got[i].lang for i in got} == {"en", "de", "pt", "und"}
+    for i, (lang, posterior) in want.items():
+        assert got[i].lang == lang and math.isclose(got[i].posterior, posterior, rel_tol=1e-4, abs_tol=1e-6), i
+
+
+def test_many_declared_languages_are_kept(spark):
+    r = random.Random(1)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqr"]
+    word = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for x in codes}
+    docs = [(k, " ".join(r.choice(word[x]) for _ in range(25)), x if k % 9 else None, None) for k, x in enumerate(codes * 8)]
+    got = langid.identify(table(spark, docs)).collect()
+    assert sum(x.lang == codes[x.doc_id % len(codes)] for x in got) >= 0.98 * len(docs)
+
+
 def test_host_and_declared_language_decide_what_the_text_leaves_open(spark):
     words = {"en": "the and of to".split(), "de": "der die und das".split()}
     docs = [(k, " ".join([random.Random(k).choice(words["en" if k % 2 else "de"])] * 9), "en" if k % 2 else "de", "en.org" if k % 2 else "de.org") for k in range(200)]
