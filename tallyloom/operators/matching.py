@@ -1,15 +1,23 @@
 """Scored matching of documents against master data: customers, delivery sites and articles.
 
-Weights are the fixed values below. Candidates come from equi-joins on blocking keys, so that no document meets every
-master row; only documents without any blocking key fall back to all of them, in a size-checked broadcast.
+Weights are the fixed values below. Every query is scored against all master rows in effect, but only those meet that could
+be its best or second. A pair's points come from flags (VAT, postal code or its first three characters, city) and from
+shared words. Rows that share flags alone have equal points, so the first two of each combination of flags stand for all;
+rows that share words come from inverted indexes; all others have no points. A word of a name, or a whole street or city
+text, that stands in more than OFTEN master rows makes no pair by itself: what it adds is 45 points at most, so that no
+match, which takes 75, is lost and none becomes ambiguous (GAP is 15).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.functions import normalize as N
-from tallyloom.operators.joins import BROADCAST_ROWS, cascade, token_matches
+from tallyloom.operators.joins import cascade, token_matches
 from tallyloom.operators.ranking import best_and_gap, top_k
 
 # fixed values: points of the batch matcher
@@ -18,6 +26,7 @@ CITY_SHARE, STREET_SHARE, NAME_SHARE = 0.2, 0.1, 0.15
 CITY_LEAST, STREET_LEAST = 60.0, 50.0
 SOLDTO_LEAST, SHIPTO_LEAST, GAP = 75.0, 80.0, 15.0
 FUZZY_LEAST = 65.0
+OFTEN = 1000
 
 FIELDS = ("name", "street", "postal", "city", "vat")
 
@@ -47,15 +56,46 @@ def scored(pairs: DataFrame, q: str = "q_", m: str = "m_") -> DataFrame:
     return pairs.withColumns({"score": F.round(score, 2), "by_vat": vat, "by_postal": postal | vat, "by_city": city})
 
 
+def _combinations(p: str) -> Column:
+    """Every combination of flags of a prepared row as a key: VAT or not, postal code, its beginning or neither, city or not."""
+    vat, postal, city = (F.nullif(F.col(f"{p}{c}"), F.lit("")) for c in ("vat", "postal", "city"))
+    near = F.when(F.length(postal) >= 3, F.left(postal, F.lit(3)))
+    key = lambda *parts: F.concat(*(F.concat(F.lit(f"{name}:"), value, F.lit("|")) for name, value in parts))  # noqa: E731  null if a part is
+    places = ((), (("p", postal),), (("n", near),))
+    chosen = [(*v, *place, *c) for v in ((), (("v", vat),)) for place in places for c in ((), (("c", city),))]
+    return F.array_compact(F.array(*(key(*parts) for parts in chosen if parts)))
+
+
+def _same_words(q: DataFrame, m: DataFrame, query_id: str, words: str, least: float) -> DataFrame:
+    """(query_id, ordinal) of rows whose distinct texts share `least` of 100 words."""
+    sets = lambda side, c: side.select(F.array_sort(c).alias("w")).filter(F.size("w") > 0)
+    keyed = lambda df, name: df.select(F.xxhash64("w").alias(name), F.col("w").alias(f"{name}w"))
+    mine, theirs = keyed(sets(q, f"q_{words}").distinct(), "_x"), sets(m, f"m_{words}").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= OFTEN)
+    alike = token_matches(mine, keyed(theirs, "_y"), "_x", "_xw", "_y", "_yw", least).select("_x", "_y")
+    ids = lambda side, key, c, name: side.select(key, F.xxhash64(F.array_sort(c)).alias(name))
+    return ids(q, query_id, f"q_{words}", "_x").join(alike, "_x").join(ids(m, "ordinal", f"m_{words}", "_y"), "_y").select(query_id, "ordinal")
+
+
 def candidates(queries: DataFrame, master: DataFrame, query_id: str) -> DataFrame:
-    """Pairs of prepared queries and master rows that share the VAT, three characters of the postal code, the city or a word of the name."""
-    keys = lambda p: F.array_distinct(F.array_compact(F.concat(
-        F.array(F.when(F.col(f"{p}vat") != "", F.concat(F.lit("v:"), f"{p}vat")), F.when(F.length(f"{p}postal") >= 3, F.concat(F.lit("p:"), F.left(f"{p}postal", F.lit(3)))), F.when(F.col(f"{p}city") != "", F.concat(F.lit("c:"), f"{p}city"))),
-        F.transform(f"{p}name", lambda w: F.when(F.length(w) >= 4, F.concat(F.lit("n:"), w)))
-    )))
-    left = queries.select(query_id, F.explode(keys("q_")).alias("_key"))
-    right = master.select("ordinal", F.explode(keys("m_")).alias("_key"))
-    return left.join(right, "_key").select(query_id, "ordinal").distinct()
+    """Pairs of prepared queries and master rows (ordinal) that can be the best or the second of a query."""
+    first = top_k(master.select("ordinal", F.explode(_combinations("m_")).alias("_key")), "_key", [F.asc("ordinal")], 2)
+    by_flags = queries.select(query_id, F.explode(_combinations("q_")).alias("_key")).join(first, "_key").select(query_id, "ordinal")
+    words = master.select("ordinal", F.explode("m_name").alias("_word"))
+    rare = words.join(words.groupBy("_word").agg(F.count("*").alias("_n")).filter(F.col("_n") <= OFTEN), "_word")
+    by_name = queries.select(query_id, F.explode("q_name").alias("_word")).join(rare, "_word").select(query_id, "ordinal")
+    return by_flags.unionByName(by_name).unionByName(_same_words(queries, master, query_id, "street", STREET_LEAST)).unionByName(_same_words(queries, master, query_id, "city_t", CITY_LEAST)).distinct()
+
+
+def _judged(pairs: DataFrame, queries: DataFrame, query_id: str, least: float, master_rows: Column) -> DataFrame:
+    """The best of each query's pairs; rows that are no pair have no points. master_rows: how many there are for a query."""
+    best = best_and_gap(scored(pairs), query_id, "score", "ordinal", GAP).select(query_id, "id", "score", "second", "by_postal", "by_city")
+    rows = queries.join(best, query_id, "left").withColumn("_n", F.coalesce(master_rows, F.lit(0)))
+    rows = rows.withColumns({"score": F.when(F.col("_n") > 0, F.coalesce("score", F.lit(0.0))), "second": F.when(F.col("_n") > 1, F.coalesce("second", F.lit(0.0)))})
+    rows = rows.withColumn("gap", F.round(F.col("score") - F.col("second"), 2))
+    sure = F.coalesce(F.col("by_postal") | F.col("by_city"), F.lit(False))
+    status = F.when(F.col("_n") == 0, "none").when(F.col("score") < least, "low").when((F.col("gap") < GAP) & ~sure, "ambiguous").otherwise("matched")
+    rows = rows.withColumn("status", status)
+    return rows.select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status")
 
 
 def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: float = SOLDTO_LEAST) -> DataFrame:
@@ -63,25 +103,26 @@ def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: f
 
     queries: query_id, name, street, postal, city, vat; master: the same fields, id and ordinal. Returns query_id, id,
     score, second, gap, status: matched, low (under least), ambiguous (gap under GAP with neither postal code nor city
-    equal) or none.
+    equal) or none (no master rows).
     """
     q, m = prepared(queries, "q_"), prepared(master, "m_").drop(*FIELDS)
     pairs = candidates(q, m, query_id).join(m, "ordinal").join(q, query_id)
-    best = best_and_gap(scored(pairs), query_id, "score", "ordinal", GAP)
-    status = F.when(F.col("score") < least, "low").when((F.col("gap") < GAP) & ~F.col("by_postal") & ~F.col("by_city"), "ambiguous").otherwise("matched")
-    best = best.withColumn("status", status).select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status")
-    return queries.select(query_id).join(best, query_id, "left").withColumn("status", F.coalesce("status", F.lit("none")))
+    total = F.broadcast(master.agg(F.count("*").alias("_total")))  # one row
+    return _judged(pairs, queries.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total"))
 
 
 def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: float = SHIPTO_LEAST) -> DataFrame:
-    """As match_parties(), among the sites of each query's own soldto only."""
-    q, m = prepared(queries, "q_"), prepared(sites, "m_").drop(*FIELDS)
+    """As match_parties(), among the sites of each query's own soldto only, and without VAT; a best site that only its street speaks for has status street_only."""
+    q, m = prepared(queries.drop("vat").withColumn("vat", F.lit("")), "q_"), prepared(sites, "m_").drop(*FIELDS)
     pairs = q.join(m, "soldto")
-    best = best_and_gap(scored(pairs), query_id, "score", "ordinal", GAP)
-    street_only = ~F.col("by_postal") & ~F.col("by_city")
-    status = F.when(F.col("score") < least, "low").when((F.col("gap") < GAP) & street_only, "ambiguous").otherwise("matched")
-    best = best.withColumn("status", status).select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status")
-    return queries.select(query_id).join(best, query_id, "left").withColumn("status", F.coalesce("status", F.lit("none")))
+    counts = sites.groupBy("soldto").agg(F.count("*").alias("_total"))
+    own = queries.select(query_id, "soldto").join(counts, "soldto", "left")
+    street = F.coalesce(N.token_jaccard(F.col("q_street"), F.col("m_street")), F.lit(0.0)) >= STREET_LEAST
+    best = best_and_gap(scored(pairs).withColumn("_street", street), query_id, "score", "ordinal", GAP)
+    weak = best.filter("_street and not by_postal and not by_city").select(query_id, F.lit(True).alias("_weak"))
+    rows = _judged(pairs, own, query_id, least, F.col("_total")).join(weak, query_id, "left")
+    status = F.when(F.col("_weak"), "street_only").otherwise(F.col("status"))
+    return rows.select(query_id, F.when(status == "matched", F.col("id")).alias("id"), "score", "second", "gap", status.alias("status"))
 
 
 def resolve_articles(lines: DataFrame, line_id: str, by_ean: DataFrame, by_code: DataFrame, master: DataFrame, discontinued: DataFrame, non_commercial: DataFrame) -> DataFrame:
@@ -106,13 +147,48 @@ def resolve_articles(lines: DataFrame, line_id: str, by_ean: DataFrame, by_code:
     return found.withColumn("error", error).drop("_ean", "_code", "_own", "_fuzzy", "_gone", "_raw")
 
 
+QUERY_BYTES = 64 << 20
+
+
 def cosine_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int = 5) -> DataFrame:
-    """(query_id, corpus_id, cosine) of the k nearest vectors to each of a size-checked set of queries; one pass over corpus with partial top-k."""
-    if queries.count() > BROADCAST_ROWS:
-        raise ValueError("too many queries to hold against every vector; block them first")
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    q = queries.select(F.col(query_id), unit(F.col(vector)).alias("_q"))
-    c = corpus.select(F.col(corpus_id), unit(F.col(vector)).alias("_c"))
-    pairs = c.join(F.broadcast(q), F.lit(True)).filter(F.col(query_id) != F.col(corpus_id))
-    scored_ = pairs.withColumn("cosine", F.aggregate(F.zip_with("_q", "_c", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-    return top_k(scored_.select(query_id, corpus_id, "cosine"), query_id, [F.desc("cosine"), F.asc(corpus_id)], k)
+    """(query_id, corpus_id, cosine) of the k nearest vectors to each query, other than the one of its own id.
+
+    Queries come in blocks of at most QUERY_BYTES of doubles, each broadcast in turn to one pass over the corpus, which
+    multiplies an Arrow batch by the block and keeps k rows of it to a query; a top-k by query follows.
+    """
+    size = queries.select(F.size(vector).alias("n")).agg(F.count("*"), F.max("n")).head()
+    rows, width = size[0], max(1, size[1] or 1)
+    blocks = max(1, -(-rows * width * 8 // QUERY_BYTES))
+    found = None
+    for b in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        part = _nearest(own, corpus.select(F.col(corpus_id).alias("id"), F.col(vector).cast("array<double>").alias("v")), query_id, corpus_id, k)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, query_id, [F.desc("cosine"), F.asc(corpus_id)], k)
+
+
+def _nearest(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, k: int) -> DataFrame:
+    got = queries.filter("v is not null").toArrow()  # a block of at most QUERY_BYTES
+    ids = got["id"].to_numpy()
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, unit(np.stack(got["v"].to_numpy())) if len(ids) else np.zeros((0, 1))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        for batch in batches:
+            if not len(batch) or not len(own):
+                continue
+            flat = batch["v"]
+            c = unit(flat.values.to_numpy(zero_copy_only=False)[flat.offsets[0].as_py() : flat.offsets[-1].as_py()].reshape(len(batch), -1))
+            them = batch["id"].to_numpy(zero_copy_only=False)
+            order = np.argsort(them, kind="stable")
+            cosine = c[order] @ q.T  # [corpus, query], of equal cosines the least id first
+            cosine[them[order][:, None] == own[None, :]] = -np.inf
+            top = np.argsort(-cosine, axis=0, kind="stable")[:k]
+            at, values = top.ravel(order="F"), np.take_along_axis(cosine, top, axis=0).ravel(order="F")
+            rows = np.repeat(own, len(top))
+            keep = np.isfinite(values)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[keep]), pa.array(them[order][at][keep]), pa.array(values[keep])], [query_id, corpus_id, "cosine"])
+
+    kinds = {x: corpus.schema["id"].dataType.simpleString() for x in (corpus_id,)} | {query_id: queries.schema["id"].dataType.simpleString()}
+    return corpus.filter("v is not null").mapInArrow(near, f"`{query_id}` {kinds[query_id]}, `{corpus_id}` {kinds[corpus_id]}, cosine double")

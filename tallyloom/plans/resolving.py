@@ -9,25 +9,53 @@ from tallyloom.operators import edifact, joins as J, matching as M, ranking as R
 from tallyloom.plans.tables import table
 
 
+def _parties(spark, d, name, key, label):
+    """A table of partners with the nations as cities, made-up streets and postal codes; some names, streets and cities differ in a word or are empty."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias(f"{name}_nationkey"), F.replace(F.lower("n_name"), F.lit("_"), F.lit(" ")).alias("town"))
+    k = F.col(key)
+    return table(spark, d, label).join(F.broadcast(nation), f"{name}_nationkey").select(
+        k.alias("k"), F.concat_ws(" ", F.when(k % 4 == 0, "Agence"), F.concat(F.lit("group "), (k % 90).cast("string")), F.when(k % 5 != 0, "sarl")).alias("name"),
+        F.when(k % 7 == 0, "").otherwise(F.concat_ws(" ", (k % 40).cast("string"), F.lit("rue"), "town", F.when(k % 3 == 0, "nord"))).alias("street"),
+        F.when(k % 11 == 0, "").otherwise(F.lpad((k * 37 % 90000).cast("string"), 5, "1")).alias("postal"),
+        F.when(k % 13 == 0, "").otherwise(F.concat_ws(" ", "town", F.when(k % 3 == 1, "sud"))).alias("city"), F.when(k % 17 == 0, F.concat(F.lit("FR"), (k % 170).cast("string"))).otherwise("").alias("vat"),
+    )
+
+
+_PARTIES = """p(side, k, town) AS (SELECT 'q', c_custkey, replace(lower(n_name), '_', ' ') FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'm', s_suppkey, replace(lower(n_name), '_', ' ') FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+f AS (SELECT side, k, concat_ws(' ', CASE WHEN k % 4 = 0 THEN 'agence' END, 'group ' || (k % 90), CASE WHEN k % 5 <> 0 THEN 'sarl' END) AS name,
+  CASE WHEN k % 7 = 0 THEN '' ELSE concat_ws(' ', (k % 40)::VARCHAR, 'rue', town, CASE WHEN k % 3 = 0 THEN 'nord' END) END AS street, CASE WHEN k % 11 = 0 THEN '' ELSE lpad((k * 37 % 90000)::VARCHAR, 5, '1') END AS postal,
+  CASE WHEN k % 13 = 0 THEN '' ELSE concat_ws(' ', town, CASE WHEN k % 3 = 1 THEN 'sud' END) END AS city, CASE WHEN k % 17 = 0 THEN 'FR' || (k % 170) ELSE '' END AS vat FROM p),
+w AS (SELECT *, list_filter(list_distinct(string_split(name, ' ')), lambda x: x <> '') AS nw, list_filter(list_distinct(string_split(street, ' ')), lambda x: x <> '') AS sw, list_filter(list_distinct(string_split(city, ' ')), lambda x: x <> '') AS cw FROM f)"""
+
+
 def score_top2_gap(spark, d):
-    """Customers as queries against the suppliers as master, with derived postal codes and the nations as cities."""
-    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("city"))
-    code = lambda k: F.lpad((F.col(k) * 37 % 90000).cast("string"), 5, "1")
-    queries = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("q"), F.col("c_name").alias("name"), F.lit("").alias("street"), code("c_custkey").alias("postal"), "city", F.lit("").alias("vat"))
-    master = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"), F.lit("").alias("street"), code("s_suppkey").alias("postal"), "city", F.lit("").alias("vat"))
-    return M.match_parties(queries, master, "q").withColumn("id", F.coalesce("id", F.lit(-1)))
-
-
-SCORE_TOP2_GAP = """
-WITH q AS (SELECT c_custkey AS q, lpad((c_custkey * 37 % 90000)::VARCHAR, 5, '1') AS p, c_nationkey AS n, regexp_extract(c_name, '[0-9]+$') AS w FROM customer),
-m AS (SELECT s_suppkey AS id, lpad((s_suppkey * 37 % 90000)::VARCHAR, 5, '1') AS p, s_nationkey AS n, regexp_extract(s_name, '[0-9]+$') AS w FROM supplier),
-c AS (SELECT q.q, m.id, q.p = m.p AS by_postal, q.n = m.n AS by_city,
-  round(CASE WHEN q.p = m.p THEN 35 WHEN left(q.p, 3) = left(m.p, 3) THEN 15 ELSE 0 END + CASE WHEN q.n = m.n THEN 30 ELSE 0 END
-  + CASE WHEN q.w = m.w THEN 0.15 * (100.0 / 3) ELSE 0 END + CASE WHEN q.p = m.p AND q.n = m.n THEN 15 ELSE 0 END, 2)::DOUBLE AS score
-  FROM q JOIN m ON left(q.p, 3) = left(m.p, 3) OR q.n = m.n OR q.w = m.w),
-r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM c WINDOW w AS (PARTITION BY q ORDER BY score DESC, id)),
-b AS (SELECT *, score - second AS gap, CASE WHEN score < 75 THEN 'low' WHEN score - second < 15 AND NOT by_postal AND NOT by_city THEN 'ambiguous' ELSE 'matched' END AS status FROM r WHERE k = 1)
-SELECT q.q, CASE WHEN status = 'matched' THEN id ELSE -1 END AS id, score, second, gap, coalesce(status, 'none') AS status FROM q LEFT JOIN b ON b.q = q.q"""
+    """Customers as queries against all suppliers as master."""
+    master = _parties(spark, d, "s", "s_suppkey", "supplier").withColumns({"id": F.col("k"), "ordinal": F.col("k")}).drop("k")
+    return M.match_parties(_parties(spark, d, "c", "c_custkey", "customer").withColumnRenamed("k", "q"), master, "q").withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+_SCORED = """j AS (SELECT q.k AS q, m.k AS id, q.town AS q_town, m.town AS m_town, {vat} AS v, q.postal <> '' AND q.postal = m.postal AS p, q.postal <> '' AND m.postal <> '' AND left(q.postal, 3) = left(m.postal, 3) AS p3, q.city <> '' AND q.city = m.city AS c,
+  coalesce(100.0 * len(list_intersect(q.nw, m.nw)) / nullif(len(list_distinct(q.nw || m.nw)), 0), 0) AS jn, coalesce(100.0 * len(list_intersect(q.sw, m.sw)) / nullif(len(list_distinct(q.sw || m.sw)), 0), 0) AS js,
+  coalesce(100.0 * len(list_intersect(q.cw, m.cw)) / nullif(len(list_distinct(q.cw || m.cw)), 0), 0) AS jc FROM w q JOIN w m ON q.side = 'q' AND m.side = 'm' AND {on}),
+s AS (SELECT *, v OR p AS by_postal, round(80.0 * v::INT + CASE WHEN p THEN 35.0 WHEN p3 THEN 15.0 ELSE 0.0 END + CASE WHEN c THEN 30.0 WHEN jc >= 60 THEN jc * 0.2 ELSE 0.0 END
+  + CASE WHEN js >= 50 THEN js * 0.1 ELSE 0.0 END + 0.15 * jn + CASE WHEN {both} AND c THEN 15.0 ELSE 0.0 END, 2)::DOUBLE AS score FROM j),
+r AS (SELECT *, row_number() OVER o AS n, lead(score) OVER o AS second FROM s WINDOW o AS (PARTITION BY q ORDER BY score DESC, id))"""
+SCORE_TOP2_GAP = "WITH " + _PARTIES.replace("w AS (SELECT *,", "w AS (SELECT f.*, town,").replace("FROM f)", "FROM f JOIN p USING (side, k))") + ", " + _SCORED.format(vat="q.vat <> '' AND q.vat = m.vat", on="true", both="(v OR p)") + """,
+b AS (SELECT *, CASE WHEN score < 75 THEN 'low' WHEN score - second < 15 AND NOT by_postal AND NOT c THEN 'ambiguous' ELSE 'matched' END AS status FROM r WHERE n = 1)
+SELECT q, CASE WHEN status = 'matched' THEN id ELSE -1 END AS id, score, second, round(score - second, 2) AS gap, status FROM b"""
+
+
+def match_sites(spark, d):
+    """Customers as queries against the suppliers of their nation as delivery sites."""
+    nation = lambda t, p, key: table(spark, d, t).select(F.col(key).alias("k"), F.col(f"{p}_nationkey").alias("soldto"))
+    queries = _parties(spark, d, "c", "c_custkey", "customer").join(nation("customer", "c", "c_custkey"), "k").withColumnRenamed("k", "q")
+    sites = _parties(spark, d, "s", "s_suppkey", "supplier").join(nation("supplier", "s", "s_suppkey"), "k").withColumns({"id": F.col("k"), "ordinal": F.col("k")}).drop("k")
+    return M.match_sites(queries, sites, "q").withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+MATCH_SITES = "WITH " + _PARTIES.replace("w AS (SELECT *,", "w AS (SELECT f.*, town,").replace("FROM f)", "FROM f JOIN p USING (side, k))") + ", " + _SCORED.format(vat="false", on="q.town = m.town", both="p") + """,
+b AS (SELECT *, CASE WHEN js >= 50 AND NOT by_postal AND NOT c THEN 'street_only' WHEN score < 80 THEN 'low' WHEN score - second < 15 AND NOT by_postal AND NOT c THEN 'ambiguous' ELSE 'matched' END AS status FROM r WHERE n = 1)
+SELECT c_custkey AS q, CASE WHEN status = 'matched' THEN id ELSE -1 END AS id, score, second, round(score - second, 2) AS gap, coalesce(status, 'none') AS status FROM customer LEFT JOIN b ON q = c_custkey"""
 
 
 def partners_with_fallback(spark, d):
@@ -331,7 +359,7 @@ def validate_message(spark, d):
 VALIDATE_MESSAGE = "SELECT DISTINCT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING_BUYER' ELSE '' END AS errors FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 QUERIES = {
-    "score_top2_gap": (score_top2_gap, SCORE_TOP2_GAP), "partners_with_fallback": (partners_with_fallback, PARTNERS_WITH_FALLBACK), "prefix_block_join": (prefix_block_join, PREFIX_BLOCK_JOIN), "mutual_prefix_join": (mutual_prefix_join, MUTUAL_PREFIX_JOIN),
+    "score_top2_gap": (score_top2_gap, SCORE_TOP2_GAP), "match_sites": (match_sites, MATCH_SITES), "partners_with_fallback": (partners_with_fallback, PARTNERS_WITH_FALLBACK), "prefix_block_join": (prefix_block_join, PREFIX_BLOCK_JOIN), "mutual_prefix_join": (mutual_prefix_join, MUTUAL_PREFIX_JOIN),
     "buyer_candidates_union": (buyer_candidates_union, BUYER_CANDIDATES), "token_jaccard_match": (token_jaccard_match, TOKEN_JACCARD_MATCH), "cascade_lookup": (cascade_lookup, CASCADE_LOOKUP), "article_resolution": (article_resolution, ARTICLE_RESOLUTION),
     "blocked_anti": (blocked_anti, BLOCKED_ANTI), "semi_variants": (semi_variants, SEMI_VARIANTS), "or_duplicate": (or_duplicate, OR_DUPLICATE), "asof_backward": (asof_backward, ASOF_BACKWARD), "asof_forward": (asof_forward, ASOF_FORWARD),
     "cosine_topk": (cosine_topk, COSINE_TOPK), "shape_histogram": (shape_histogram, SHAPE_HISTOGRAM), "context_window": (context_window, CONTEXT_WINDOW), "section_window": (section_window, SECTION_WINDOW), "dedupe_first_occurrence": (dedupe_first_occurrence, DEDUPE_FIRST),
