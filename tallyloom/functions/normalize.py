@@ -163,6 +163,47 @@ def compact_date(x: Column) -> Column:
     return F.date_format(F.when(t.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}"), french).when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), iso).otherwise(eight), "yyyyMMdd")
 
 
+def loose_date(x: Column) -> Column:
+    """Eight digits of a date in other forms, without a look at the calendar: year first, or day first with parts of one or two digits and a year of two (20yy) or four; '' if it is none of these."""
+    t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^0-9/.\s-]", ""))
+    two = lambda c: F.lpad(c, 2, "0")
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    year_first, day_first, short = r"^(\d{4})[/.\s-](\d{1,2})[/.\s-](\d{1,2})$", r"^(\d{1,2})[/.\s-](\d{1,2})[/.\s-](\d{4})$", r"^(\d{1,2})[/.\s-](\d{1,2})[/.\s-](\d{2})$"
+    return (
+        F.when(t.rlike(r"^\d{8}$"), t).when(t.rlike(year_first), F.concat(part(year_first, 1), two(part(year_first, 2)), two(part(year_first, 3))))
+        .when(t.rlike(day_first), F.concat(part(day_first, 3), two(part(day_first, 2)), two(part(day_first, 1))))
+        .when(t.rlike(short), F.concat(F.lit("20"), part(short, 3), two(part(short, 2)), two(part(short, 1)))).otherwise("")
+    )
+
+
+def utc_time(x: Column) -> Column:
+    """ISO 8601 texts as timestamps; without an offset they are UTC. Null if they are none. The session's time zone must be UTC."""
+    return F.when(F.trim(x).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.replace(F.trim(x), F.lit(","), F.lit(".")).try_cast("timestamp"))
+
+
+def department(postal: Column) -> Column:
+    """The first two digits, NA with fewer."""
+    digits = F.regexp_replace(F.coalesce(postal, F.lit("")), "[^0-9]", "")
+    return F.when(F.length(digits) >= 2, F.left(digits, F.lit(2))).otherwise("NA")
+
+
+def control_reference(order_number: Column, at: Column) -> Column:
+    """The last nine letters and digits and the time, fourteen characters at most."""
+    return F.left(F.concat(F.right(F.regexp_replace(F.upper(order_number), "[^A-Z0-9]", ""), F.lit(9)), F.date_format(at, "HHmm")), F.lit(14))
+
+
+def message_file(soldto: Column, order_number: Column, at: Column) -> Column:
+    bare = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    return F.concat(F.lit("ORDERS_"), bare(soldto), F.lit("_"), bare(order_number), F.lit("_"), F.date_format(at, "yyyyMMddHHmmss"), F.lit(".tst"))
+
+
+def actor(x: Column) -> Column:
+    """Who did something, in lower case: an address as it is, the end of a path, what follows user: or users:."""
+    v = F.lower(F.trim(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), "^[\"']+|[\"']+$", "")))
+    tail = F.trim(F.element_at(F.split(F.translate(v, "\\", "/"), "/"), -1))
+    return F.when(F.contains(v, F.lit("@")), v).when(F.contains(v, F.lit("/")), tail).when(v.rlike("^users?:"), F.trim(F.regexp_replace(v, "^users?:", ""))).otherwise(v)
+
+
 def siren_vat(siren: Column) -> Column:
     """French VAT number of nine SIREN digits (blanks allowed), null otherwise."""
     digits = F.regexp_replace(siren, r"\s", "")
