@@ -120,3 +120,45 @@ def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name:
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " "))).otherwise(F.array().cast("array<string>"))))
     keyed = names.select(F.col(name), F.array_join(F.filter(F.split(F.lower(F.col(name)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("_g")).filter("_g <> ''").distinct()
     return grams.select(text_id, F.explode_outer(F.array_distinct(runs)).alias("_g")).join(keyed, "_g").select(text_id, name).distinct()
+
+
+def client_numbers(docs: DataFrame, known: DataFrame, doc: str) -> DataFrame:
+    """(doc, id, how) of known customer numbers (id) in a text: on a line with a client label or the next two (label), else of eight digits from 1 on anywhere (alone)."""
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")
+    rows = docs.select(doc, "text", lines.alias("_l"))
+    marks = F.transform("_l", lambda x: x.rlike(r"(?i)N.{0,3}\s*Client"))
+    labelled = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.when(F.get("_m", i) | F.coalesce(F.get("_m", i - 1), F.lit(False)) | F.coalesce(F.get("_m", i - 2), F.lit(False)), F.regexp_extract_all(F.get("_l", i), F.lit(r"(?<!\d)(\d{7,10})"), F.lit(1))).otherwise(F.array().cast("array<string>"))))
+    alone = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b(1[0-9]{7})\b"), F.lit(1))
+    bare = lambda c: F.regexp_replace(c, "^0+(?=.)", "")
+    found = rows.withColumn("_m", marks).select(doc, F.explode(F.concat(F.transform(labelled, lambda x: F.struct(bare(x).alias("id"), F.lit(0).alias("k"))), F.transform(alone, lambda x: F.struct(x.alias("id"), F.lit(1).alias("k"))))).alias("x")).select(doc, "x.*")
+    hits = found.join(known.select("id").distinct(), "id", "left_semi").groupBy(doc, "id").agg(F.min("k").alias("k"))
+    first = hits.groupBy(doc).agg(F.min("k").alias("k"))
+    return hits.join(first, [doc, "k"], "left_semi").select(doc, "id", F.when(F.col("k") == 0, "label").otherwise("alone").alias("how"))
+
+
+def contained_either_way(asked: DataFrame, master: DataFrame, key: str, name: str, other: str) -> DataFrame:
+    """(key, other) of pairs of which one name has the other in it as whole words: each side's runs of as many words as names of the other side have, joined on the run."""
+    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    a = asked.select(key, words(name).alias("_w")).filter(F.size("_w") > 0)
+    b = master.select(other, words(other).alias("_w")).filter(F.size("_w") > 0).distinct()
+
+    def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        lengths = F.broadcast(inner.agg(F.collect_set(F.size("_w")).alias("_k")))  # one row: how many words names have
+        runs = F.flatten(F.transform(F.filter("_k", lambda k: k <= F.size("_w")), lambda k: F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.array_join(F.slice("_w", i + 1, k), " "))))
+        grams = outer.join(lengths, F.lit(True)).withColumn("_g", F.explode(F.array_distinct(runs))).drop("_w", "_k")
+        return grams.join(inner.withColumn("_g", F.array_join("_w", " ")).drop("_w"), "_g").drop("_g")
+
+    return inside(a, b).select(key, other).unionByName(inside(b, a).select(key, other)).distinct()
+
+
+def partners_of_vat(customers: DataFrame, sites: DataFrame, soldto: str, id: str = "id") -> DataFrame:
+    """(soldto, id, city) of the sites of all customers that share a customer's VAT number, each once; of customers without one their own. customers: soldto, vat; sites: soldto, id, city."""
+    own = customers.select(F.col(soldto).alias("_own"), F.coalesce(F.nullif(N.vat_key(F.coalesce("vat", F.lit(""))), F.lit("")), F.concat(F.lit("="), F.col(soldto).cast("string"))).alias("_vat"))
+    alike = own.join(own.select("_vat", F.col("_own").alias(soldto)), "_vat")
+    return alike.join(sites, soldto).groupBy("_own", id).agg(F.min("city").alias("city")).withColumnRenamed("_own", soldto)
+
+
+def with_partner_names(orders: DataFrame, sales: DataFrame, partners: DataFrame, key: str) -> DataFrame:
+    """orders with the soldto of the latest sale of their number, and that customer's name: two equi-joins. sales: order_no, soldto, at, ordinal; partners: soldto, name."""
+    found = orders.withColumn("_key", N.order_key(F.col("order_no"))).join(latest_sales(sales).select("_key", "soldto"), "_key", "left")
+    return found.join(partners.select("soldto", F.col("name").alias("partner")), "soldto", "left").select(*orders.columns, "soldto", "partner")
