@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but
 the last return the columns of documents. Decisions are small tables of row ids; they are broadcast up to BROADCAST_ROWS
 rows and joined by shuffle beyond. A stage gives each row an id of its own (_numbered()), decides by it and drops it, so
-that rows with a null or repeated doc_id are judged one by one like others; only as near-duplicates those with a null stay.
+that rows with a null or repeated doc_id are judged one by one like others.
 """
 
 from __future__ import annotations
@@ -56,12 +56,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, one if rows repeat it; rows with a null doc_id stay."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays, one if rows repeat it; one without a doc_id only where none in the group has any."""
     scratch = Scratch(spark, "copies")
     rows = _numbered(docs, "copies")
-    found = near_duplicates(_named(rows.filter("doc_id is not null"))).select(F.col("doc_id").alias("_row"), "component_id")
+    found = near_duplicates(_named(rows)).select(F.col("doc_id").alias("_row"), "component_id")
     found = scratch.keep(found.join(rows.select("_row", "doc_id"), "_row"), "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x"), F.count("*").alias("n")).filter("n > 1")
     gone = found.join(_bounded(first.select("component_id", F.col("x._row").alias("_first")), scratch), "component_id").filter("_row <> _first")
     return _without(rows, gone.select(F.col("_row").alias("doc_id")), "copies").select(docs.columns)
 

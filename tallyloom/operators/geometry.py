@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyloom.functions import normalize as N
+
 COLUMN_SHARE = 0.22
+_BOX = ("x0", "y0", "x1", "y1")
 
 
 def lines_from_words(words: DataFrame, page: list[str]) -> DataFrame:
@@ -71,6 +74,18 @@ def nearest_anchor(boxes: DataFrame, anchors: DataFrame, page: list[str], box_id
     return best.select(*page, box_id, F.col(f"x.{anchor_id}").alias(anchor_id), F.col("x.distance").alias("distance"))
 
 
+def split_anchors(lines: DataFrame, page: list[str]) -> DataFrame:
+    """(page, box) of labels in two parts: a line that ends with `lieu de` and a line `livraison` under or beside it. lines: page, text, width, height, box."""
+    folded = N.fold_text(F.trim("text"))
+    a = lines.filter(F.endswith(folded, F.lit("lieu de"))).select(*page, "width", "height", *(F.col(c).alias(f"a_{c}") for c in _BOX))
+    b = lines.filter(folded.isin("livraison", "livraison:")).select(*page, *(F.col(c).alias(f"b_{c}") for c in _BOX))
+    slack, gap = 0.03 * F.col("height"), F.col("b_y0") - F.col("a_y1")
+    under = gap.between(-slack, 3 * slack) | (F.abs(F.col("b_y0") - F.col("a_y0")) <= slack)
+    column = same_column("a_", "b_", F.col("width")) | (F.abs(F.col("a_x0") - F.col("b_x0")) <= 0.2 * F.col("width"))
+    low, high = (lambda c: F.least(f"a_{c}", f"b_{c}").alias(c)), (lambda c: F.greatest(f"a_{c}", f"b_{c}").alias(c))
+    return a.join(b, page).filter(under & column).select(*page, low("x0"), low("y0"), high("x1"), high("y1"))
+
+
 # fixed values: points of an address candidate and of its place on the page
 POSTAL, CITY, STREET, NAME, PAIR, MISMATCH = 25, 20, 25, 10, 15, -35
 NEGATIVE_SHARE, ABOVE_SHARE, COLUMN, OTHER_COLUMN, MOST = 0.65, 0.35, 12, 45, 100
@@ -84,9 +99,6 @@ def quality(postal: Column, city: Column, street: Column, name: Column, validati
     return has(postal, POSTAL) + has(city, CITY) + has(street, STREET) + has(name, NAME) + pair
 
 
-_BOX = ("x0", "y0", "x1", "y1")
-
-
 def placed_candidates(candidates: DataFrame, anchors: DataFrame, page: list[str], candidate_id: str) -> DataFrame:
     """(page, candidate_id, total, position) of each candidate.
 

@@ -20,7 +20,7 @@ def top_k(rows: DataFrame, group: Keys, order: Sequence[Column], k: int = 1) ->
 
 
 def latest_per_key(rows: DataFrame, key: Keys, at: str, ordinal: str) -> DataFrame:
-    """One row for each key: the last by time, then by ordinal. A partial aggregate over whole rows, so that a hot key needs no sort."""
+    """One row for each key: the last by time, then by ordinal. Aggregated in each task before the shuffle, so that a hot key sends one row of a task. (Spark sorts for it, as a struct has no mutable buffer.)"""
     keys = _list(key)
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(at, ordinal)).alias("_row"))
     return best.select("_row.*")

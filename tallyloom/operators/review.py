@@ -138,6 +138,13 @@ def settings(raw: Column, texts: Sequence[str], flags: Sequence[str], numbers: M
     return F.transform_values(F.map_filter(raw, lambda k, v: k.isin(*texts, *flags, *numbers)), clean)
 
 
+def search_memo(lines: DataFrame, group: str, ordinal: str, text: str, word: str, around: int = 2) -> DataFrame:
+    """The lines that have word in them, letters of either case, each with the lines around it as context."""
+    from tallyloom.operators.ranking import context
+
+    return context(lines, group, ordinal, text, around).filter(F.contains(F.lower(text), F.lit(word.lower())))
+
+
 def section(lines: DataFrame, group: str, ordinal: str, text: str, word: str) -> DataFrame:
     """The lines of the first section of each group whose heading (## ...) has word in it, letters of either case, up to the next heading."""
     heading = F.startswith(text, F.lit("## "))

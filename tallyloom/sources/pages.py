@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from tallyloom.functions.extract import page_selection
 
 LEAST_CHARS = 80
 Reader = Callable[[bytes], list[str]]
@@ -39,3 +41,10 @@ def read_pages(files: DataFrame, readers: Sequence[tuple[str, Reader]]) -> DataF
             yield pd.DataFrame(out, columns=["path", "page", "text", "reader", "error"]).astype({"page": "Int32"})
 
     return files.select("path", "content").mapInPandas(read, _PAGES)
+
+
+def selected_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages (path, page, ...) that wanted (path, selection: a list like 1,3-5) names; of files without a selection all, of an invalid one none."""
+    counts = pages.groupBy("path").agg(F.max("page").alias("_n"))
+    chosen = counts.join(wanted, "path").select("path", F.coalesce(page_selection(F.col("selection"), F.col("_n")), F.array().cast("array<int>")).alias("_pages"))
+    return pages.join(chosen, "path", "left").filter(F.col("_pages").isNull() | F.array_contains("_pages", F.col("page"))).select(pages.columns)

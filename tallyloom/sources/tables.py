@@ -9,21 +9,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SEPARATORS = (";", ",", "\t")
 
 
+SAMPLE_CHARS = 2048
+
+# the bytes of Windows-1252 that ISO-8859-1 reads as control characters, and what they stand for; five bytes stand for nothing
+_C1 = [x for x in range(0x80, 0xA0) if x not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+_CONTROLS, _MEANT = "".join(map(chr, _C1)), bytes(_C1).decode("cp1252")
+
+
+def sample(spark: SparkSession, path: str) -> str:
+    """The first SAMPLE_CHARS characters of a text file, comment lines left out; what is no UTF-8 is U+FFFD."""
+    lines = spark.read.text(path).filter("value not like '#%'").limit(SAMPLE_CHARS // 8).collect()
+    return "\n".join(x for x, in lines)[:SAMPLE_CHARS]
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The most frequent separator of the first line that is no comment; of equal ones the first of SEPARATORS."""
-    first = spark.read.text(path).filter("value not like '#%'").limit(1).collect()
-    sample = first[0][0] if first else ""
-    return max(SEPARATORS, key=lambda s: (sample.count(s), -SEPARATORS.index(s)))
+    """The most frequent separator of the sample; of equal ones the first of SEPARATORS."""
+    text = sample(spark, path)
+    return max(SEPARATORS, key=lambda s: (text.count(s), -SEPARATORS.index(s)))
 
 
-def read_master(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], mandatory: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with logical column names. aliases: logical name to physical headers; other headers are lower-cased; ValueError if a mandatory one is missing."""
-    raw = spark.read.csv(path, sep=sniff_separator(spark, path), header=True, encoding=encoding, inferSchema=False, mode="DROPMALFORMED")
+def western(text: Column) -> Column:
+    """Text that was read as ISO-8859-1, as Windows-1252 where that has a character for every byte."""
+    return F.when(text.rlike("[\\x81\\x8d\\x8f\\x90\\x9d]"), text).otherwise(F.translate(text, _CONTROLS, _MEANT))
+
+
+def read_master(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], mandatory: Sequence[str], encoding: str | None = None) -> DataFrame:
+    """A CSV file with logical column names. aliases: logical name to physical headers; other headers are lower-cased; ValueError if a mandatory one is missing. Without an encoding: UTF-8 if the sample is, else Windows-1252."""
+    found = encoding or ("ISO-8859-1" if "\ufffd" in sample(spark, path) else "UTF-8")
+    raw = spark.read.csv(path, sep=sniff_separator(spark, path), header=True, encoding=found, inferSchema=False, mode="DROPMALFORMED")
     logical = {h.lower(): name for name, headers in aliases.items() for h in (*headers, name)}
-    names = {c: logical.get(c.lstrip("﻿").strip().lower(), c.lstrip("﻿").strip().lower()) for c in raw.columns}
+    bare = lambda c: c.removeprefix("\u00ef\u00bb\u00bf").lstrip("\ufeff").strip().lower()
+    names = {c: logical.get(bare(c), bare(c)) for c in raw.columns}
     if lacking := [x for x in mandatory if x not in names.values()]:
         raise ValueError(f"{path} lacks {', '.join(lacking)}")
-    return raw.select(*(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(n) for c, n in names.items()))
+    value = lambda c: F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))
+    return raw.select(*((western(value(c)) if found == "ISO-8859-1" and not encoding else value(c)).alias(n) for c, n in names.items()))
+
+
+def last_wins(rows: DataFrame, key: str) -> DataFrame:
+    """One row to each filled key, the last in the order of the file."""
+    numbered = rows.filter(F.col(key) != "").withColumn("_n", F.monotonically_increasing_id())
+    return numbered.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "_n").alias("_row")).select("_row.*")
+
+
+def load_masters(spark: SparkSession, paths: Mapping[str, str], aliases: Mapping[str, Mapping[str, Sequence[str]]], mandatory: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """customers, partners and materials, and sales if its path is given; of materials with one id the last counts. FileNotFoundError for the first that must be there and has no path."""
+    if lacking := [x for x in ("customers", "partners", "materials") if not paths.get(x)]:
+        raise FileNotFoundError(f"no path for {', '.join(lacking)}")
+    out = {name: read_master(spark, path, aliases.get(name, {}), mandatory.get(name, ())) for name, path in paths.items() if path}
+    return out | {"materials": last_wins(out["materials"], mandatory["materials"][0])}
+
+
+def check_profile(rows: DataFrame, expected: Mapping[str, str]) -> list[str]:
+    """What is wrong with a table of profiles, which must be one row of these values."""
+    found = rows.select(*expected).limit(2).collect()
+    if len(found) != 1:
+        return [f"{'no' if not found else 'more than one'} profile"]
+    return [f"{k} is {found[0][k]!r}, not {v!r}" for k, v in expected.items() if (found[0][k] or "").strip() != v]
+
+
+def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of paths that do not exist in their file system."""
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    return [x for x in paths if not path_of(x).getFileSystem(conf).exists(path_of(x))]
 
 
 def read_lookup(spark: SparkSession, path: str, key: str, value: str | None = None) -> DataFrame:
@@ -55,10 +103,16 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", recursive
     return found.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def read_texts(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = 200_000) -> DataFrame:
+    """path, length and text of the files below path, of each the first most_bytes."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length", decoded(F.substring("content", 1, most_bytes)).alias("text"))
+
+
 def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-8 if it is valid, else Latin-1; a byte order mark goes."""
-    text = F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, "^﻿", "")
+    """Text of bytes: UTF-8 if it is valid, else Windows-1252, else ISO-8859-1; a byte order mark goes."""
+    text = F.coalesce(F.try_validate_utf8(content.cast("string")), western(F.decode(content, "ISO-8859-1")))
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def load_audit(rows: DataFrame, name: str, required: Sequence[str]) -> DataFrame:
