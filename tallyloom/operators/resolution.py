@@ -14,9 +14,9 @@ LEVELS = ((80, 95, "validated"), (50, 75, "probable"), (20, 50, "to_check"))
 ONLY, WEAK = (70, "only_site"), (30, "weak")
 
 
-def site_points(text: Column, postal: Column, city: Column, street: Column, name: Column, seen_postal: Column, seen_city: Column) -> Column:
-    """Points of a site by what of it stands in a text, more where the detected address says the same."""
-    body, post = N.fold_text(F.coalesce(text, F.lit(""))), F.coalesce(N.postal_digits(postal), F.lit(""))
+def site_points(body: Column, postal: Column, city: Column, street: Column, name: Column, seen_postal: Column, seen_city: Column) -> Column:
+    """Points of a site by what of it stands in a folded text, more where the detected address says the same."""
+    post = F.coalesce(N.postal_digits(postal), F.lit(""))
     fold = lambda c: F.coalesce(N.fold_text(c), F.lit(""))
     there = lambda c, least: (F.length(c) > least) & F.contains(body, c)
     has_postal, has_city = there(post, 0), there(fold(city), 3)
@@ -35,7 +35,8 @@ def cross_resolve(docs: DataFrame, leads: DataFrame, sites: DataFrame, doc_id: s
 
     The most specific path with a lead counts. Of several customers by VAT number or name, the one with the best site is
     taken, otherwise the first. The customer's own address, in texts as the sender's, loses OWN_ADDRESS points if another
-    of its sites is STRONG. Each document meets the sites of its own leads only.
+    of its sites is STRONG. Each document meets the sites of its own leads only; these come to it as one array, so that no
+    text is copied for each of them.
     """
     rank = F.array_position(F.array(*map(F.lit, PATHS)), F.col("path")).cast("int")
     leads = leads.filter("soldto is not null").withColumn("rank", rank).filter("rank > 0").groupBy(doc_id, "rank", "soldto").agg(F.min("place").alias("lead_place"))
@@ -43,10 +44,15 @@ def cross_resolve(docs: DataFrame, leads: DataFrame, sites: DataFrame, doc_id: s
     own = Window.partitionBy(doc_id)
     chosen = chosen.withColumns({"n": F.count("*").over(own), "first": F.min(F.struct("lead_place", "soldto")).over(own)})
     chosen = chosen.filter((F.col("rank") > 2) | (F.col("soldto") == F.col("first.soldto")))
-    spots = sites.select("soldto", "id", F.col("place").alias("site_place"), "name", "street", F.col("postal").alias("site_postal"), F.col("city").alias("site_city"))
-    pairs = chosen.join(docs.select(doc_id, "text", "postal", "city"), doc_id).join(spots, "soldto", "left")
-    points = site_points(F.col("text"), F.col("site_postal"), F.col("site_city"), F.col("street"), F.col("name"), F.col("postal"), F.col("city"))
-    scored = pairs.withColumn("raw", F.when(F.col("id").isNull(), -1).otherwise(points)).select(doc_id, "rank", "n", "soldto", "lead_place", "id", "site_place", "raw")
+    spots = sites.groupBy("soldto").agg(F.collect_list(F.struct("id", "place", "name", "street", "postal", "city")).alias("spots"))
+    gathered = chosen.join(spots, "soldto", "left").groupBy(doc_id, "rank", "n").agg(F.collect_list(F.struct("soldto", "lead_place", "spots")).alias("leads"))
+    texts = docs.select(doc_id, N.fold_text(F.coalesce("text", F.lit(""))).alias("body"), "postal", "city")
+    points = lambda s: site_points(F.col("body"), s.postal, s.city, s.street, s["name"], F.col("postal"), F.col("city"))
+    row = lambda x, *site: F.struct(x.soldto.alias("soldto"), x.lead_place.alias("lead_place"), *(c.alias(name) for name, c in zip(("id", "site_place", "raw"), site, strict=True)))
+    kinds = dict(sites.dtypes)
+    alone = lambda x: F.array(row(x, F.lit(None).cast(kinds["id"]), F.lit(None).cast(kinds["place"]), F.lit(-1)))
+    rated = F.flatten(F.transform("leads", lambda x: F.when(x.spots.isNull(), alone(x)).otherwise(F.transform(x.spots, lambda s: row(x, s.id, s.place, points(s).cast("int"))))))
+    scored = gathered.join(texts, doc_id).select(doc_id, "rank", "n", F.explode(rated).alias("x")).select(doc_id, "rank", "n", "x.*")
 
     winner = scored.groupBy(doc_id).agg(F.max_by("soldto", F.struct("raw", -F.col("lead_place"), -F.coalesce("site_place", F.lit(0)))).alias("soldto"))
     scored = scored.join(winner, [doc_id, "soldto"])
