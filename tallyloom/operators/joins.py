@@ -1,4 +1,4 @@
-"""Joins that recur in resolving documents against master data. Small sides are left to Spark's statistics or to bounded()."""
+"""Joins that recur in resolving documents against master data. Which side is small is left to Spark's statistics."""
 
 from __future__ import annotations
 
@@ -9,14 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyloom.functions import normalize as N
 from tallyloom.operators.ranking import latest_per_key
 
-BROADCAST_ROWS = 100_000
-
-
-def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it is counted to hold at most `rows`."""
-    return F.broadcast(side) if side.count() <= rows else side
-
-
 def with_fallback(keys: DataFrame, first: DataFrame, second: DataFrame, on: str) -> DataFrame:
     """Rows of first for each key, or of second where first has none."""
     lacking = keys.join(first.select(on).distinct(), on, "left_anti")
@@ -88,38 +80,50 @@ def token_matches(left: DataFrame, right: DataFrame, left_id: str, left_tokens:
     """(left_id, right_id, common, jaccard) of pairs with 100 * Jaccard of at least `least`.
 
     Ids are unique, tokens distinct. By way of an inverted index on the rarest tokens (prefix filter): two sets of that
-    similarity have one of their first n - ceil(least / 100 * n) + 1 tokens, rarest first, in common. Where a pair meets
-    at its rarest common token, what follows in both sets bounds all that they can share; the few pairs that could have
-    enough are judged there, so that neither candidates nor pairs are shuffled again. Tokens are compared as 64-bit hashes.
+    similarity have one of their first n - ceil(least / 100 * n) + 1 tokens, rarest first, in common. Where a pair meets,
+    the places of that token and a bitmap of each set (the sets differ in at least as many tokens as their bitmaps in
+    bits) leave out nearly all that are not similar; only ids, sizes and bitmaps are shuffled for that. The sets of the
+    rest are fetched and compared. Tokens are compared as 64-bit hashes. Where left and right are one DataFrame with the
+    same columns, each pair comes once, the less id left.
     """
+    own = left is right and left_tokens == right_tokens
     hashed = lambda side, key, words: side.select(F.col(key), F.transform(words, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0)
-    a, b = hashed(left, left_id, left_tokens), hashed(right, right_id, right_tokens)
-    often = a.select(F.explode("w").alias("t")).unionAll(b.select(F.explode("w"))).groupBy("t").agg(F.count("*").alias("n"))
+    a = hashed(left, left_id, left_tokens)
+    b = a if own else hashed(right, right_id, right_tokens)
+    every = a.select(F.explode("w").alias("t")) if own else a.select(F.explode("w").alias("t")).unionAll(b.select(F.explode("w")))
+    often = every.groupBy("t").agg(F.count("*").alias("n"))
     share = least / 100.0
 
-    def prefix(side: DataFrame, key: str, name: str) -> DataFrame:
-        """The key, t, its place, and the whole set, rarest first."""
-        ranked = side.select(F.col(key).alias(name), F.explode("w").alias("t")).join(often, "t").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("w"))
-        ranked = ranked.select(name, F.transform("w", lambda x: x.t).alias(f"{name}w"), F.size("w").alias(f"{name}n"))
-        length = F.col(f"{name}n") - F.ceil(F.col(f"{name}n") * share - 1e-9).cast("int") + 1
-        return ranked.select(name, f"{name}w", f"{name}n", F.posexplode(F.slice(f"{name}w", F.lit(1), length)).alias(f"{name}i", "t"))
+    def ranked(side: DataFrame, key: str) -> DataFrame:
+        """key, w (the tokens, rarest first), n, bits."""
+        rows = side.select(F.col(key).alias("key"), F.explode("w").alias("t")).join(often, "t")
+        rows = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("w"), F.expr("bit_or(shiftleft(1L, cast(pmod(t, 64) as int)))").alias("bits"))
+        return rows.select("key", F.transform("w", lambda x: x.t).alias("w"), F.size("w").alias("n"), "bits")
 
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        length = F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1
+        return rows.select(F.col("key").alias(name), F.col("n").alias(f"{name}n"), F.col("bits").alias(f"{name}bits"), F.posexplode(F.slice("w", F.lit(1), length)).alias(f"{name}i", "t"))
+
+    x = ranked(a, left_id)
+    y = x if own else ranked(b, right_id)
     n_a, n_b = F.col("_an"), F.col("_bn")
     needed = share / (1 + share) * (n_a + n_b) - 1e-9
-    pairs = prefix(a, left_id, "_a").join(prefix(b, right_id, "_b"), "t").filter(F.least(n_a - F.col("_ai"), n_b - F.col("_bi")) >= needed)
-    both = F.array_intersect("_aw", "_bw")
-    scored = pairs.withColumn("both", both).withColumn("common", F.size("both")).withColumn("jaccard", 100.0 * F.col("common") / (n_a + n_b - F.col("common")))
-    scored = scored.filter(F.col("jaccard") >= least).filter(F.element_at("both", 1) == F.col("t"))
-    return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), "common", "jaccard")
-
-
-def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str, most_words: int = 4) -> DataFrame:
-    """(text_id, name) of names, word for word in a text: word n-grams joined with the names, not every name tried on every text."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = texts.select(text_id, words.alias("_w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " "))).otherwise(F.array().cast("array<string>"))))
-    keyed = names.select(F.col(name), F.array_join(F.filter(F.split(F.lower(F.col(name)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("_g")).filter("_g <> ''").distinct()
-    return grams.select(text_id, F.explode_outer(F.array_distinct(runs)).alias("_g")).join(keyed, "_g").select(text_id, name).distinct()
+    near = (F.least(n_a - F.col("_ai"), n_b - F.col("_bi")) >= needed) & (F.bit_count(F.col("_abits").bitwiseXOR(F.col("_bbits"))) <= n_a + n_b - 2 * needed)
+    pairs = prefix(x, "_a").join(prefix(y, "_b"), "t").filter(near & (F.col("_a") < F.col("_b")) if own else near).select("_a", "_b").distinct()
+    sets = lambda rows, name: rows.select(F.col("key").alias(name), F.col("w").alias(f"{name}w"))
+    whole = pairs.join(sets(x, "_a"), "_a").join(sets(y, "_b"), "_b").withColumn("common", F.size(F.array_intersect("_aw", "_bw")))
+    scored = whole.withColumn("jaccard", 100.0 * F.col("common") / (F.size("_aw") + F.size("_bw") - F.col("common"))).filter(F.col("jaccard") >= least)
+    return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id if right_id != left_id else f"{right_id}_2"), "common", "jaccard")
+
+
+def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str) -> DataFrame:
+    """(text_id, name) of names, word for word in a text: runs of as many words as names have, joined with the names, not every name tried on every text."""
+    words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    keyed = names.select(F.col(name), words(name).alias("_n")).filter(F.size("_n") > 0).select(name, F.size("_n").alias("_k"), F.array_join("_n", " ").alias("_g")).distinct()
+    lengths = F.broadcast(keyed.agg(F.collect_set("_k").alias("_k")))  # one row: how many words names have
+    runs = F.flatten(F.transform(F.filter("_k", lambda k: k <= F.size("_w")), lambda k: F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.array_join(F.slice("_w", i + 1, k), " "))))
+    grams = texts.select(text_id, words(text).alias("_w")).join(lengths, F.lit(True)).select(text_id, F.explode(F.array_distinct(runs)).alias("_g"))
+    return grams.join(keyed.drop("_k"), "_g").select(text_id, name).distinct()
 
 
 def client_numbers(docs: DataFrame, known: DataFrame, doc: str) -> DataFrame:

@@ -110,8 +110,8 @@ def token_jaccard_match(spark, d):
     """Pairs of distinct part descriptions that share 65 of 100 words."""
     text = F.concat_ws(" ", "p_name", "p_type", F.lower("p_brand"))
     t = table(spark, d, "part").groupBy(text.alias("t")).agg(F.min("p_partkey").alias("k"))
-    a, b = t.select(F.col("k").alias("a"), N.tokens(F.col("t")).alias("ta")), t.select(F.col("k").alias("b"), N.tokens(F.col("t")).alias("tb"))
-    return J.token_matches(a, b, "a", "ta", "b", "tb", 65.0).filter("a < b").select("a", "b", "common", F.round("jaccard", 4).alias("jaccard"))
+    rows = t.select("k", N.tokens(F.col("t")).alias("w"))
+    return J.token_matches(rows, rows, "k", "w", "k", "w", 65.0).select(F.col("k").alias("a"), F.col("k_2").alias("b"), "common", F.round("jaccard", 4).alias("jaccard"))
 
 
 TOKEN_JACCARD_MATCH = """WITH t AS (SELECT min(p_partkey) AS k, list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9 ]', ' ', 'g'), ' +')), lambda x: x <> '') AS w FROM part GROUP BY p_name || ' ' || p_type || ' ' || p_brand, 2),
@@ -263,13 +263,13 @@ SET_DIFFERENCE = "SELECT user_id FROM events WHERE event_type = 'purchase' EXCEP
 
 
 def normalize_keys(spark, d):
-    """The normalisers over the first line of every document."""
-    x = F.split("text", "\n")[0]
-    return table(spark, d, "documents").select("doc_id", N.fold_text(x).alias("folded"), N.name_key(x).alias("name"), N.order_key(x).alias("order_key"), N.postal_digits(x).alias("digits"), N.matcher_text(x).alias("matcher"), F.size(N.tokens(x)).alias("n_tokens"))
+    """The normalisers over every line of every document."""
+    x = F.col("line")
+    return _lines(spark, d).select("doc_id", "i", N.fold_text(x).alias("folded"), N.name_key(x).alias("name"), N.order_key(x).alias("order_key"), N.postal_digits(x).alias("digits"), N.matcher_text(x).alias("matcher"), F.size(N.tokens(x)).alias("n_tokens"))
 
 
-NORMALIZE_KEYS = r"""WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS x FROM documents), f AS (SELECT *, lower(strip_accents(x)) AS folded FROM l)
-SELECT doc_id, folded, upper(trim(regexp_replace(folded, '[^a-z0-9]+', ' ', 'g'))) AS name, replace(upper(regexp_replace(x, '\s+', '', 'g')), 'ẞ', 'SS') AS order_key, left(regexp_replace(x, '[^0-9]', '', 'g'), 5) AS digits,
+NORMALIZE_KEYS = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS i FROM documents), f AS (SELECT *, lower(strip_accents(x)) AS folded FROM l)
+SELECT doc_id, i, folded, upper(trim(regexp_replace(folded, '[^a-z0-9]+', ' ', 'g'))) AS name, replace(upper(regexp_replace(x, '\s+', '', 'g')), 'ẞ', 'SS') AS order_key, left(regexp_replace(x, '[^0-9]', '', 'g'), 5) AS digits,
 trim(regexp_replace(regexp_replace(folded, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS matcher,
 len(list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(folded, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ')), lambda w: w <> ''))::INT AS n_tokens FROM f"""
 
@@ -323,15 +323,16 @@ JSON_SALVAGE = "SELECT event_id, (props->>'$.k')::INT AS k FROM events"
 
 
 def mentions(spark, d):
-    """Names of customers' segments and parts' words that documents and conversations mention."""
-    texts = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"[ \n]+")).alias("w")).filter(F.length("w") >= 9).distinct()
-    return J.mentions(texts, words.withColumnRenamed("w", "name"), "id", "text", "name", 1)
+    """Runs of one to three words at the head of benchmark items that documents and conversations hold."""
+    texts = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionAll(table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"))
+    names = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", r"[ \n]+"), 1, (F.col("item_id") % 3 + 1).cast("int")), " ").alias("name")).distinct()
+    return J.mentions(texts, names, "id", "text", "name")
 
 
-MENTIONS = r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]+')) AS name FROM benchmark), n AS (SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS g FROM w WHERE length(name) >= 9),
-t AS (SELECT DISTINCT conv_id || '-' || turn AS id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS g FROM conversations)
-SELECT DISTINCT id, name FROM t JOIN n USING (g) WHERE g <> ''"""
+MENTIONS = r"""WITH w AS (SELECT DISTINCT array_to_string(regexp_split_to_array(text, '[ \n]+')[1:item_id % 3 + 1], ' ') AS name FROM benchmark), n AS (SELECT name, list_filter(regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS g FROM w),
+t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT conv_id || '-' || turn, text FROM conversations), s AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM t),
+r AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM s, (SELECT DISTINCT len(g) AS k FROM n WHERE len(g) > 0) WHERE len(w) >= k)
+SELECT DISTINCT id, name FROM r JOIN n ON r.g = array_to_string(n.g, ' ') WHERE len(n.g) > 0"""
 
 
 def order_messages(spark, d):
