@@ -16,13 +16,17 @@ _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value d
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one on one machine (master local)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
 def stream_dedupe(spark, d):
-    """Each user's kinds of events once, however often they come."""
+    """Each user's kinds of events once, however often and late they come, so that the state grows with the kinds seen; deduplicated() bounds it by a watermark."""
     to = _folder(spark)
     once = file_stream(spark, f"{d}/events.parque[t]", _EVENTS).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
     run_available(once, f"{to}/out", f"{to}/state")
