@@ -150,6 +150,27 @@ def test_sharding_keeps_equal_texts_together_and_balances(spark, rows):
     assert sharding.shard_by_bytes(table(spark, [])).count() == 0
 
 
+def test_sharding_matches_differencing_by_lists(spark):
+    """One bucket: the partial partitions with the largest spread, found by search, are combined until one is left."""
+    r = random.Random(31)
+    texts = [prose(k, r.randrange(1, 90)) for k in range(120)] + [prose(5, 7)] * 9 + [""] * 4
+    half = lambda t, k: int(hashlib.md5(t.encode()).hexdigest()[k : k + 14], 16)
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t.encode()) + 1
+    order = sorted(groups, key=lambda t: (half(t, 0), half(t, 14)))
+    nodes = {k: sorted([(groups[t], (t,))] + [(0, ())] * 4, key=lambda x: -x[0]) for k, t in enumerate(order)}
+    spread = lambda k: nodes[k][0][0] - nodes[k][-1][0]
+    while len(nodes) > 1:
+        x, y = sorted(nodes, key=lambda k: (-spread(k), k))[:2]
+        joined = [(p[0] + q[0], p[1] + q[1]) for p, q in zip(nodes[x], reversed(nodes[y]), strict=True)]
+        nodes[max(nodes) + 1] = sorted(joined, key=lambda p: -p[0])
+        del nodes[x], nodes[y]
+    want = sorted(x for x, _ in nodes.popitem()[1])
+    got = sharding.shard_by_bytes(table(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), 5).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert sorted(x.n for x in got) == want and want[-1] - want[0] <= 3
+
+
 def test_differencing():
     sizes = [[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]]
     to = sharding.differencing(sizes, 2)[:, 0]
@@ -453,6 +474,56 @@ def test_quotas_decide_what_is_taken(spark):
         assert n * width - 40 <= halved[s] <= min(target[s], (n + 1) * width) and halved[s] < words[s]
 
 
+def brute_taken(rows, sources, blocks, most, total):
+    """rid to copies. rows: rid, source, size, place in the seeded order; sources: target and quota."""
+    out = {}
+    for source, (target, quota) in sources.items():
+        own = sorted((x for x in rows if x[1] == source), key=lambda x: x[3])
+        size = sum(x[2] for x in own)
+        limit = min(target, (quota + 1) * total / blocks)
+        passes = int(limit // size) if size else 0
+        extra, upto, more = limit - passes * size, 0, set()
+        for rid, _, n, _ in own:
+            upto += n
+            if upto <= extra:
+                more.add(rid)
+        room = extra - sum(n for rid, _, n, _ in own if rid in more)
+        while True:
+            fit = [x for x in own if x[0] not in more and 0 < x[2] <= room]
+            if not fit:
+                break
+            small, upto, new = [x for x in fit if 2 * x[2] <= room], 0, []
+            for x in small:
+                upto += x[2]
+                if upto <= room:
+                    new.append(x)
+            new = new or fit[:1]
+            more |= {x[0] for x in new}
+            room -= sum(x[2] for x in new)
+        out |= {rid: min(most, passes + (rid in more)) if n else 0 for rid, _, n, _ in own}
+    return out
+
+
+def test_mix_matches_block_selection_written_out(spark):
+    r = random.Random(17)
+    docs = [(k, prose(k, r.choice([1, 3, 9, 30, 200])), "en", r.choice(["a", "a", "a", "b", "c", None])) for k in range(500)] + [(None, prose(900 + k, 5), "en", "c") for k in range(20)] + [(1000, "", "en", "a"), (1001, None, "en", "b")]
+    frame = table(spark, docs).withColumn("rid", F.monotonically_increasing_id()).cache()
+    mixed = F.xxhash64("doc_id", F.xxhash64("text"), F.lit(mixing.SEED))
+    rows = [(x.rid, x.source, x.n, (x.m, -1 if x.doc_id is None else x.doc_id, x.n, x.rid)) for x in frame.select("rid", "source", "doc_id", mixing.n_words(F.col("text")).alias("n"), (F.shiftrightunsigned(mixed, 11) * F.lit(2.0**-53)).alias("m")).collect()]
+    sizes = Counter()
+    for _, source, n, _ in rows:
+        sizes[source] += n
+    got = mixing.mix(frame, blocks=64, row="rid").collect()
+    target = {sizes_: x.target for x in got for sizes_ in [next(s for rid, s, *_ in rows if rid == x.rid)]}
+    quota = {next(s for rid, s, *_ in rows if rid == x.rid): x.quota for x in got}
+    named = {s or "~": t for s, t in target.items()}  # null goes last
+    seats_ = sainte_lague(named, 64)
+    whole = {s: int(t * 64 // sum(named.values())) for s, t in named.items()}
+    assert quota == {s: max(seats_[s or "~"], whole[s or "~"]) for s in target}
+    assert {x.rid: x.copies for x in got} == brute_taken(rows, {s: (target[s], quota[s]) for s in target}, 64, 3, sum(sizes.values()))
+    assert all(x.taken == x.copies * x.size for x in got)
+
+
 def test_long_documents_are_passed_over(spark):
     rows = spark.createDataFrame([(k, "s", 20, k) for k in range(500)] + [(500 + k, "s", n, 500 + k) for k, n in enumerate((20_000, 9_000, 2_500, 30))] + [(None, "t", 7, 600 + k) for k in range(40)], "doc_id long, source string, size long, rid long")
     goals = spark.createDataFrame([("s", 41_530, 5, 12_345.0, [3] * 8), ("t", 280, 2, 150.0, [3] * 8)], "source string, source_size long, weight int, target double, by_shard array<long>")
