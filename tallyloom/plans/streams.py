@@ -5,29 +5,17 @@ Paths end in a pattern, since a stream of files takes a folder or a pattern but
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
+from tallyloom.sources.shared import shared_folder
 from tallyloom.streaming.flows import file_stream, run_available
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one on one machine (master local)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-
-
 def stream_dedupe(spark, d):
     """Each user's kinds of events once, however often and late they come, so that the state grows with the kinds seen; deduplicated() bounds it by a watermark."""
-    to = _folder(spark)
+    to = shared_folder(spark, "stream")
     once = file_stream(spark, f"{d}/events.parque[t]", _EVENTS).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
     run_available(once, f"{to}/out", f"{to}/state")
     return spark.read.schema(once.schema).parquet(f"{to}/out")
@@ -38,7 +26,7 @@ STREAM_DEDUPE = "SELECT DISTINCT user_id, event_type FROM events"
 
 def stream_intake(spark, d):
     """New orders of a queue as job rows with the state that they start in."""
-    to = _folder(spark)
+    to = shared_folder(spark, "stream")
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     jobs = file_stream(spark, f"{d}/orders.parque[t]", schema).filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("job_id"), F.lit("RECEIVED").alias("status"), F.sha2(F.concat_ws(":", "o_orderkey", "o_custkey"), 256).alias("dedupe_key"))
     run_available(jobs, f"{to}/out", f"{to}/state")
