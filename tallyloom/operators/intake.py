@@ -213,3 +213,32 @@ def copied_once(target: DataFrame, source: DataFrame, key: str, done: bool) -> D
 def deep_merge(base: Mapping, override: Mapping) -> dict:
     """base with the values of override, mappings within mappings merged; for settings, which are read on the driver."""
     return {k: deep_merge(base[k], override[k]) if isinstance(base.get(k), Mapping) and isinstance(override.get(k), Mapping) else override.get(k, base.get(k)) for k in {**base, **override}}
+
+
+def preview(orders: DataFrame, lines: DataFrame, order: str) -> DataFrame:
+    """orders with line_count, unique_articles and total_amount of their lines (article, amount); 0 without lines."""
+    sums = lines.groupBy(order).agg(F.count("*").alias("line_count"), F.count_distinct("article").alias("unique_articles"), F.sum("amount").alias("total_amount"))
+    rows = orders.join(sums, order, "left")
+    return rows.withColumns({"line_count": F.coalesce("line_count", F.lit(0)), "unique_articles": F.coalesce("unique_articles", F.lit(0)), "total_amount": F.coalesce("total_amount", F.lit(0.0))})
+
+
+# fixed values: what a model's line must not begin with, and the form of its answers
+CHARGES = ("PORT", "PORTSFAB", "ECOTAXE", "FRAIS DE PORT", "PARTICIPATION TRANSPORT")
+ANSWER = "order_key string, document_date string, delivery_date string, soldto_keys struct<vat: string, name: string, street: string, city: string, postal: string>, shipto_keys struct<name: string, street: string, city: string, postal: string, country: string>, line_items array<struct<article_code: string, description: string, qty: string, unit_price: string>>, confidence double"
+
+
+def build_parameters(answers: DataFrame, key: str, body: str) -> DataFrame:
+    """What a message is built from, of a model's answers (key, body: JSON): key, order_number, order_date, delivery_date, soldto, shipto (structs), lines, confidence, warnings. Charges are no lines, a quantity that is none is 1, the delivery falls back on the buyer."""
+    a = F.from_json(F.col(body), ANSWER)
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    rows = answers.select(key, a.alias("a"))
+    s, t = F.col("a.soldto_keys"), F.col("a.shipto_keys")
+    kept = F.filter(F.coalesce("a.line_items", F.array().cast("array<struct<article_code: string, description: string, qty: string, unit_price: string>>")), lambda x: ~F.exists(F.array(*map(F.lit, CHARGES)), lambda w: F.startswith(F.upper(text(x.article_code)), w)))
+    number = lambda c: F.coalesce(N.lenient_double(c), F.lit(0.0))
+    lines = F.transform(kept, lambda x: F.struct(F.upper(text(x.article_code)).alias("article"), F.coalesce(filled(x.description), F.upper(text(x.article_code))).alias("description"), F.when(number(x.qty) > 0, number(x.qty)).otherwise(1.0).alias("quantity"), number(x.unit_price).alias("unit_price")))
+    soldto = F.struct(F.coalesce(F.nullif(N.vat_key(text(s.vat)), F.lit("")), F.left(text(s["name"]), F.lit(12))).alias("code"), text(s["name"]).alias("name"), text(s.street).alias("street"), text(s.city).alias("city"), text(s.postal).alias("postal"))
+    other = lambda c: F.coalesce(filled(t[c]), text(s[c]))
+    shipto = F.struct(*(other(c).alias(c) for c in ("name", "street", "city", "postal")), F.coalesce(filled(t.country), F.lit("FR")).alias("country"))
+    warn = lambda test, message: F.when(test, message)
+    warnings = F.array_compact(F.array(warn(text(F.col("a.order_key")) == "", "order_key missing"), warn(N.loose_date(F.col("a.document_date")) == "", "document_date missing"), warn(text(s["name"]) == "", "soldto name missing"), warn(F.size(lines) == 0, "no valid article lines extracted")))
+    return rows.select(key, text(F.col("a.order_key")).alias("order_number"), N.loose_date(F.col("a.document_date")).alias("order_date"), N.loose_date(F.col("a.delivery_date")).alias("delivery_date"), soldto.alias("soldto"), shipto.alias("shipto"), lines.alias("lines"), F.coalesce("a.confidence", F.lit(0.5)).alias("confidence"), warnings.alias("warnings"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import extract as X, normalize as N
-from tallyloom.operators import addresses as A, delivery as D, geometry as G, intake as I, joins as J, matching as M, review as V
+from tallyloom.operators import addresses as A, delivery as D, geometry as G, intake as I, joins as J, line_items as L, matching as M, review as V
 from tallyloom.sources import pages, tables
 
 
@@ -133,3 +133,21 @@ def test_selected_pages(spark):
 def test_times(spark):
     assert str(one(spark, N.utc_time(F.lit("2024-01-02T03:04:05.5+01:00")))) == "2024-01-02 02:04:05.500000"
     assert one(spark, N.utc_time(F.lit("2024-01-02 at noon"))) is None
+
+
+def test_answers_become_parameters(spark):
+    body = '{"order_key": " A1 ", "document_date": "1/2/24", "soldto_keys": {"vat": "fr 12", "name": "Nom", "city": "X"}, "shipto_keys": {"name": "", "street": "s"}, "line_items": [{"article_code": "port x", "qty": 1}, {"article_code": "a9", "qty": "2,5", "unit_price": "1.20"}, {"article_code": "b", "qty": "none"}]}'
+    rows = spark.createDataFrame([(1, body), (2, "{}"), (3, "no json"), (4, None)], "k int, body string")
+    got = {x.k: x for x in I.build_parameters(rows, "k", "body").collect()}
+    assert (got[1].order_number, got[1].order_date, got[1].soldto.code, got[1].shipto.name, got[1].shipto.street, got[1].shipto.city, got[1].shipto.country) == ("A1", "20240201", "FR12", "Nom", "s", "X", "FR")
+    assert [(x.article, x.description, x.quantity, x.unit_price) for x in got[1].lines] == [("A9", "A9", 2.5, 1.2), ("B", "B", 1.0, 0.0)] and got[1].warnings == []
+    assert len(got[2].warnings) == len(got[3].warnings) == len(got[4].warnings) == 4 and got[2].confidence == 0.5
+    lines = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0)], "o int, article string, amount double")
+    orders = spark.createDataFrame([(1,), (2,)], "o int")
+    assert sorted(map(tuple, I.preview(orders, lines, "o").collect())) == [(1, 2, 1, 3.0), (2, 0, 0, 0.0)]
+
+
+def test_simple_lines(spark):
+    docs = spark.createDataFrame([(1, "AB123; 2,5; Joint torique; 3.20 EUR\nno\nXYZ99 4 Vanne EAN: 1234567890123"), (2, None)], "d int, text string")
+    got = [(x.article, x.quantity, x.unit_price, x.ean) for x in L.simple_lines(docs, "d").collect()]
+    assert got == [("AB123", "2,5", "3.20", ""), ("XYZ99", "4", "", "1234567890123")]
