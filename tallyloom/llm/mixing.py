@@ -122,8 +122,9 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
     small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
-    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", "r.text_hash", "g.*")
-    mixed = F.xxhash64("doc_id", "text_hash", F.lit(seed))  # by text too, so that rows with a null or one repeated doc_id do not meet in one block
+    by = [x for x in ("doc_id", "text_hash") if x in rows.columns]
+    joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", *(f"r.{x}" for x in by[1:]), "g.*")
+    mixed = F.xxhash64(*by, F.lit(seed))  # by text too, where rows have its hash, so that rows with a null or one repeated doc_id do not meet in one block
     place = F.shiftrightunsigned(mixed, 11) * F.lit(2.0**-53)  # uniform in [0, 1)
     joined = joined.withColumn("mixed", place).withColumn("block", F.floor(F.col("mixed") * F.col("own_blocks")))
 
