@@ -106,7 +106,7 @@ def resolved_sites(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("soldto"), F.concat(F.lit("ville "), F.repeat(F.chr(F.col("n_nationkey") + 97), 4)).alias("town"))
     k = F.col("c_custkey")
     street = lambda x: F.concat(x.cast("string"), F.lit(" chaussee "), F.repeat(F.lit("z"), 3))
-    postal = lambda x: F.lpad((x % 40).cast("string"), 5, "1")
+    postal = lambda x: F.lpad((x % 40).cast("string"), 5, "9")
     docs = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("soldto")).join(F.broadcast(n), "soldto")
     text = F.concat_ws(" ", F.lit("bon pour"), F.when(k % 4 != 0, postal(k)), F.lit("-"), F.when(k % 3 == 0, street(k % 40)), F.lit("-"), F.when(k % 5 != 0, F.col("town")), F.lit("fin"))
     docs = docs.select("c_custkey", "soldto", text.alias("text"), F.lit("").alias("soldto_postal"))
