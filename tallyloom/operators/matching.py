@@ -26,7 +26,7 @@ CITY_SHARE, STREET_SHARE, NAME_SHARE = 0.2, 0.1, 0.15
 CITY_LEAST, STREET_LEAST = 60.0, 50.0
 SOLDTO_LEAST, SHIPTO_LEAST, GAP = 75.0, 80.0, 15.0
 FUZZY_LEAST = 65.0
-OFTEN = 1000
+OFTEN = 100
 
 FIELDS = ("name", "street", "postal", "city", "vat")
 
