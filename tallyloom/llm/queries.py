@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import sql
+import public_tokenizers
+
+from tallyloom.llm import bpe, sql
 from tallyloom.llm.brown import score
+from tallyloom.llm.centroids import cluster
+from tallyloom.llm.collocations import collocations
 from tallyloom.llm.decontam import find_items
 from tallyloom.llm.langid import identify
 from tallyloom.llm.media import media_features, store_media
@@ -79,6 +83,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: the path of another byte-level BPE."""
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), bpe.digests, bpe.DIGESTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -90,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_brown_score": op9_brown_score,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_bpe": op13_bpe,
     "language_id_of_pages": language_id_of_pages,
 }
 
@@ -98,4 +118,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": sql.WARC,
     "op6_decontamination": sql.DECONTAMINATION,
     "op10_url_filter": sql.URL_FILTER,
+    "op11_collocations": sql.COLLOCATIONS,
+    "op12_centroid_clustering": sql.CENTROIDS,
 }
