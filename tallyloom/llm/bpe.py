@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyloom.llm.scratch import Scratch
 
@@ -293,4 +294,4 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
             texts = [None if x is None else y for x, y in zip(ids, own.decode([x or [] for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string())], [f"c{k}" for k in range(n + 1)])
 
-    return rows.mapInArrow(decoded, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(decoded, StructType([*rows.schema.fields, StructField("decoded", StringType())]))

@@ -120,7 +120,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)]
     if not _DIGIT.search(text):
         return found
-    found += [(a, 1, b) for a, b in dotted(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in text[a:b].split("."))]
+    found += [(a, 1, b) for a, b in dotted(text) if all(len(y := x.lstrip("0")) < 4 and int(y or 0) <= 255 for x in text[a:b].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(x := _digits(m[0])) <= 19 and luhn(x):
             found.append((m.start(), 2, m.end()))

@@ -846,3 +846,14 @@ def test_host_and_declared_language_decide_what_the_text_leaves_open(spark):
     docs += [(500, "zz", None, "en.org"), (501, "zz", None, "de.org"), (502, "zz", "de", None)]
     by = {x.doc_id: x.lang for x in langid.identify(table(spark, docs)).collect()}
     assert (by[500], by[501], by[502]) == ("en", "de", "de")
+
+
+def test_runs_of_thousands_of_digits_in_every_kind(spark):
+    run, texts = "7" * 5000, []
+    for x in ("0" * 5000 + "1.1.1.1", "1.2.3." + "0" * 5000 + "4", f"1.1.1.{run}", f"{run}.1.1.1", run, " ".join(["7"] * 5000), f"+1 {run}", "+1" + "()" * 3000, f"{run}@{run}.{run}", f"a@b.{run}", ":".join(["1"] * 5000), f"::{run}", f"{run}::1", f"{run} at {run} dot {run}", f"a [at] {run}.com", "-".join(["4111"] * 3000), f"00{run}", "0" + " 12" * 3000):
+        texts += [x, f"call {x} now", x * 2]
+    got = {x.doc_id: x for x in pii.find_pii(table(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    assert len(got) == len(texts) and got[0].spans.startswith("ip:0:5007") and got[0].n_ip == 1 and got[3].n_ip == 1 and got[6].n_ip == 0
+    for k, t in enumerate(texts):
+        base = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in sorted(pii.base_spans(t)))
+        assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
