@@ -4,19 +4,20 @@ Targets: the sources in the order of their code points, null last, weigh 5, 2, 1
 of all documents by weight; no target exceeds MOST times its source's words, and what is above goes to the others by
 weight until none is above.
 
-The mix is cut into equal-token blocks of about total / BLOCKS words. Seats for blocks go to the sources by the highest
+The mix is cut into equal-token blocks of total / blocks words (width). Seats for blocks go to the sources by the highest
 quotients target / (2 k - 1), the k-th seat of a source; the first seats make up the first output shard, the next the
-second, so that each shard has an integer quota of each source (quotas()). Where many small sources leave one with less
-than the whole blocks of its target, the missing seats are dealt to the shards in turn. A source's documents lie in a
-seeded order of doc_id and text, passed over again and again, and cut into blocks of total / BLOCKS words each: the source takes as many
-blocks in turn as its quotas say, whole passes included, and shard after shard its quota of them. The target only trims
-what would go beyond it, or tops up from the one block after the last. Whole documents are taken. A document larger
+second, so that each shard has an integer quota of each source (quotas()). There are BLOCKS blocks, or twice that and so on until the
+smallest target is worth FINE of them, MOST_BLOCKS at most: a source misses its target by half a block, or somewhat more
+where many sources have less than one. A source's documents lie in a seeded order of doc_id and text, passed over
+again and again, and that line is cut into blocks of width words: the source takes as many blocks as its quotas say, whole
+passes included, shard after shard its quota of them. So quota * width words are what it takes; the target only trims
+the last block where the quota was rounded up. Whole documents are taken. A document larger
 than the room that is left is passed over, and the rest go on in the seeded order: in each round those of at most half
 the room, as far as their running sum goes, and where there are none the first of those that fit; the room halves or the
 source is done in each, until no untaken document of any source fits (_filling()).
 
-Documents are counted and summed by block with partial aggregation; only block sums, never a source's documents, come
-together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
+Running sums are taken within ranges of hashes of about RANGE documents, and over the sums of a source's ranges; a source's
+documents never come together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
 a null doc_id or source, and repeated rows, are mixed like others, each row by itself. No documents, no rows.
 """
 
@@ -28,7 +29,9 @@ from tallyloom.llm.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCKS = 4096
+BLOCKS, MOST_BLOCKS = 4096, 1 << 20
+FINE = 64  # blocks of the smallest target
+RANGE = 10_000
 SHARDS = 8
 SEED = 20240611
 _ORDER = ("mixed", "doc_id", "size", "rid")  # of the documents of a source
@@ -81,13 +84,15 @@ def seats(goals: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 def quotas(goals: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """(source, shard, blocks): the integer quota of each source in each of shards output shards."""
     shard = F.floor(F.col("place") * shards / blocks).cast("int")
-    dealt = seats(goals, blocks).withColumn("shard", shard).groupBy("source", "shard").agg(F.count("*").alias("blocks"))
-    whole = goals.select("source", F.floor(F.col("target") * blocks / F.sum("target").over(Window.partitionBy())).alias("whole"))
-    had = dealt.groupBy("source").agg(F.sum("blocks").alias("had"))
-    missing = whole.alias("w").join(had.alias("h"), F.expr("w.source <=> h.source"), "left").select("w.source", (F.col("whole") - F.coalesce("had", F.lit(0))).alias("missing")).filter("missing > 0")
-    each = missing.select("source", "missing", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    more = each.select("source", "shard", F.floor((F.col("missing") + (shards - 1) - F.col("shard")) / shards).alias("blocks"))
-    return dealt.union(more).groupBy("source", "shard").agg(F.sum("blocks").alias("blocks")).filter("blocks > 0")
+    return seats(goals, blocks).withColumn("shard", shard).groupBy("source", "shard").agg(F.count("*").alias("blocks"))
+
+
+def n_blocks(goals: DataFrame, blocks: int = BLOCKS) -> int:
+    """blocks, or twice that and so on until the smallest target has FINE blocks."""
+    total, least = goals.filter("target > 0").agg(F.sum("target"), F.min("target")).head()
+    while total and blocks < MOST_BLOCKS and least * blocks < FINE * total:
+        blocks *= 2
+    return blocks
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, blocks: int = BLOCKS, seed: int = SEED, row: str | None = None) -> DataFrame:
@@ -100,6 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST,
     n = goals.count()
     if n > MAX_SOURCES:
         raise ValueError(f"{n} sources; their targets are worked out in one task, which holds at most {MAX_SOURCES}")
+    blocks = n_blocks(goals, blocks)
     goals = scratch.keep(_with_quota(goals, blocks), "quotas")
     taken = _taken(rows, goals, most, blocks, seed, scratch)
     return taken if row else taken.drop("rid")
@@ -115,11 +121,12 @@ def _with_quota(goals: DataFrame, blocks: int) -> DataFrame:
 
 def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: int, scratch: Scratch) -> DataFrame:
     total = goals.agg(F.sum("source_size")).head()[0] or 0
-    step = max(1.0, total / blocks)  # words of a range of hashes, within which a running sum is taken
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
+    goals = goals.alias("g").join(counts.alias("c"), F.expr("g.source <=> c.source")).select("g.*", F.ceil(F.col("n") / RANGE).alias("own_blocks"))
     goals = goals.withColumn("quota", F.aggregate("by_shard", F.lit(0).cast("long"), lambda x, y: x + y))
-    # the quota's blocks, of which the target trims or to which it adds from one block more
-    goals = goals.withColumn("limit", F.least("target", (F.col("quota") + 1) * F.lit(total / blocks)))
-    goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0))).withColumn("own_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(step))))
+    # the quota's blocks, the last of which the target may trim
+    goals = goals.withColumn("limit", F.least("target", F.col("quota") * F.lit(float(total)) / blocks))
+    goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0)))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
     small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
     by = [x for x in ("doc_id", "text_hash") if x in rows.columns]

@@ -446,32 +446,52 @@ def test_mix_comes_near_its_targets(spark, rows):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
-def test_quotas_decide_what_is_taken(spark):
-    more = [(k, prose(k, 10 + k % 30), "en", f"s{k % 3}") for k in range(900)]
-    rows = table(spark, more).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.col("doc_id").alias("rid"))
-    goals = mixing._with_quota(mixing.targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), 64).cache()
-    width = goals.agg(F.sum("source_size")).head()[0] / 64
-    quota = {x.source: x.by_shard for x in goals.collect()}
-    assert all(len(x) == mixing.SHARDS for x in quota.values()) and sum(map(sum, quota.values())) == 64
-
-    def taken(goals):
-        words, in_shard = Counter(), Counter()
-        for x in mixing._taken(rows, goals, 3, 64, 1, Scratch(spark, "quotas")).collect():
+def test_quotas_decide_what_is_taken(spark, monkeypatch):
+    docs = table(spark, [(k, prose(k, 10 + k % 30), "en", "abbccccccccccccccc"[k % 18]) for k in range(900)])
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 64)
+    source = {x.doc_id: x.source for x in docs.collect()}
+
+    def taken():
+        words, in_shard, info = Counter(), Counter(), {}
+        for x in mixing.mix(docs, blocks=64).collect():
             assert len(x.shards) == x.copies
-            words[f"s{x.doc_id % 3}"] += x.taken
+            s = source[x.doc_id]
+            words[s] += x.taken
+            info[s] = (x.quota, x.target)
             for shard in x.shards:
-                in_shard[f"s{x.doc_id % 3}", shard] += x.size
-        return words, in_shard
+                in_shard[s, shard] += x.size
+        return words, in_shard, info
 
-    words, in_shard = taken(goals)
-    target = {x.source: x.target for x in goals.collect()}
-    assert all(0 <= target[s] - words[s] <= 10 for s in quota)
-    for s, by_shard in quota.items():  # each output shard has its quota of blocks, to the document, and the last what the target trims
-        assert all(abs(in_shard[s, k] - n * width) <= 40 + (width if k == 7 else 0) for k, n in enumerate(by_shard))
-    halved, _ = taken(goals.withColumn("by_shard", F.transform("by_shard", lambda x: F.floor(x / 2))))
-    for s, by_shard in quota.items():
-        n = sum(x // 2 for x in by_shard)
-        assert n * width - 40 <= halved[s] <= min(target[s], (n + 1) * width) and halved[s] < words[s]
+    words, in_shard, info = taken()
+    target = {s: t for s, (_, t) in info.items()}
+    width = sum(target.values()) / 64
+    assert {s: q for s, (q, _) in info.items()} == dict(sainte_lague(target, 64))
+    for s, (quota, _) in info.items():  # short documents: to one of them
+        assert 0 <= min(target[s], quota * width) - words[s] <= 10, s
+        by_shard = Counter(int(k * mixing.SHARDS / 64) for k, x in enumerate(ordered(target, 64, lambda k: 2 * k - 1)) if x == s)
+        assert all(abs(in_shard[s, k] - by_shard[k] * width) <= 40 + (width / 2 if k == 7 else 0) for k in range(8))
+
+    other = [(x, k) for k, x in enumerate(ordered(target, 64, lambda k: k))]  # another divisor method: the highest t / k
+    monkeypatch.setattr(mixing, "seats", lambda goals, blocks: spark.createDataFrame(other, "source string, place int"))
+    changed, _, seats = taken()
+    assert {s: q for s, (q, _) in seats.items()} == dict(Counter(x for x, _ in other)) != {s: q for s, (q, _) in info.items()}
+    for s in target:
+        assert 0 <= min(target[s], seats[s][0] * width) - changed[s] <= 10
+        assert (changed[s] != words[s]) == (min(target[s], seats[s][0] * width) != min(target[s], info[s][0] * width))
+    assert changed != words
+
+
+def ordered(target, blocks, divisor):
+    """The sources of the highest quotients, in order."""
+    return [s for _, s in sorted((-t / divisor(k), s) for s, t in target.items() for k in range(1, blocks + 1))[:blocks]]
+
+
+def test_small_sources_get_more_blocks(spark):
+    goals = spark.createDataFrame([("a", 1e6), ("b", 100.0), ("c", 0.0)], "source string, target double")
+    assert mixing.n_blocks(goals) == 1 << 20 and mixing.n_blocks(goals.filter("target > 1000")) == 4096 and mixing.n_blocks(goals.limit(0)) == 4096
+    docs = table(spark, [(k, prose(k, 40), "en", "big") for k in range(400)] + [(1000 + k, prose(k, 3), "en", "small") for k in range(30)])
+    got = [x for x in mixing.mix(docs).collect() if x.doc_id >= 1000]
+    assert abs(sum(x.taken for x in got) - got[0].target) <= 0.05 * got[0].target
 
 
 def brute_taken(rows, sources, blocks, most, total):
@@ -480,7 +500,7 @@ def brute_taken(rows, sources, blocks, most, total):
     for source, (target, quota) in sources.items():
         own = sorted((x for x in rows if x[1] == source), key=lambda x: x[3])
         size = sum(x[2] for x in own)
-        limit = min(target, (quota + 1) * total / blocks)
+        limit = min(target, quota * total / blocks)
         passes = int(limit // size) if size else 0
         extra, upto, more = limit - passes * size, 0, set()
         for rid, _, n, _ in own:
@@ -504,7 +524,7 @@ def brute_taken(rows, sources, blocks, most, total):
     return out
 
 
-def test_mix_matches_block_selection_written_out(spark):
+def test_mix_matches_block_selection_written_out(spark, monkeypatch):
     r = random.Random(17)
     docs = [(k, prose(k, r.choice([1, 3, 9, 30, 200])), "en", r.choice(["a", "a", "a", "b", "c", None])) for k in range(500)] + [(None, prose(900 + k, 5), "en", "c") for k in range(20)] + [(1000, "", "en", "a"), (1001, None, "en", "b")]
     frame = table(spark, docs).withColumn("rid", F.monotonically_increasing_id()).cache()
@@ -513,13 +533,13 @@ def test_mix_matches_block_selection_written_out(spark):
     sizes = Counter()
     for _, source, n, _ in rows:
         sizes[source] += n
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 64)
     got = mixing.mix(frame, blocks=64, row="rid").collect()
     target = {sizes_: x.target for x in got for sizes_ in [next(s for rid, s, *_ in rows if rid == x.rid)]}
     quota = {next(s for rid, s, *_ in rows if rid == x.rid): x.quota for x in got}
     named = {s or "~": t for s, t in target.items()}  # null goes last
     seats_ = sainte_lague(named, 64)
-    whole = {s: int(t * 64 // sum(named.values())) for s, t in named.items()}
-    assert quota == {s: max(seats_[s or "~"], whole[s or "~"]) for s in target}
+    assert quota == {s: seats_[s or "~"] for s in target}
     assert {x.rid: x.copies for x in got} == brute_taken(rows, {s: (target[s], quota[s]) for s in target}, 64, 3, sum(sizes.values()))
     assert all(x.taken == x.copies * x.size for x in got)
 
