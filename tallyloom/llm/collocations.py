@@ -3,10 +3,11 @@
 First pass: each task adds the hashes of all its runs of one to five words to a count-min sketch (two rows of cells), of
 which cells go no higher than LEAST; the tasks' sketches are added up block by block. A cell is never under the count of a
 run that falls into it, so that a run all of whose cells reach LEAST in sum may be frequent and no other is. What the
-driver holds and broadcasts is a bit for each cell, 8 MB at most (WIDEST). Second pass: runs survive if their bits, and those of both
-runs one word shorter in them, are set; an Arrow batch counts its survivors and they are summed by text. So nothing
-frequent is lost, and what the sketches overestimate is dropped by its exact count. The width of the sketch follows the
-amount of text up to WIDEST cells a row; beyond, more runs survive and are counted, to the same result.
+driver holds and broadcasts is a bit for each cell, 4 MB. Second pass: runs survive if their bits, and those of both
+runs one word shorter in them, are set; a task counts its survivors and they are summed by text. So nothing
+frequent is lost, and what the sketches overestimate is dropped by its exact count. The sketch has the same width for every amount of
+text, so that what a task sends of it is bounded: on more text than width * least / longest words (some 300 million by
+default) most of its cells fill up, and more runs are counted only to be dropped. Give more width then, or a higher least; the result does not depend on the width.
 
 A phrase of two to five words that occurs LEAST times or more is a candidate. Cut after its first k words its parts occur l
 and r times (parts of a frequent phrase are frequent, so these counts are there too); the score is the least floor(1000 * a * n /
@@ -20,6 +21,7 @@ slab, and by their text beyond.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyloom.llm.scratch import Scratch
 
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
-NARROWEST, WIDEST, RUNS_A_CELL = 1 << 16, 1 << 25, 50
+WIDTH = 1 << 24  # cells of a row of the sketch: 128 MB in a task that fills it, 4 MB as bits
 BLOCKS = 256  # of a sketch, added up apart from each other
 SLAB = 4 << 20  # bytes of text at once
 MEMO = 1 << 20  # words whose hash a task remembers
+HELD = 400_000  # phrases that a task sums up before it sends them
 SALTS = 32
 
 _BREAK, _SPACE = b"\n", b" "
@@ -103,11 +106,6 @@ def _cells(runs: np.ndarray, lang: str, width: int) -> tuple[np.ndarray, np.ndar
     return ((x * _P3) >> shift).astype(np.int64), ((x * _P1 ^ (x >> np.uint64(29))) * _P2 >> shift).astype(np.int64)
 
 
-def sketch_width(characters: int, longest: int = LONGEST) -> int:
-    wanted = max(1, characters * longest // 6 // RUNS_A_CELL)  # six characters a word and its space
-    return min(WIDEST, max(NARROWEST, 1 << (wanted - 1).bit_length()))
-
-
 def frequent_cells(texts: DataFrame, width: int, least: int = LEAST, longest: int = LONGEST) -> np.ndarray:
     """uint8 [2, width / 8]: a bit for each cell that reaches least. texts: lang, text."""
     kind = np.uint8 if least < 128 else np.uint32
@@ -149,14 +147,20 @@ def survivors(texts: DataFrame, bits: np.ndarray, least: int = LEAST, longest: i
     width = bits.shape[1] * 8
     shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
+    def rows(sums: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
+        out = [(lang, k, phrase.decode(), n) for (lang, k), own in sums.items() for phrase, n in own.items()]
+        columns = zip(*out) if out else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(np.frombuffer(shared.value, np.uint8).reshape(2, -1), axis=1).view(bool)
-        memo = _Hashes({b"": 0, _BREAK: 1})
+        memo, sums = _Hashes({b"": 0, _BREAK: 1}), defaultdict(Counter)
         for batch in batches:
             for lang, slab in _slabs(batch):
                 words, hashes = _runs(slab, memo)
                 real = np.flatnonzero(hashes)
-                before, phrases, ks, counts = None, [""], [0], [int((hashes > 1).sum())]
+                sums[lang, 0][b""] += int((hashes > 1).sum())
+                before = None
                 for k, run, inside in _grown(hashes[real], longest):
                     alive = inside if before is None else inside & before[:-1] & before[1:]
                     at = np.flatnonzero(alive)
@@ -165,15 +169,14 @@ def survivors(texts: DataFrame, bits: np.ndarray, least: int = LEAST, longest: i
                     before = np.zeros(len(run), bool)
                     before[at] = True
                     _, some, n = np.unique(run[at], return_index=True, return_counts=True)
-                    begins = real[at[some]]
-                    if k == 1:
-                        phrases += [words[i].decode() for i in begins]
-                    else:  # there may be gaps between the words of a run, but no breaks
-                        ends = real[at[some] + k - 1] + 1
-                        phrases += [b" ".join(words[i:j]).decode() if j - i == k else b" ".join(filter(None, words[i:j])).decode() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    ks += [k] * len(n)
-                    counts += n.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ks)), pa.array(ks, pa.int32()), pa.array(phrases), pa.array(counts, pa.int64())], ["lang", "k", "phrase", "f"])
+                    begins, ends = real[at[some]], real[at[some] + k - 1] + 1
+                    own = sums[lang, k]  # there may be gaps between the words of a run, but no breaks
+                    for i, j, x in zip(begins.tolist(), ends.tolist(), n.tolist(), strict=True):
+                        own[b" ".join(words[i:j] if j - i == k else filter(None, words[i:j]))] += x
+                if sum(map(len, sums.values())) > HELD:
+                    yield rows(sums)
+                    sums.clear()
+        yield rows(sums)
 
     parts = texts.mapInArrow(count, "lang string, k int, phrase string, f long")
     return parts.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("k") == 0) | (F.col("f") >= least))
@@ -202,12 +205,11 @@ def inner_phrases(often: DataFrame) -> DataFrame:
     return rows.groupBy("lang", F.array_join(F.slice("w", F.col("i"), F.col("z")), " ").alias("phrase")).agg(F.max("f").alias("around"))
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE, width: int = WIDTH) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first top phrases of each language of docs (lang, text)."""
     scratch = Scratch(docs.sparkSession, "collocations")
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text")).filter("text <> ''")
-    characters = texts.agg(F.sum(F.length("text"))).head()[0] or 0
-    bits = frequent_cells(texts, sketch_width(characters, longest), least, longest)
+    bits = frequent_cells(texts, width, least, longest)
     often = scratch.keep(survivors(texts, bits, least, longest), "frequent")
     rows = scored(often).join(inner_phrases(often), ["lang", "phrase"], "left")
     rows = rows.filter(F.col("around").isNull() | (100 * F.col("around") < share * F.col("a")))

@@ -61,9 +61,9 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(C, "MEMO", 20)
     want = brute(rows, 6, 5, 25)
     assert len(want) > 60 and mined(spark, rows, least=6, top=25) == want
-    monkeypatch.setattr(C, "NARROWEST", 64)  # cells shared by nearly all runs: the exact count decides
-    monkeypatch.setattr(C, "WIDEST", 64)
-    assert mined(spark, rows, least=6, top=25) == want
+    monkeypatch.setattr(C, "HELD", 50)
+    for width in (64, 1 << 12):  # cells shared by nearly all runs: the exact count decides
+        assert mined(spark, rows, least=6, top=25, width=width) == want
 
 
 def test_collocations_of_odd_tables(spark):
