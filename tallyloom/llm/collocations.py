@@ -4,7 +4,7 @@ First pass: each task adds the hashes of all its runs of one to five words to a
 which cells go no higher than LEAST; the tasks' sketches are added up block by block. A cell is never under the count of a
 run that falls into it, so that a run all of whose cells reach LEAST in sum may be frequent and no other is. What the
 driver holds and broadcasts is a bit for each cell, 4 MB. Second pass: runs survive if their bits, and those of both
-runs one word shorter in them, are set; a task counts its survivors and they are summed by text. So nothing
+runs one word shorter in them, are set; a task counts its survivors, packs them by language and part of the hashes of their text, and parts are summed. So nothing
 frequent is lost, and what the sketches overestimate is dropped by its exact count. The sketch has the same width for every amount of
 text, so that what a task sends of it is bounded: on more text than width * least / longest words (some 300 million by
 default) most of its cells fill up, and more runs are counted only to be dropped. Give more width then, or a higher least; the result does not depend on the width.
@@ -38,6 +38,7 @@ BLOCKS = 256  # of a sketch, added up apart from each other
 SLAB = 4 << 20  # bytes of text at once
 MEMO = 1 << 20  # words whose hash a task remembers
 HELD = 400_000  # phrases that a task sums up before it sends them
+PARTS = 4096  # of a language's phrases, dealt by hash; the distinct ones of a part are summed in memory
 SALTS = 32
 
 _BREAK, _SPACE = b"\n", b" "
@@ -147,10 +148,17 @@ def survivors(texts: DataFrame, bits: np.ndarray, least: int = LEAST, longest: i
     width = bits.shape[1] * 8
     shared = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
-    def rows(sums: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
-        out = [(lang, k, phrase.decode(), n) for (lang, k), own in sums.items() for phrase, n in own.items()]
+    def packed(lang: str, own: Counter) -> Iterator[tuple[str, int, bytes, bytes]]:
+        dealt: dict[int, list[bytes]] = defaultdict(list)
+        for phrase in own:
+            dealt[xxhash.xxh64_intdigest(phrase) % PARTS].append(phrase)
+        for part, phrases in dealt.items():
+            yield lang, part, zstandard.compress(_BREAK.join(phrases)), np.array([own[x] for x in phrases], "<i8").tobytes()
+
+    def rows(sums: dict[str, Counter]) -> pa.RecordBatch:
+        out = [x for lang, own in sums.items() for x in packed(lang, own)]
         columns = zip(*out) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["lang", "part", "phrases", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(np.frombuffer(shared.value, np.uint8).reshape(2, -1), axis=1).view(bool)
@@ -159,7 +167,8 @@ def survivors(texts: DataFrame, bits: np.ndarray, least: int = LEAST, longest: i
             for lang, slab in _slabs(batch):
                 words, hashes = _runs(slab, memo)
                 real = np.flatnonzero(hashes)
-                sums[lang, 0][b""] += int((hashes > 1).sum())
+                own = sums[lang]
+                own[b"0 "] += int((hashes > 1).sum())
                 before = None
                 for k, run, inside in _grown(hashes[real], longest):
                     alive = inside if before is None else inside & before[:-1] & before[1:]
@@ -170,16 +179,33 @@ def survivors(texts: DataFrame, bits: np.ndarray, least: int = LEAST, longest: i
                     before[at] = True
                     _, some, n = np.unique(run[at], return_index=True, return_counts=True)
                     begins, ends = real[at[some]], real[at[some] + k - 1] + 1
-                    own = sums[lang, k]  # there may be gaps between the words of a run, but no breaks
+                    start = b"%d " % k  # there may be gaps between the words of a run, but no breaks
                     for i, j, x in zip(begins.tolist(), ends.tolist(), n.tolist(), strict=True):
-                        own[b" ".join(words[i:j] if j - i == k else filter(None, words[i:j]))] += x
+                        own[start + b" ".join(words[i:j] if j - i == k else filter(None, words[i:j]))] += x
                 if sum(map(len, sums.values())) > HELD:
                     yield rows(sums)
                     sums.clear()
         yield rows(sums)
 
-    parts = texts.mapInArrow(count, "lang string, k int, phrase string, f long")
-    return parts.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("k") == 0) | (F.col("f") >= least))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent(lang: str, own: Counter) -> pa.RecordBatch:
+            found = [(int(x[:1]), x[2:].decode(), n) for x, n in own.items() if n >= least or x == b"0 "]
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.int64())], ["lang", "k", "phrase", "f"])
+
+        key, own = None, Counter()
+        for batch in batches:
+            for lang, part, phrases, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if key != (lang, part):
+                    if own:
+                        yield frequent(key[0], own)
+                    key, own = (lang, part), Counter()
+                for phrase, n in zip(zstandard.decompress(phrases).split(_BREAK), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                    own[phrase] += n
+        if own:
+            yield frequent(key[0], own)
+
+    parts = texts.mapInArrow(count, "lang string, part int, phrases binary, counts binary")
+    return parts.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(summed, "lang string, k int, phrase string, f long")
 
 
 def scored(often: DataFrame) -> DataFrame:
