@@ -162,6 +162,23 @@ def test_shared_chunks_are_cut_alike():
     assert "".join(bpe.chunks(long)) == long and bpe.chunks(long)[-3:] == bpe.chunks(long[: len(long)])[-3:]
 
 
+def test_both_encoders_agree_on_every_character_and_token():
+    own = bpe.codec(open(MODEL, encoding="utf-8").read())
+    assert own.plain is not None
+    whole = lambda xs: [x.ids for x in own.tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{0}a1{0}1.{0}.", "  {0} x {0}{0}a\n{0}"):  # how it groups with letters, digits, marks and white space
+        for k in range(0, len(every), 200_000):
+            xs = [form.format(c) for c in every[k : k + 200_000]]
+            assert whole(xs) == [own.plain.encode_ordinary(x) for x in xs]
+    # where every token's own text is encoded as that token, the pair of least rank is always a merge
+    assert all(len(own.tokenizer.model.tokenize(x)) == 1 for x in own.tokenizer.get_vocab(with_added_tokens=False))
+    ascii_ = [chr(c) for c in range(128)]
+    for a in "a 1'.\n\t\x1c":
+        xs = [a + b + c for b in ascii_ for c in ascii_]
+        assert whole(xs) == [own.plain.encode_ordinary(x) for x in xs]
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.check(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
