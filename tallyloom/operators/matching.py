@@ -1,11 +1,12 @@
 """Scored matching of documents against master data: customers, delivery sites and articles.
 
-Weights are the fixed values below. Every query is scored against all master rows in effect, but only those meet that could
-be its best or second. A pair's points come from flags (VAT, postal code or its first three characters, city) and from
-shared words. Rows that share flags alone have equal points, so the first two of each combination of flags stand for all;
-rows that share words come from inverted indexes; all others have no points. A word of a name, or a whole street or city
-text, that stands in more than OFTEN master rows makes no pair by itself: what it adds is 45 points at most, so that no
-match, which takes 75, is lost and none becomes ambiguous (GAP is 15).
+Weights are the fixed values below. The best and the second of each query are those of all master rows, but only rows
+that can be either meet it (candidates()). A pair's points come from features that both have: VAT, postal code or its
+beginning, town, a similar town or street text, words of the name. A feature of at most OFTEN master rows brings all of
+them. Rows that share nothing but frequent features with a query are in the posting lists of every combination of these; of
+a list the two first rows by ordinal of each name length stand for all, since they have all that the list is for and, with
+names as long, no fewer points. So frequent words stay in, and no list is read beyond that. Lists whose upper
+bound is under the second best score known so far are not asked (as in WAND).
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import normalize as N
 from tallyloom.operators.joins import cascade, token_matches
 from tallyloom.operators.ranking import best_and_gap, top_k
+from tallyloom.sources.shared import written
 
 # fixed values: points of the batch matcher
 VAT, POSTAL, POSTAL_NEAR, CITY, BOTH = 80.0, 35.0, 15.0, 30.0, 15.0
@@ -26,7 +28,8 @@ CITY_SHARE, STREET_SHARE, NAME_SHARE = 0.2, 0.1, 0.15
 CITY_LEAST, STREET_LEAST = 60.0, 50.0
 SOLDTO_LEAST, SHIPTO_LEAST, GAP = 75.0, 80.0, 15.0
 FUZZY_LEAST = 65.0
-OFTEN = 100
+OFTEN = 64  # master rows of a feature that all meet the queries that have it
+SUBSETS = 10  # frequent words of a name that combinations are made of; the rarer ones bring all their rows
 
 FIELDS = ("name", "street", "postal", "city", "vat")
 
@@ -46,44 +49,124 @@ def _filled(x: str, y: str) -> Column:
 def scored(pairs: DataFrame, q: str = "q_", m: str = "m_") -> DataFrame:
     """pairs of prepared query and master columns, with score (2 decimals), and the flags by_vat, by_postal, by_city."""
     vat, postal = F.coalesce(_filled(f"{q}vat", f"{m}vat"), F.lit(False)), F.coalesce(_filled(f"{q}postal", f"{m}postal"), F.lit(False))
-    near = F.coalesce((F.length(f"{q}postal") >= 3) & (F.left(f"{q}postal", F.lit(3)) == F.left(f"{m}postal", F.lit(3))), F.lit(False))
+    near = F.coalesce((F.col(f"{q}postal") != "") & F.col(f"{m}postal").startswith(F.left(f"{q}postal", F.lit(3))), F.lit(False))
     city = F.coalesce(_filled(f"{q}city", f"{m}city"), F.lit(False))
     jaccard = lambda x: F.coalesce(N.token_jaccard(F.col(f"{q}{x}"), F.col(f"{m}{x}")), F.lit(0.0))
     score = F.when(vat, VAT).otherwise(0.0) + F.when(postal, POSTAL).when(near, POSTAL_NEAR).otherwise(0.0)
     score += F.when(city, CITY).when(jaccard("city_t") >= CITY_LEAST, CITY_SHARE * jaccard("city_t")).otherwise(0.0)
     score += F.when(jaccard("street") >= STREET_LEAST, STREET_SHARE * jaccard("street")).otherwise(0.0) + NAME_SHARE * jaccard("name")
-    score += F.when(postal & city, BOTH).otherwise(0.0)
+    score += F.when((postal | vat) & city, BOTH).otherwise(0.0)
     return pairs.withColumns({"score": F.round(score, 2), "by_vat": vat, "by_postal": postal | vat, "by_city": city})
 
 
-def _combinations(p: str) -> Column:
-    """Every combination of flags of a prepared row as a key: VAT or not, postal code, its beginning or neither, city or not."""
-    vat, postal, city = (F.nullif(F.col(f"{p}{c}"), F.lit("")) for c in ("vat", "postal", "city"))
-    near = F.when(F.length(postal) >= 3, F.left(postal, F.lit(3)))
-    key = lambda *parts: F.concat(*(F.concat(F.lit(f"{name}:"), value, F.lit("|")) for name, value in parts))  # noqa: E731  null if a part is
-    places = ((), (("p", postal),), (("n", near),))
-    chosen = [(*v, *place, *c) for v in ((), (("v", vat),)) for place in places for c in ((), (("c", city),))]
-    return F.array_compact(F.array(*(key(*parts) for parts in chosen if parts)))
-
-
-def _same_words(q: DataFrame, m: DataFrame, query_id: str, words: str, least: float) -> DataFrame:
-    """(query_id, ordinal) of rows whose distinct texts share `least` of 100 words."""
-    sets = lambda side, c: side.select(F.array_sort(c).alias("w")).filter(F.size("w") > 0)
-    keyed = lambda df, name: df.select(F.xxhash64("w").alias(name), F.col("w").alias(f"{name}w"))
-    mine, theirs = keyed(sets(q, f"q_{words}").distinct(), "_x"), sets(m, f"m_{words}").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= OFTEN)
-    alike = token_matches(mine, keyed(theirs, "_y"), "_x", "_xw", "_y", "_yw", least).select("_x", "_y")
-    ids = lambda side, key, c, name: side.select(key, F.xxhash64(F.array_sort(c)).alias(name))
-    return ids(q, query_id, f"q_{words}", "_x").join(alike, "_x").join(ids(m, "ordinal", f"m_{words}", "_y"), "_y").select(query_id, "ordinal")
-
-
-def candidates(queries: DataFrame, master: DataFrame, query_id: str) -> DataFrame:
-    """Pairs of prepared queries and master rows (ordinal) that can be the best or the second of a query."""
-    first = top_k(master.select("ordinal", F.explode(_combinations("m_")).alias("_key")), "_key", [F.asc("ordinal")], 2)
-    by_flags = queries.select(query_id, F.explode(_combinations("q_")).alias("_key")).join(first, "_key").select(query_id, "ordinal")
-    words = master.select("ordinal", F.explode("m_name").alias("_word"))
-    rare = words.join(words.groupBy("_word").agg(F.count("*").alias("_n")).filter(F.col("_n") <= OFTEN), "_word")
-    by_name = queries.select(query_id, F.explode("q_name").alias("_word")).join(rare, "_word").select(query_id, "ordinal")
-    return by_flags.unionByName(by_name).unionByName(_same_words(queries, master, query_id, "street", STREET_LEAST)).unionByName(_same_words(queries, master, query_id, "city_t", CITY_LEAST)).distinct()
+def _alike(q: DataFrame, m: DataFrame, text: Column, words: str, least: float) -> DataFrame:
+    """(_x, _y, jaccard) of distinct texts of queries and master rows that share `least` of 100 words. text: of a side, from its prefix."""
+    texts = lambda side, p, name: side.select(text(p).alias(name), F.col(f"{p}{words}").alias(f"{name}w")).filter(F.size(f"{name}w") > 0).dropDuplicates([name])
+    return token_matches(texts(q, "q_", "_x"), texts(m, "m_", "_y"), "_x", "_xw", "_y", "_yw", least).select("_x", "_y", "jaccard")
+
+
+def _filled_text(c: str) -> Column:
+    return F.nullif(F.col(c), F.lit(""))
+
+
+def _street(p: str) -> Column:
+    return F.when(F.size(f"{p}street") > 0, F.array_join(F.array_sort(f"{p}street"), " "))
+
+
+def _keyed(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), value)
+
+
+def _master_features(m: DataFrame) -> DataFrame:
+    """(ordinal, block, kind, feature, n): what queries can share with each master row, and how many rows of its block have it."""
+    postal = _filled_text("m_postal")
+    beginnings = [F.when(F.length(postal) >= k, _keyed("n", F.left(postal, F.lit(k)))) for k in (1, 2, 3)]
+    places = F.array_compact(F.array(_keyed("v", _filled_text("m_vat")), _keyed("p", postal), *beginnings, _keyed("c", _filled_text("m_city")), _keyed("s", _street("m_"))))
+    rows = m.select("ordinal", "block", F.explode(F.concat(places, F.transform("m_name", lambda w: _keyed("w", w)))).alias("feature"))
+    rows = rows.withColumn("kind", F.left("feature", F.lit(1)))
+    return rows.join(rows.groupBy("block", "feature").agg(F.count("*").alias("n")), ["block", "feature"])
+
+
+def _query_features(q: DataFrame, m: DataFrame, query_id: str) -> DataFrame:
+    """(query_id, block, kind, feature, points, strong) of places and words; strong: the town itself, and what makes a pair of it the bonus."""
+    one = lambda kind, value, points, strong: F.when(value.isNotNull(), F.struct(_keyed(kind, value).alias("feature"), F.lit(points).alias("points"), F.lit(strong).alias("strong")))
+    postal = _filled_text("q_postal")
+    own = F.array_compact(F.array(one("v", _filled_text("q_vat"), VAT, True), one("p", postal, POSTAL, True), one("n", F.left(postal, F.lit(3)), POSTAL_NEAR, False), one("c", _filled_text("q_city"), CITY, True)))
+    words = F.transform("q_name", lambda w: F.struct(_keyed("w", w).alias("feature"), F.lit(0.0).alias("points"), F.lit(False).alias("strong")))
+    rows = q.select(query_id, "block", F.explode(F.concat(own, words)).alias("x")).select(query_id, "block", "x.*")
+    town, street = lambda p: _filled_text(f"{p}city"), _street
+    for kind, text, words, least, share in (("c", town, "city_t", CITY_LEAST, CITY_SHARE), ("s", street, "street", STREET_LEAST, STREET_SHARE)):
+        alike = _alike(q, m, text, words, least).filter("_x <> _y" if kind == "c" else "true")
+        more = q.select(query_id, "block", text("q_").alias("_x")).join(alike, "_x")
+        rows = rows.unionByName(more.select(query_id, "block", _keyed(kind, F.col("_y")).alias("feature"), (F.lit(share) * F.col("jaccard")).alias("points"), F.lit(False).alias("strong")))
+    return rows.withColumn("kind", F.left("feature", F.lit(1)))
+
+
+def _some(words: Column) -> Column:
+    """All subsets of sorted words, as one text each with the number of its words."""
+    none = F.array(F.struct(F.lit("").alias("w"), F.lit(0).alias("j")))
+    return F.aggregate(words, none, lambda found, word: F.concat(found, F.transform(found, lambda x: F.struct(F.concat(x.w, F.lit(" "), word).alias("w"), (x.j + 1).alias("j")))))
+
+
+def _most_frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, feature, n) of frequent words with rank, the most frequent first."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "feature")))
+
+
+def candidates(q: DataFrame, m: DataFrame, query_id: str, often: int = OFTEN) -> DataFrame:
+    """Pairs (query_id, ordinal) of prepared queries and master rows of the same block, among them the best and the second of each query that have any points."""
+    features = written(_master_features(m), "features")
+    counts = features.groupBy("block", "feature").agg(F.first("n").alias("n"))
+    asked = written(_query_features(q, m, query_id).join(counts, ["block", "feature"]), "asked")
+    pair = [query_id, "ordinal"]
+
+    # features that bring all their rows: rare ones, and of names with many frequent words all but the most frequent
+    ranked = _most_frequent(features.filter((F.col("kind") == "w") & (F.col("n") > often)), ["ordinal"])
+    ranked_q = _most_frequent(asked.filter((F.col("kind") == "w") & (F.col("n") > often)), [query_id])
+    key = lambda df, *more: df.select("block", "feature", *more)
+    direct = key(asked.filter(F.col("n") <= often), query_id).unionByName(key(ranked_q.filter(F.col("rank") > SUBSETS), query_id)).join(key(features, "ordinal"), ["block", "feature"]).select(pair)
+    direct = direct.unionByName(key(asked, query_id).join(key(ranked.filter(F.col("rank") > SUBSETS), "ordinal"), ["block", "feature"]).select(pair))
+
+    # of the frequent features of a master row every combination, and the two first rows of each by length of the name
+    listed = lambda kinds: F.concat(F.array(F.lit("")), F.sort_array(F.collect_list(F.when(F.col("kind").isin(*kinds), F.col("feature")))))
+    kept = features.filter((F.col("kind") != "w") & (F.col("n") > often)).select("ordinal", "kind", "feature").unionByName(ranked.filter(F.col("rank") <= SUBSETS).select("ordinal", "kind", "feature"))
+    own = kept.groupBy("ordinal").agg(*(listed(k).alias(name) for name, k in (("v", "v"), ("p", "pn"), ("c", "c"), ("s", "s"))), F.sort_array(F.collect_list(F.when(F.col("kind") == "w", F.col("feature")))).alias("w"))
+    rows = own.join(m.select("ordinal", "block", F.size("m_name").alias("long")), "ordinal").withColumn("w", F.transform(_some(F.col("w")), lambda x: x.w))
+    for c in "vpcsw":
+        rows = rows.withColumn(c, F.explode(c))
+    rows = rows.select(F.concat_ws("|", "block", *"vpcsw").alias("_key"), "long", "ordinal")
+    lists = written(top_k(rows, ["_key", "long"], [F.asc("ordinal")], 2).select("_key", "ordinal"), "lists")
+
+    # the same for queries: first without similar texts, which gives the second best so far, then whatever can reach that
+    options = lambda kinds: F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct("feature", "points", "strong")))
+    places = asked.filter((F.col("kind") != "w") & (F.col("n") > often)).groupBy(query_id).agg(*(options(k).alias(name) for name, k in (("v", "v"), ("p", "pn"), ("c", "c"), ("s", "s"))))
+    names = ranked_q.filter(F.col("rank") <= SUBSETS).groupBy(query_id).agg(F.sort_array(F.collect_list("feature")).alias("w"))
+    sides = q.select(query_id, "block", F.size("q_name").alias("long")).join(places, query_id, "left").join(names, query_id, "left")
+    sides = written(sides.filter("v is not null or w is not null"), "sides")
+    certain = written(direct.unionByName(_asked_lists(sides, query_id, similar=False).join(lists, "_key").select(pair)).distinct(), "certain")
+    found = scored(certain.join(m, "ordinal").join(q.drop("block"), query_id)).select(query_id, "score", "ordinal")
+    second = top_k(found, query_id, [F.desc("score"), F.asc("ordinal")], 2).groupBy(query_id).agg(F.min("score").alias("_second"), F.count("*").alias("_n")).filter("_n = 2").drop("_n")
+    more = _asked_lists(sides.join(second, query_id, "left"), query_id, similar=True).join(lists, "_key").select(pair)
+    return certain.unionByName(more).distinct()
+
+
+def _asked_lists(sides: DataFrame, query_id: str, similar: bool) -> DataFrame:
+    """(query_id, _key) of the lists that queries ask. similar: also those of similar towns and streets, but only lists whose points can reach _second."""
+    nothing = F.array(F.struct(F.lit("").alias("feature"), F.lit(0.0).alias("points"), F.lit(False).alias("strong")))
+    with_none = lambda c: F.concat(nothing, F.coalesce(c, F.array().cast(sides.schema["v"].dataType)))
+    name = 100 * NAME_SHARE
+    reach = (lambda df, points: df.filter(points + 0.01 >= F.coalesce("_second", F.lit(0.0)))) if similar else lambda df, points: df
+    towns = F.col("c") if similar else F.filter("c", lambda x: x.strong)
+    rows = sides.withColumns({"w": F.coalesce("w", F.array().cast("array<string>")), "v": F.explode(with_none(F.col("v"))), "s": with_none(F.col("s")) if similar else nothing})
+    rows = rows.withColumn("p", F.explode(with_none(F.col("p")))).withColumn("c", F.explode(with_none(towns)))
+    most = F.when(F.col("long") > 0, name * F.size("w") / F.col("long")).otherwise(0.0)
+    rows = rows.withColumn("points", F.expr("v.points + p.points + c.points") + F.when(F.expr("(v.strong or p.strong) and c.strong"), BOTH).otherwise(0.0))
+    rows = reach(rows, F.col("points") + F.array_max(F.transform("s", lambda x: x.points)) + most)
+    rows = rows.withColumn("s", F.explode("s")).withColumn("points", F.col("points") + F.col("s.points"))
+    rows = reach(rows, F.col("points") + most).withColumn("w", F.explode(_some(F.col("w"))))
+    bound = F.col("points") + F.when(F.col("long") > 0, name * F.col("w.j") / F.col("long")).otherwise(0.0)
+    rows = reach(rows, bound).filter("points > 0 or w.j > 0")
+    return rows.select(query_id, F.concat_ws("|", "block", "v.feature", "p.feature", "c.feature", "s.feature", "w.w").alias("_key"))
 
 
 def _judged(pairs: DataFrame, queries: DataFrame, query_id: str, least: float, master_rows: Column) -> DataFrame:
@@ -98,25 +181,28 @@ def _judged(pairs: DataFrame, queries: DataFrame, query_id: str, least: float, m
     return rows.select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status")
 
 
-def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: float = SOLDTO_LEAST) -> DataFrame:
+def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: float = SOLDTO_LEAST, often: int = OFTEN) -> DataFrame:
     """The best master row of each query, or none.
 
     queries: query_id, name, street, postal, city, vat; master: the same fields, id and ordinal. Returns query_id, id,
     score, second, gap, status: matched, low (under least), ambiguous (gap under GAP with neither postal code nor city
-    equal) or none (no master rows).
+    equal) or none (no master rows). often decides what is read, not what is found.
     """
-    q, m = prepared(queries, "q_"), prepared(master, "m_").drop(*FIELDS)
-    pairs = candidates(q, m, query_id).join(m, "ordinal").join(q, query_id)
-    total = F.broadcast(master.agg(F.count("*").alias("_total")))  # one row
-    return _judged(pairs, queries.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total"))
+    q = written(prepared(queries, "q_").withColumn("block", F.lit("")), "queries")
+    m = written(prepared(master, "m_").drop(*FIELDS).withColumn("block", F.lit("")), "master")
+    pairs = candidates(q, m, query_id, often).join(m, "ordinal").join(q.drop("block"), query_id)
+    total = F.broadcast(m.agg(F.count("*").alias("_total")))  # one row
+    return _judged(pairs, q.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total"))
 
 
-def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: float = SHIPTO_LEAST) -> DataFrame:
+def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: float = SHIPTO_LEAST, often: int = OFTEN) -> DataFrame:
     """As match_parties(), among the sites of each query's own soldto only, and without VAT; a best site that only its street speaks for has status street_only."""
-    q, m = prepared(queries.drop("vat").withColumn("vat", F.lit("")), "q_"), prepared(sites, "m_").drop(*FIELDS)
-    pairs = q.join(m, "soldto")
-    counts = sites.groupBy("soldto").agg(F.count("*").alias("_total"))
-    own = queries.select(query_id, "soldto").join(counts, "soldto", "left")
+    block = F.col("soldto").cast("string").alias("block")
+    q = written(prepared(queries.withColumn("vat", F.lit("")), "q_").select("*", block), "queries")
+    m = written(prepared(sites, "m_").filter("soldto is not null").select("*", block).drop(*FIELDS, "soldto"), "sites")
+    asking = q.filter("block is not null")
+    pairs = candidates(asking, m, query_id, often).join(m, "ordinal").join(asking.drop("block"), query_id)
+    own = q.select(query_id, "block").join(m.groupBy("block").agg(F.count("*").alias("_total")), "block", "left")
     street = F.coalesce(N.token_jaccard(F.col("q_street"), F.col("m_street")), F.lit(0.0)) >= STREET_LEAST
     best = best_and_gap(scored(pairs).withColumn("_street", street), query_id, "score", "ordinal", GAP)
     weak = best.filter("_street and not by_postal and not by_city").select(query_id, F.lit(True).alias("_weak"))
