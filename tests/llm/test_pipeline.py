@@ -39,13 +39,17 @@ def test_stages(spark, tmp_path):
 
 def test_stages_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, prose(999, "en", 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, copies int, shard string, h long, size string"
-    rows = [(k, prose(k, "en", 30), "en", None if k % 2 else "s", 1, 5, 6, "x", 7, "y") for k in range(12)] + [(None, prose(77, "en", 20), None, None, None, None, None, None, None, None)] * 2 + [(3, prose(3, "en", 30), "en", None, 1, 5, 6, "x", 7, "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, copies int, shard string, h long, size string, _row string, _copies string, _copy int, _path string, _index long, _file int, __row long, n int, first int"
+    own = lambda k: (f"r{k}", f"c{k}", k, f"p{k}", 1, 2, 3, 4, 5)
+    rows = [(k, prose(k, "en", 30), "en", None if k % 2 else "s", 1, 5, 6, "x", 7, "y", *own(k)) for k in range(12)] + [(None, prose(77, "en", 20), None, None, None, None, None, None, None, None, *own(77))] * 2 + [(3, prose(3, "en", 30), "en", None, 1, 5, 6, "x", 7, "y", *own(3))]
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         kept = docs
         for name, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, kept, str(tmp_path))
             assert kept.columns == docs.columns, name
+            assert all(x._row == f"r{k}" and x._copies == f"c{k}" and x._path == f"p{k}" for x in kept.collect() for k in [77 if x.doc_id is None else x.doc_id]), name
+            kept.write.parquet(f"{tmp_path}/{name}-{docs.isEmpty()}")  # as run() does
+            kept = spark.read.parquet(f"{tmp_path}/{name}-{docs.isEmpty()}")
             if name == "near-duplicates":
                 assert kept.count() == (0 if docs.isEmpty() else 13)  # the repeated row goes, and one of the two equal ones without a doc_id
         out = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
