@@ -44,12 +44,12 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
 
 
 def routed(stream: DataFrame, sinks: dict[str, str], checkpoint: str, decision: str = "decision") -> None:
-    """Rows to a folder by decision, one pass over each micro-batch."""
+    """Rows to a folder by decision, one pass over each micro-batch. A batch that is run again replaces its own files (batch=<id>) and doubles nothing."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         for value, path in sinks.items():
-            kept.filter(F.col(decision) == value).write.mode("append").parquet(path)
+            kept.filter(F.col(decision) == value).write.mode("overwrite").parquet(f"{path}/batch={number}")
         kept.unpersist()
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
