@@ -37,6 +37,13 @@ def union_of_matches(keys: Sequence[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def with_search(keys: DataFrame, found: DataFrame, searched: DataFrame, key: str, other: str = "id") -> DataFrame:
+    """(key, other, how): the candidates that evidence found for each key (evidence), and for keys without any those of a search of all rows (searched)."""
+    own = keys.select(key).distinct().join(found.select(key, other).distinct(), key)
+    lacking = keys.select(key).distinct().join(found.select(key), key, "left_anti")
+    return own.withColumn("how", F.lit("evidence")).unionByName(lacking.join(searched.select(key, other), key).withColumn("how", F.lit("searched")))
+
+
 def duplicates_by_any(rows: DataFrame, seen: DataFrame, tests: Sequence[tuple[str, Sequence[str]]], key: str) -> DataFrame:
     """(key, reason) of rows that agree with seen in all columns of a test; the first test that hits gives the reason."""
     parts = [rows.join(seen.select(*cols).distinct(), list(cols), "left_semi").select(key, F.lit(k).alias("_k"), F.lit(reason).alias("reason")) for k, (reason, cols) in enumerate(tests)]

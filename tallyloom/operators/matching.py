@@ -195,6 +195,14 @@ def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: f
     return _judged(pairs, q.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total"))
 
 
+def best_two(queries: DataFrame, master: DataFrame, query_id: str, often: int = OFTEN) -> DataFrame:
+    """(query_id, id, score) of the best two master rows of each query that have any points, out of all; of equal ones the first by ordinal."""
+    q = written(prepared(queries, "q_").withColumn("block", F.lit("")), "queries")
+    m = written(prepared(master, "m_").drop(*FIELDS).withColumn("block", F.lit("")), "master")
+    pairs = scored(candidates(q, m, query_id, often).join(m, "ordinal").join(q.drop("block"), query_id)).filter("score > 0")
+    return top_k(pairs, query_id, [F.desc("score"), F.asc("ordinal")], 2).select(query_id, "id", "score")
+
+
 def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: float = SHIPTO_LEAST, often: int = OFTEN) -> DataFrame:
     """As match_parties(), among the sites of each query's own soldto only, and without VAT; a best site that only its street speaks for has status street_only."""
     block = F.col("soldto").cast("string").alias("block")
