@@ -336,28 +336,53 @@ SELECT DISTINCT id, name FROM r JOIN n ON r.g = array_to_string(n.g, ' ') WHERE
 
 
 def order_messages(spark, d):
-    """Messages of all orders with lines: their lengths and segments."""
-    return _messages(spark, d).select("o_orderkey", "segments", F.size(edifact.segments(F.col("message"))).alias("all_segments"), F.size(edifact.checks(F.col("message"))).alias("failed"))
+    """Messages of all orders with lines, with dates on some lines and what their parties lack: the whole text."""
+    rows = _messages(spark, d)
+    return rows.select("o_orderkey", "message", "segments", F.array_join("warnings", ",").alias("warnings"), F.size(edifact.segments(F.col("message"))).alias("all_segments"), F.size(edifact.checks(F.col("message"))).alias("failed"))
 
 
 def _messages(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("PO"), F.col("o_orderkey").cast("string")).alias("po_number"), F.date_format("o_orderdate", "yyyyMMdd").alias("order_date"), F.col("o_custkey").cast("string").alias("buyer"), F.lit("S1").alias("site"))
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("description"))
-    lines = table(spark, d, "lineitem").join(part, "l_partkey", "left").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 10).alias("line_number"), F.col("l_partkey").cast("string").alias("article"), "description", F.col("l_quantity").alias("quantity"), F.lit("PCE").alias("unit"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"))
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders").select(
+        "o_orderkey", F.concat(F.when(k % 5 == 0, "P'O+").otherwise("PO"), k.cast("string")).alias("po_number"), F.date_format("o_orderdate", "yyyyMMdd").alias("order_date"), F.col("o_custkey").cast("string").alias("buyer"), F.when(k % 6 > 0, "S1").otherwise("").alias("site"),
+        F.col("o_orderpriority").alias("buyer_name"), F.when(k % 4 > 0, "PARIS").alias("buyer_city"), F.lit("N").alias("site_name"), F.lit("LYON").alias("site_city"),
+    )
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("+", "p_name", "p_brand").alias("description"))
+    day = F.when(F.col("l_partkey") % 3 == 0, F.date_format("l_shipdate", "dd/MM/yyyy")).when(F.col("l_partkey") % 3 == 1, "soon")
+    lines = table(spark, d, "lineitem").join(part, "l_partkey", "left").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") * 10).alias("line_number"), F.col("l_partkey").cast("string").alias("article"), "description", F.col("l_quantity").alias("quantity"), F.lit("PCE").alias("unit"), F.when(F.col("l_partkey") % 7 > 0, F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"), day.alias("delivery_date"))
     return edifact.build_messages(orders, lines, "o_orderkey")
 
 
-ORDER_MESSAGES = "SELECT o_orderkey, (6 * count(*) + 9)::INT AS segments, (6 * count(*) + 12)::INT AS all_segments, 0 AS failed FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
+_MESSAGES = r"""n AS (SELECT l_orderkey AS k, l_linenumber * 10 AS n, l_partkey AS a, coalesce(left(trim(regexp_replace(concat_ws('+', p_name, p_brand), '[+:''?\r\n]', ' ', 'g')), 35), '') AS t, l_quantity::BIGINT AS q,
+  CASE WHEN l_partkey % 7 > 0 AND l_extendedprice::DECIMAL(18,2) > 0 THEN 'PRI+AAA:' || regexp_replace(regexp_replace(l_extendedprice::DECIMAL(18,2)::VARCHAR, '0+$', ''), '\.$', '') END AS p, CASE WHEN l_partkey % 3 = 0 THEN 'DTM+2:' || strftime(l_shipdate, '%Y%m%d') || ':102' END AS d FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+l AS (SELECT k, n, concat_ws(chr(39) || chr(10), 'LIN+' || n, 'PIA+1+' || a || ':SA', 'PIA+5+' || a || ':SA', 'IMD+F++:::' || t, 'QTY+21:' || q || ':PCE', d, p) AS s, 5 + (d IS NOT NULL)::INT + (p IS NOT NULL)::INT AS c FROM n),
+g AS (SELECT k, string_agg(s, chr(39) || chr(10) ORDER BY n, s) AS body, sum(c)::INT AS c, count(*) AS lines FROM l GROUP BY k),
+m AS (SELECT k, o_orderpriority, lpad(k::VARCHAR, 14, '0') AS ref, c + 9 AS segments, lines, concat_ws(chr(39) || chr(10), 'UNA:+.? ', 'UNB+UNOC:3+SENDER+RECEIVER++' || lpad(k::VARCHAR, 14, '0'), 'UNH+1+ORDERS:D:96A:UN', 'BGM+220+' || CASE WHEN k % 5 = 0 THEN 'P?''O?+' ELSE 'PO' END || k || '+9',
+  'DTM+137:' || strftime(o_orderdate, '%Y%m%d') || ':102', 'NAD+BY+' || o_custkey || '::91', 'NAD+DP+' || CASE WHEN k % 6 > 0 THEN 'S1' ELSE '' END || '::91', 'CUX+2:EUR:9', body, 'UNS+S', 'CNT+2:' || lines, 'UNT+' || (c + 9) || '+1', 'UNZ+1+' || lpad(k::VARCHAR, 14, '0')) || chr(39) AS message FROM g JOIN orders ON o_orderkey = k)"""
+ORDER_MESSAGES = "WITH " + _MESSAGES + """
+SELECT k AS o_orderkey, message, segments, concat_ws(',', CASE WHEN trim(coalesce(o_orderpriority, '')) = '' THEN 'BY_NAME_MISSING' END, CASE WHEN k % 4 = 0 THEN 'BY_CITY_MISSING' END, CASE WHEN k % 6 = 0 THEN 'DP_CODE_MISSING' END) AS warnings, segments + 3 AS all_segments, 0 AS failed FROM m"""
 
 
 def validate_message(spark, d):
-    """The same messages, each third one broken, and what is found wrong."""
-    rows = _messages(spark, d)
-    broken = F.when(F.col("o_orderkey") % 3 == 0, F.regexp_replace("message", "NAD\\+BY", "NAD+XX")).otherwise(F.col("message"))
-    return rows.select("o_orderkey", F.array_join(edifact.checks(broken), ",").alias("errors"))
-
-
-VALIDATE_MESSAGE = "SELECT DISTINCT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING_BUYER' ELSE '' END AS errors FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+    """The same messages, most of them broken in one of ten ways, and what is found wrong."""
+    k, text = F.col("o_orderkey") % 11, F.col("message")
+    ways = [("UNB+", "XNB+"), ("UNH+", "UNG+"), ("BGM+220", "BGM+221"), ("NAD+BY", "NAD+XX"), ("NAD+DP", "nad+dp"), ("LIN+", "LIN-"), ("UNT+", "UNT+1"), ("CNT+2:", "CNT+2:9"), ("\n", ""), ("CUX+2:EUR:9'", "CUX+2:E?'UR:9'\n  '")]
+    broken = F.when(F.lit(False), text)
+    for i, (old, new) in enumerate(ways):
+        broken = broken.when(k == i, F.replace(text, F.lit(old), F.lit(new)))
+    return _messages(spark, d).select("o_orderkey", F.array_join(edifact.checks(broken.otherwise(text)), ",").alias("errors"))
+
+
+# segments as a list, in which every test looks
+VALIDATE_MESSAGE = "WITH " + _MESSAGES + r""",
+b AS (SELECT k, CASE k % 11 WHEN 0 THEN replace(message, 'UNB+', 'XNB+') WHEN 1 THEN replace(message, 'UNH+', 'UNG+') WHEN 2 THEN replace(message, 'BGM+220', 'BGM+221') WHEN 3 THEN replace(message, 'NAD+BY', 'NAD+XX') WHEN 4 THEN replace(message, 'NAD+DP', 'nad+dp')
+  WHEN 5 THEN replace(message, 'LIN+', 'LIN-') WHEN 6 THEN replace(message, 'UNT+', 'UNT+1') WHEN 7 THEN replace(message, 'CNT+2:', 'CNT+2:9') WHEN 8 THEN replace(message, chr(10), '') WHEN 9 THEN replace(message, 'CUX+2:EUR:9''', 'CUX+2:E?''UR:9''' || chr(10) || '  ''') ELSE message END AS t FROM m),
+s AS (SELECT k, list_filter(list_transform(string_split(replace(replace(t, '??', ''), '?''', ''), ''''), lambda x: ltrim(x, chr(10) || ' ')), lambda x: x <> '') AS s FROM b),
+f AS (SELECT k, s, len(list_filter(s, lambda x: regexp_matches(x, '^LIN\+[0-9]+(\+|$)'))) AS lines, list_position(list_transform(s, lambda x: starts_with(x, 'UNH+')), true) AS h, list_position(list_transform(s, lambda x: starts_with(x, 'UNT+')), true) AS u FROM s),
+e AS (SELECT k, s, lines, h, u, try_cast(regexp_extract(list_filter(s, lambda x: starts_with(x, 'UNT+'))[1], '^UNT\+([0-9]+)', 1) AS INT) AS told, try_cast(regexp_extract(list_filter(s, lambda x: starts_with(x, 'CNT+2:'))[1], '^CNT\+2:([0-9]+)', 1) AS INT) AS counted FROM f)
+SELECT k AS o_orderkey, concat_ws(',', CASE WHEN NOT list_contains(list_transform(s, lambda x: starts_with(x, 'UNB+')), true) THEN 'MISSING_UNB' END, CASE WHEN coalesce(h, 0) = 0 THEN 'MISSING_UNH' END, CASE WHEN NOT list_contains(list_transform(s, lambda x: starts_with(x, 'BGM+220')), true) THEN 'MISSING_BGM' END,
+  CASE WHEN NOT list_contains(list_transform(s, lambda x: starts_with(x, 'NAD+BY+')), true) THEN 'MISSING_BUYER' END, CASE WHEN NOT list_contains(list_transform(s, lambda x: starts_with(x, 'NAD+DP+')), true) THEN 'MISSING_DELIVERY' END, CASE WHEN lines = 0 THEN 'MISSING_LIN' END,
+  CASE WHEN coalesce(h, 0) = 0 OR told IS DISTINCT FROM u - h + 1 THEN 'WRONG_UNT' END, CASE WHEN counted IS DISTINCT FROM lines THEN 'WRONG_CNT' END) AS errors FROM e"""
 
 QUERIES = {
     "score_top2_gap": (score_top2_gap, SCORE_TOP2_GAP), "match_sites": (match_sites, MATCH_SITES), "partners_with_fallback": (partners_with_fallback, PARTNERS_WITH_FALLBACK), "prefix_block_join": (prefix_block_join, PREFIX_BLOCK_JOIN), "mutual_prefix_join": (mutual_prefix_join, MUTUAL_PREFIX_JOIN),

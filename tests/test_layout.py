@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import answers as A, batch, delivery as D, intake as I, joins as J, tables as T, vectors as V
+from tallyloom.operators import answers as A, batch, delivery as D, edifact, intake as I, joins as J, tables as T, vectors as V
 
 
 def test_columns_follow_the_gaps_and_rows_the_bands(spark):
@@ -104,7 +104,7 @@ def test_functions_without_a_query(spark):
     assert [tuple(x) for x in I.copied_once(old, new, "k", False).collect()] == [(2, "c")] and I.copied_once(old, new, "k", True).count() == 0
     lines = spark.createDataFrame([(["LIN+1", "QTY+21:2:PCE", "PRI+AAA:1"], "03/05/2024"), (["LIN+1"], "03/05/2024"), (["QTY+21:2:PCE"], "soon")], "segments array<string>, delivery_date string")
     assert [x.segments for x in batch.dated_lines(lines).collect()] == [["LIN+1", "QTY+21:2:PCE", "DTM+2:20240503:102", "PRI+AAA:1"], ["LIN+1"], ["QTY+21:2:PCE"]]
-    assert row.select(batch.party_warnings("BY", F.lit(" "), F.lit("x"), F.lit(None).cast("string")).alias("x")).head().x == ["BY_CODE_MISSING", "BY_CITY_MISSING"]
+    assert row.select(edifact.party_warnings("BY", F.lit(" "), F.lit("x"), F.lit(None).cast("string")).alias("x")).head().x == ["BY_CODE_MISSING", "BY_CITY_MISSING"]
     keys, found = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "e")], "k int, id string")
     searched = spark.createDataFrame([(1, "s"), (2, "s"), (2, "t")], "k int, id string")
     assert sorted(map(tuple, J.with_search(keys, found, searched, "k").collect())) == [(1, "e", "evidence"), (2, "s", "searched"), (2, "t", "searched")]
