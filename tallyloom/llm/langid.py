@@ -2,7 +2,8 @@
 
 1. Text: a naive Bayes model of hashed letter trigrams, fitted on about FIT_DOCS documents of each language, chosen by
    hash, with their declared languages as (noisy) labels: the primary part of the declared value, in lower case ("en" of
-   "EN-us"); values of another form declare nothing. Every language that LEAST_DOCS documents declare is a class. Its log-likelihoods, times TEMPER since trigrams overlap, are the likelihoods of
+   "EN-us"); values of another form declare nothing. Every one of LANGUAGES that LEAST_DOCS documents declare is a class, so
+   that noise in declared values makes none. Its log-likelihoods, times TEMPER since trigrams overlap, are the likelihoods of
    each document, of which the whole text counts. One more class, "und", gives all trigrams the same probability.
 2. Declared markup language and address suffix: P(value | language) from the text posteriors summed by value.
 3. Host: P(language | host), smoothed towards its registered domain, and that towards all documents, from text
@@ -11,7 +12,8 @@
 The host may be any name of where documents come from (in the tables the column source). Where no suffix is given, it is
 what follows the last dot of the host, if those are letters.
 
-The sums are partial aggregations by value, joined back; a hot host is one row of sums and its documents are split by
+A document carries the classes that can still win only: those whose text likelihood is within REACH of the best; what all
+priors can add is far less. The sums are partial aggregations by value and class, joined back; a hot host is one row of sums and its documents are split by
 Spark. Defined results: rejected ("und") are documents without a letter (null and empty texts too), those that "und"
 explains best, and those whose best language has a posterior under LEAST. Of languages with equal posteriors the first by
 code wins. A null declared language, suffix or host gives no evidence. Null or repeated doc_ids are judged like others,
@@ -20,7 +22,7 @@ texts of any length as a whole. No language with LEAST_DOCS labelled documents:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,19 @@ TEMPER = 0.25
 LEAST = 0.5
 PSEUDO = 2.0
 UNKNOWN_PRIOR = 1e-3
+REACH = 100.0  # of natural logarithms
+FAINT = 1e-9  # posteriors under this are not summed
 UNSEEN = 0.02  # of a language's trigrams are as likely as those of "und"
 
 
+# fixed values: two-letter language codes in use, and three-letter ones of languages that have no such code
+LANGUAGES = frozenset(
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky "
+    "la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu "
+    "ast ceb fil haw hmn hsb nds sah yue".split()
+)
+
+
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every trigram that holds a letter, in turn, and for each text the number of those before it. Letters: a-z, A-Z lower-cased, and all bytes of other than ASCII characters; all else, and what lies before and after a text, is one kind of gap."""
     texts = len(offsets) - 1
@@ -59,9 +71,9 @@ def primary(declared: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_][A-Za-z0-9_-]*)?\s*$", 1)), F.lit(""))
 
 
-def _languages(docs: DataFrame) -> dict[str, int]:
-    """Documents by language, for those that LEAST_DOCS and more declare; two or three letters bound their number."""
-    found = docs.filter("code is not null").groupBy("code").count().filter(F.col("count") >= LEAST_DOCS)
+def _languages(docs: DataFrame, known: Collection[str]) -> dict[str, int]:
+    """Documents by language, for those of the known ones that LEAST_DOCS and more declare."""
+    found = docs.filter(F.col("code").isin(*sorted(known))).groupBy("code").count().filter(F.col("count") >= LEAST_DOCS)
     return dict(sorted(tuple(x) for x in found.collect()))
 
 
@@ -92,7 +104,7 @@ def fit_text(docs: DataFrame, languages: dict[str, int]) -> np.ndarray:
 
 
 def text_likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """The columns of docs but the text, n (trigrams with a letter), ll, the tempered log-likelihoods by language, and own, the posteriors by the text alone (all 0 without a letter)."""
+    """The columns of docs but the text, n (trigrams with a letter), and of the classes within REACH k, their numbers, ll, the tempered log-likelihoods, and own, the posteriors by the text alone (all 0 without a letter)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [x for x in docs.columns if x != "text"]
 
@@ -114,12 +126,13 @@ def text_likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
             prior = np.zeros(flat.shape[1])
             prior[-1] = np.log(UNKNOWN_PRIOR)
             own = softmax(flat + prior) * (count > 0)[:, None]
-            at = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * flat.shape[1])
-            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (flat, own)]
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in keep), pa.array(count), *lists], [*keep, "n", "ll", "own"])
+            near = flat >= flat.max(axis=1, keepdims=True) - REACH
+            at = pa.array(np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (np.nonzero(near)[1].astype(np.int16), flat[near], own[near])]
+            yield pa.RecordBatch.from_arrays([*(batch[x] for x in keep), pa.array(count), *lists], [*keep, "n", "k", "ll", "own"])
 
     kinds = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in keep)
-    return docs.mapInArrow(scored, f"{kinds}, n long, ll array<double>, own array<double>")
+    return docs.mapInArrow(scored, f"{kinds}, n long, k array<smallint>, ll array<double>, own array<double>")
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:
@@ -127,10 +140,25 @@ def softmax(logs: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def _sums(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, key_sums): the text posteriors summed by value."""
-    sums = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*(F.sum(F.col("own")[i]).alias(f"s{i}") for i in range(size)))
-    return sums.select(key, F.array(*(f"s{i}" for i in range(size))).alias(f"{key}_sums"))
+def _shares(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, k, s): the text posteriors summed by value and class."""
+    each = rows.select(*keys, F.explode(F.arrays_zip("k", "own")).alias("x")).filter(F.col("x.own") >= FAINT)
+    return each.groupBy(*keys, F.col("x.k").alias("k")).agg(F.sum("x.own").alias("s"))
+
+
+def _sums(rows: DataFrame, key: str) -> DataFrame:
+    """(key, key_k, key_s): the sums of a value, at most one a class."""
+    sums = _shares(rows.filter(F.col(key).isNotNull()), key).groupBy(key).agg(F.collect_list(F.struct("k", "s")).alias("x"))
+    return sums.select(key, F.col("x.k").alias(f"{key}_k"), F.col("x.s").alias(f"{key}_s"))
+
+
+def _dense(k: pa.Array, values: pa.Array, size: int, rest: np.ndarray | float = 0.0) -> np.ndarray:
+    """[row, class] of lists of classes and their values; rest where a class is not listed. Null lists are empty."""
+    lengths = np.diff(k.offsets.to_numpy())  # a null list has no length
+    out = np.zeros((len(k), size)) + rest
+    own = k.values.to_numpy(zero_copy_only=False)[k.offsets[0].as_py() : k.offsets[-1].as_py()]
+    out[np.repeat(np.arange(len(k)), lengths), own] = values.values.to_numpy(zero_copy_only=False)[values.offsets[0].as_py() : values.offsets[-1].as_py()]
+    return out
 
 
 def registered_domain(host: Column) -> Column:
@@ -138,30 +166,33 @@ def registered_domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None) -> DataFrame:
-    """doc_id, declared, lang ("und" if rejected), posterior, n_trigrams and accepted of every document."""
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, known: Collection[str] = LANGUAGES) -> DataFrame:
+    """doc_id, declared, lang ("und" if rejected), posterior, n_trigrams and accepted of every document. known: the codes that may be classes."""
     scratch = Scratch(docs.sparkSession, "langid")
     column = lambda x, name: (F.lit(None) if x is None else docs[x]).cast("string").alias(name)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), column(text, "text"), column(declared, "declared"), column(host, "host"), column(suffix, "suffix"))
     ending = F.lower(F.nullif(F.regexp_extract("host", r"\.([A-Za-z]+)$", 1), F.lit("")))
     rows = rows.withColumns({"code": primary(F.col("declared")), "suffix": F.lower("suffix") if suffix else ending})
-    languages = _languages(rows)
+    languages = _languages(rows, known)
     model = fit_text(rows, languages)
     size = len(languages) + 1
     scored = scratch.keep(text_likelihoods(rows, model), "likelihoods").withColumn("domain", registered_domain(F.col("host")))
 
-    total = np.array(scored.agg(*(F.coalesce(F.sum(F.col("own")[i]), F.lit(0.0)) for i in range(size))).head(), float)
+    total = np.zeros(size)
+    for k, mass in _shares(scored).collect():  # one row a class
+        total[k] = mass
     for key in ("code", "suffix", "domain", "host"):
-        scored = scored.join(_sums(scored, key, size), key, "left")
+        scored = scored.join(_sums(scored, key), key, "left")
     names = [*languages, "und"]
 
     def fused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            table = lambda x: np.array([row or [0.0] * size for row in batch[x].to_pylist()])
-            own, logs = table("own"), table("ll")
-            left = {x: np.maximum(table(f"{x}_sums") - own, 0) for x in ("code", "suffix", "domain", "host")}
+            own = _dense(batch["k"], batch["own"], size)
+            logs = _dense(batch["k"], batch["ll"], size, -np.inf)
+            logs = np.where(np.isinf(logs), logs.max(axis=1, keepdims=True) - REACH, logs)
+            left = {x: np.maximum(_dense(batch[f"{x}_k"], batch[f"{x}_s"], size) - own, 0) for x in ("code", "suffix", "domain", "host")}
             everywhere = np.maximum(total - own, 0)
             prior = (everywhere + PSEUDO / size) / (everywhere.sum(axis=1, keepdims=True) + PSEUDO)
             share = prior

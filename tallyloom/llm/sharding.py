@@ -2,9 +2,9 @@
 
 Karmarkar-Karp differencing: each group of equal texts starts as a partial partition (its bytes, and nothing in the
 other shards); the two partial partitions with the largest spread between their largest and smallest part are combined
-in opposite order, largest part to smallest, until one is left. It runs in two levels: groups are spread by their hash
-over buckets of about BUCKET_GROUPS, each differenced in one task, which leaves one partial partition to a bucket; these
-are combined in the same way, at most MAX_BUCKETS of them, whatever the size of the corpus. The spread that is left is
+in opposite order, largest part to smallest, until one is left. It runs in levels: groups are spread by their hash
+over buckets of about BUCKET_GROUPS, each differenced in one task, which leaves one partial partition to a bucket; of
+these MAX_BUCKETS at a time are combined in the same way in one task, and so on until no more than that are left, which the driver combines. The spread that is left is
 about the smallest differences within buckets, unless one group alone is larger than a shard's share.
 
 Defined results: size is the UTF-8 bytes of the text plus 1; a null text has none, and falls into the group of empty
@@ -85,19 +85,48 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text: str = "text") -> Data
     keys = scratch.keep(rows.select("rid", "doc_id", "size", "text_crc32", half(1).alias("key_a"), half(15).alias("key_b")), "sizes")
 
     groups = keys.groupBy("key_a", "key_b").agg(F.sum("size").alias("bytes"))
-    buckets = min(MAX_BUCKETS, max(1, -(-groups.count() // BUCKET_GROUPS)))
+    buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
     groups = groups.withColumn("bucket", F.pmod(F.xxhash64("key_a", "key_b"), F.lit(buckets)).cast("int"))
     parts = scratch.keep(groups.groupBy("bucket").applyInPandas(_bucket(shards), "bucket int, key_a long, key_b long, bytes long, part int"), "parts")
-
-    sums = np.zeros((buckets, shards), dtype=object)  # at most MAX_BUCKETS * shards numbers
-    for bucket, part, total in parts.groupBy("bucket", "part").agg(F.sum("bytes")).collect():
-        sums[bucket, part] = total
-    dealt = differencing(sums, shards)
-    to = spark.createDataFrame([(b, p, int(dealt[b, p])) for b in range(buckets) for p in range(shards)], "bucket int, part int, shard int")
-    placed = parts.join(F.broadcast(to), ["bucket", "part"]).select("key_a", "key_b", "shard")
+    placed = _placed(parts, buckets, shards, scratch)
     return _slotted(keys.join(placed, ["key_a", "key_b"]), shards, scratch).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def _combined(shards: int):
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "part"], kind="stable")
+        nodes, first = np.unique(rows["bucket"], return_inverse=True)
+        sizes = np.zeros((len(nodes), shards), dtype=object)
+        for k, part, total in zip(first, rows["part"], rows["bytes"], strict=True):
+            sizes[k, part] = int(total)
+        dealt = differencing(sizes, shards)
+        return rows.assign(part_above=dealt[first, rows["part"]])[["above", "bucket", "part", "part_above", "bytes"]]
+
+    return solved
+
+
+def _placed(parts: DataFrame, buckets: int, shards: int, scratch: Scratch) -> DataFrame:
+    """(key_a, key_b, shard) of the groups of buckets: their parts are combined level by level, and the places in each level followed down."""
+    spark = parts.sparkSession
+    sums = parts.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes"))
+    levels = []
+    while buckets > MAX_BUCKETS:
+        above = sums.withColumn("above", F.floor(F.col("bucket") / MAX_BUCKETS).cast("int"))
+        moved = scratch.keep(above.groupBy("above").applyInPandas(_combined(shards), "above int, bucket int, part int, part_above int, bytes long"), "level")
+        levels.append(moved.select("bucket", "part", "above", "part_above"))
+        sums = moved.groupBy(F.col("above").alias("bucket"), F.col("part_above").alias("part")).agg(F.sum("bytes").alias("bytes"))
+        buckets = -(-buckets // MAX_BUCKETS)
+    sizes = np.zeros((buckets, shards), dtype=object)  # at most MAX_BUCKETS * shards numbers
+    for bucket, part, total in sums.collect():
+        sizes[bucket, part] = int(total)
+    dealt = differencing(sizes, shards)
+    to = F.broadcast(spark.createDataFrame([(b, p, int(dealt[b, p])) for b in range(buckets) for p in range(shards)], "bucket int, part int, shard int"))
+    for moved in reversed(levels):  # the shard of a level's parts is that of the parts above they went to
+        upper = to.select(F.col("bucket").alias("above"), F.col("part").alias("part_above"), "shard")
+        to = moved.join(upper, ["above", "part_above"]).select("bucket", "part", "shard")
+    return parts.join(to, ["bucket", "part"]).select("key_a", "key_b", "shard")
+
+
 def _slotted(rows: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
     """rows and slot: counted within chunks of a shard, plus the rows of the chunks before."""
     rows = scratch.keep(rows, "placed")

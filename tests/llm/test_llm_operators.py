@@ -856,10 +856,18 @@ def test_many_declared_languages_are_kept(spark):
     codes = [a + b for a in "abcdefghij" for b in "klmnopqr"]
     word = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)] for x in codes}
     docs = [(k, " ".join(r.choice(word[x]) for _ in range(25)), x if k % 9 else None, None) for k, x in enumerate(codes * 8)]
-    got = langid.identify(table(spark, docs)).collect()
+    got = langid.identify(table(spark, docs), known=codes).collect()
     assert sum(x.lang == codes[x.doc_id % len(codes)] for x in got) >= 0.98 * len(docs)
 
 
+def test_noise_in_declared_values_makes_no_class(spark):
+    words = {"en": "the and of to in is".split(), "sw": "na ya wa kwa ni za".split()}
+    docs = [(k, " ".join(random.Random(k).choice(words[x]) for _ in range(20)), x if k % 3 else f"q{'abcdefghij'[k % 10]}", None) for k in range(400) for x in [("en", "sw")[k % 2]]]
+    got = langid.identify(table(spark, docs)).collect()
+    assert all(x.lang == ("en", "sw")[x.doc_id % 2] for x in got) and langid.identify(table(spark, docs), known=["qa"]).filter("accepted and lang <> 'qa'").count() == 0
+    assert 150 < len(langid.LANGUAGES) < 250 and all(re.fullmatch("[a-z]{2,3}", x) for x in langid.LANGUAGES)
+
+
 def test_host_and_declared_language_decide_what_the_text_leaves_open(spark):
     words = {"en": "the and of to".split(), "de": "der die und das".split()}
     docs = [(k, " ".join([random.Random(k).choice(words["en" if k % 2 else "de"])] * 9), "en" if k % 2 else "de", "en.org" if k % 2 else "de.org") for k in range(200)]
@@ -877,3 +885,20 @@ def test_runs_of_thousands_of_digits_in_every_kind(spark):
     for k, t in enumerate(texts):
         base = ",".join(f"{pii.KINDS[kind]}:{a}:{b}" for a, kind, b in sorted(pii.base_spans(t)))
         assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_differencing_in_as_many_levels_as_it_takes(spark, monkeypatch):
+    r = random.Random(4)
+    docs = table(spark, [(k, "x" * r.randrange(1, 4000), "en", "s") for k in range(400)])
+    for groups, most in ((400, 100), (8, 100), (8, 7), (2, 3)):  # one bucket; two levels; three; five
+        monkeypatch.setattr(sharding, "BUCKET_GROUPS", groups)
+        monkeypatch.setattr(sharding, "MAX_BUCKETS", most)
+        got = sharding.shard_by_bytes(docs, 8).collect()
+        sums = Counter()
+        for x in got:
+            sums[x.shard] += x.size
+        assert len(got) == 400 and sorted(sums) == list(range(8)) and max(sums.values()) - min(sums.values()) <= 4000, (groups, most, sums)
+        by_text = defaultdict(set)
+        for x in got:
+            by_text[x.size, x.text_crc32].add(x.shard)
+        assert all(len(x) == 1 for x in by_text.values())
