@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.llm.scratch import Scratch
 
 WORDS = 5
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def _runs(table: DataFrame, key: str) -> DataFrame:
@@ -57,7 +57,10 @@ def _hashes(table: DataFrame, key: str) -> DataFrame:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marked for broadcast if its rows and the bytes of its texts, counted, stay within bounds; else joined by shuffle."""
+    texts = [F.coalesce(F.octet_length(x), F.lit(0)) for x, kind in df.dtypes if kind == "string"]
+    n, size = df.agg(F.count("*"), F.sum(sum(texts, F.lit(0).cast("long")))).head()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def sketches(items: DataFrame) -> DataFrame:

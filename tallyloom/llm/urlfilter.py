@@ -2,7 +2,7 @@
 
 A rule (verdict, host, path) fits a URL whose host is the rule's or a subdomain of it and whose path starts with the
 rule's. Of several fitting rules the one with the longest host, then the longest path, decides; where the same host and
-path stand in both lists, block goes before allow. Up to MAX_RULES rules are broadcast as a trie; the work on a URL does
+path stand in both lists, block goes before allow. Up to MAX_RULES rules of MAX_CHARS characters are broadcast as a trie; the work on a URL does
 not grow with the number of rules, as the starts of a node are looked up by their lengths. More rules are joined by
 shuffle instead: each URL's host suffixes with the starts of its path of those lengths that rules have
 (filter_by_join()), with the same results.
@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MAX_RULES = 200_000
+MAX_RULES, MAX_CHARS = 200_000, 16 << 20  # of rules that are broadcast
 DEFAULT = "allow"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -82,13 +82,13 @@ def parts(url: str | None) -> tuple[str, str]:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, host, path, rule and verdict of each row of pages. rules: verdict, host, path; a table of more than MAX_RULES of them is not brought to the driver."""
+    """key, host, path, rule and verdict of each row of pages. rules: verdict, host, path; a table of more than is broadcast is not brought to the driver."""
     if isinstance(rules, DataFrame):
-        few = rules.select("verdict", "host", "path").limit(MAX_RULES + 1).collect()
-        if len(few) > MAX_RULES:
+        n, size = rules.agg(F.count("*"), F.sum(F.length(F.concat_ws("", "verdict", "host", "path")))).head()
+        if n > MAX_RULES or (size or 0) > MAX_CHARS:
             return filter_by_join(pages, rules, url, key)
-        rules = [tuple(x) for x in few]
-    elif len(rules) > MAX_RULES:
+        rules = [tuple(x) for x in rules.select("verdict", "host", "path").collect()]
+    elif len(rules) > MAX_RULES or sum(len(x) for rule in rules for x in rule) > MAX_CHARS:
         return filter_by_join(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), url, key)
     shared = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
 
