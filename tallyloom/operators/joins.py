@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import normalize as N
 from tallyloom.operators.ranking import latest_per_key
@@ -133,6 +133,13 @@ def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name:
     return grams.join(keyed.drop("_k"), "_g").select(text_id, name).distinct()
 
 
+def longest_mentions(found: DataFrame, text_id: str, name: str, k: int = 5, least: int = 4) -> DataFrame:
+    """(text_id, name, place): the k longest names of `least` characters and more that mentions() found in each text, of equal length by name; place from 1."""
+    long = found.filter(F.length(name) >= least)
+    place = F.row_number().over(Window.partitionBy(text_id).orderBy(F.length(name).desc(), name))
+    return long.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def client_numbers(docs: DataFrame, known: DataFrame, doc: str) -> DataFrame:
     """(doc, id, how) of known customer numbers (id) in a text: on a line with a client label or the next two (label), else of eight digits from 1 on anywhere (alone)."""
     lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")

@@ -51,8 +51,10 @@ def boosted(rows: DataFrame, score: str, hinted: Column, by: float = 25.0) -> Da
     return rows.withColumn(score, F.col(score) + F.when(hinted, by).otherwise(0.0))
 
 
-def flagged_or_all(rows: DataFrame, group: Keys, flag: Column) -> DataFrame:
-    """The flagged rows of each group, or all of it where none is."""
+def flagged_or_all(rows: DataFrame, group: Keys, flag: Column, strict: bool = False) -> DataFrame:
+    """The flagged rows of each group, or all of it where none is; strict: none of it then."""
+    if strict:
+        return rows.filter(F.coalesce(flag, F.lit(False)))
     own = Window.partitionBy(*_list(group))
     placed = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     placed = placed.withColumn("_any", F.max("_flag").over(own))
@@ -64,6 +66,14 @@ def numbered(rows: DataFrame, group: Keys, order: Sequence[Column], step: int =
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*_list(group)).orderBy(*order)) * step)
 
 
+def appended(existing: DataFrame, new: DataFrame, group: Keys, order: Sequence[Column], number: str = "line_number", step: int = 1) -> DataFrame:
+    """existing and new rows, the new ones of each group numbered on from its greatest number (from step where it has none)."""
+    last = existing.groupBy(*_list(group)).agg(F.max(number).alias("_last"))
+    placed = numbered(new.drop(number), group, order, step, number).join(last, _list(group), "left")
+    placed = placed.withColumn(number, F.col(number) + F.coalesce("_last", F.lit(0))).drop("_last")
+    return existing.unionByName(placed.select(existing.columns))
+
+
 def suffixed(rows: DataFrame, group: Keys, key: str, order: Sequence[Column]) -> DataFrame:
     """key with -2, -3 and so on where it repeats within a group."""
     place = F.row_number().over(Window.partitionBy(*_list(group), key).orderBy(*order))

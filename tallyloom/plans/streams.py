@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from tallyloom.plans.tables import table
 from tallyloom.sources.shared import shared_folder
 from tallyloom.sources.snapshots import Audit, manifest, publish, snapshot
-from tallyloom.streaming.flows import file_stream, routed, run_available
+from tallyloom.streaming.flows import deduplicated, file_stream, routed, run_available
 from tallyloom.streaming.jobs import Limits, job_moves, outcomes, state_in_rocksdb
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
 def stream_dedupe(spark, d):
-    """Each user's kinds of events once, however often and late they come, so that the state grows with the kinds seen; deduplicated() bounds it by a watermark."""
+    """Each user's kinds of events once. A watermark of a year forgets kinds that old, so that the state stays bounded; these tables span a month."""
     to = shared_folder(spark, "stream")
-    once = file_stream(spark, f"{d}/events.parque[t]", _EVENTS).dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+    once = deduplicated(file_stream(spark, f"{d}/events.parque[t]", _EVENTS).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "365 days").select("user_id", "event_type")
     run_available(once, f"{to}/out", f"{to}/state")
     return spark.read.schema(once.schema).parquet(f"{to}/out")
 
