@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import normalize as N
+from tallyloom.operators.evidence import together
 
 # fixed values: where a customer was found, the most specific first; points of a site; confidence by points
 PATHS = ("client_number", "order_bstnk", "vat_siren", "name_match")
@@ -35,7 +36,7 @@ def cross_resolve(docs: DataFrame, leads: DataFrame, sites: DataFrame, doc_id: s
 
     The most specific path with a lead counts. Of several customers by VAT number or name, the one with the best site is
     taken, otherwise the first. The customer's own address, in texts as the sender's, loses OWN_ADDRESS points if another
-    of its sites is STRONG. Each document meets the sites of its own leads only; these come to it as one array, so that no
+    of its sites is STRONG. Each document meets the sites of its own leads only; these come to it in arrays of bounded length, so that no
     text is copied for each of them.
     """
     rank = F.array_position(F.array(*map(F.lit, PATHS)), F.col("path")).cast("int")
@@ -44,14 +45,15 @@ def cross_resolve(docs: DataFrame, leads: DataFrame, sites: DataFrame, doc_id: s
     own = Window.partitionBy(doc_id)
     chosen = chosen.withColumns({"n": F.count("*").over(own), "first": F.min(F.struct("lead_place", "soldto")).over(own)})
     chosen = chosen.filter((F.col("rank") > 2) | (F.col("soldto") == F.col("first.soldto")))
-    spots = sites.groupBy("soldto").agg(F.collect_list(F.struct("id", "place", "name", "street", "postal", "city")).alias("spots"))
-    gathered = chosen.join(spots, "soldto", "left").groupBy(doc_id, "rank", "n").agg(F.collect_list(F.struct("soldto", "lead_place", "spots")).alias("leads"))
+    spots = together(sites, "soldto", F.col("id"), F.struct("id", "place", "name", "street", "postal", "city"), "spots")
+    gathered = chosen.join(spots, "soldto", "left").select(doc_id, "rank", "n", F.struct("soldto", "lead_place", "spots").alias("lead"))
     texts = docs.select(doc_id, N.fold_text(F.coalesce("text", F.lit(""))).alias("body"), "postal", "city")
     points = lambda s: site_points(F.col("body"), s.postal, s.city, s.street, s["name"], F.col("postal"), F.col("city"))
     row = lambda x, *site: F.struct(x.soldto.alias("soldto"), x.lead_place.alias("lead_place"), *(c.alias(name) for name, c in zip(("id", "site_place", "raw"), site, strict=True)))
     kinds = dict(sites.dtypes)
     alone = lambda x: F.array(row(x, F.lit(None).cast(kinds["id"]), F.lit(None).cast(kinds["place"]), F.lit(-1)))
-    rated = F.flatten(F.transform("leads", lambda x: F.when(x.spots.isNull(), alone(x)).otherwise(F.transform(x.spots, lambda s: row(x, s.id, s.place, points(s).cast("int"))))))
+    x = F.col("lead")
+    rated = F.when(x.spots.isNull(), alone(x)).otherwise(F.transform(x.spots, lambda s: row(x, s.id, s.place, points(s).cast("int"))))
     scored = gathered.join(texts, doc_id).select(doc_id, "rank", "n", F.explode(rated).alias("x")).select(doc_id, "rank", "n", "x.*")
 
     winner = scored.groupBy(doc_id).agg(F.max_by("soldto", F.struct("raw", -F.col("lead_place"), -F.coalesce("site_place", F.lit(0)))).alias("soldto"))

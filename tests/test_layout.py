@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import answers as A, batch, delivery as D, edifact, intake as I, joins as J, tables as T, vectors as V
+from tallyloom.operators import answers as A, batch, delivery as D, edifact, evidence as E, intake as I, joins as J, resolution as X, tables as T, vectors as V
 
 
 def test_columns_follow_the_gaps_and_rows_the_bands(spark):
@@ -108,3 +108,17 @@ def test_functions_without_a_query(spark):
     keys, found = spark.createDataFrame([(1,), (2,), (3,)], "k int"), spark.createDataFrame([(1, "e")], "k int, id string")
     searched = spark.createDataFrame([(1, "s"), (2, "s"), (2, "t")], "k int, id string")
     assert sorted(map(tuple, J.with_search(keys, found, searched, "k").collect())) == [(1, "e", "evidence"), (2, "s", "searched"), (2, "t", "searched")]
+
+
+def test_sites_in_several_arrays_score_as_in_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, k % 2, f"Adresse de livraison 12 rue Verte 7500{k % 5} PARIS\nfacture a 69001 LYON", "69001") for k in range(6)] + [(9, 5, None, None)], "d int, soldto int, text string, soldto_postal string")
+    sites = spark.createDataFrame([(k % 2, f"s{k}", k, f"N{k}", "12 rue Verte" if k % 3 else None, ["75000", "75001", "750", "", None][k % 5], "PARIS") for k in range(40)] + [(None, "x", 1, "a", "b", "c", "d")], "soldto int, id string, ordinal int, name string, street string, postal string, city string")
+    leads = spark.createDataFrame([(k, "vat", p, s) for k in range(6) for p, s in ((0, k % 2), (1, 7))], "d int, path string, place int, soldto int")
+    found = docs.select("d", "text", F.lit("75001").alias("postal"), F.lit("PARIS").alias("city"))
+    spots = sites.withColumnRenamed("ordinal", "place")
+    path = X.PATHS[-1]
+    docs, sites, leads, spots = (x.withColumn("soldto", F.col("soldto").cast("string")) for x in (docs, sites, leads, spots))
+    run = lambda: (sorted(map(repr, map(tuple, E.score_sites(docs, sites, "d").collect()))), sorted(map(repr, map(tuple, X.cross_resolve(found, leads.withColumn("path", F.lit(path)), spots, "d").collect()))))
+    whole = run()
+    monkeypatch.setattr(E.together, "__defaults__", (3,))
+    assert run() == whole and len(whole[0]) == 120 and len(whole[1]) == 7
