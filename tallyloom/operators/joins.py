@@ -123,13 +123,19 @@ def token_matches(left: DataFrame, right: DataFrame, left_id: str, left_tokens:
     return scored.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id if right_id != left_id else f"{right_id}_2"), "common", "jaccard")
 
 
+def _word_runs(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """rows with _g, each run of words of _w of each of the lengths (one row with the array _k) once, in place of _w. A row of words and one length at a time, so that lengths don't add up in memory."""
+    each = rows.join(lengths, F.lit(True)).withColumn("_k", F.explode(F.filter("_k", lambda k: k <= F.size("_w"))))
+    runs = F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_k")), lambda i: F.array_join(F.slice("_w", i + 1, F.col("_k")), " "))
+    return each.withColumn("_g", F.explode(F.array_distinct(runs))).drop("_w", "_k")
+
+
 def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str) -> DataFrame:
     """(text_id, name) of names, word for word in a text: runs of as many words as names have, joined with the names, not every name tried on every text."""
     words = lambda c: F.filter(F.split(F.lower(F.col(c)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     keyed = names.select(F.col(name), words(name).alias("_n")).filter(F.size("_n") > 0).select(name, F.size("_n").alias("_k"), F.array_join("_n", " ").alias("_g")).distinct()
     lengths = F.broadcast(keyed.agg(F.collect_set("_k").alias("_k")))  # one row: how many words names have
-    runs = F.flatten(F.transform(F.filter("_k", lambda k: k <= F.size("_w")), lambda k: F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.array_join(F.slice("_w", i + 1, k), " "))))
-    grams = texts.select(text_id, words(text).alias("_w")).join(lengths, F.lit(True)).select(text_id, F.explode(F.array_distinct(runs)).alias("_g"))
+    grams = _word_runs(texts.select(text_id, words(text).alias("_w")), lengths)
     return grams.join(keyed.drop("_k"), "_g").select(text_id, name).distinct()
 
 
@@ -162,8 +168,7 @@ def contained_either_way(asked: DataFrame, master: DataFrame, key: str, name: st
 
     def inside(outer: DataFrame, inner: DataFrame) -> DataFrame:
         lengths = F.broadcast(inner.agg(F.collect_set(F.size("_w")).alias("_k")))  # one row: how many words names have
-        runs = F.flatten(F.transform(F.filter("_k", lambda k: k <= F.size("_w")), lambda k: F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.array_join(F.slice("_w", i + 1, k), " "))))
-        grams = outer.join(lengths, F.lit(True)).withColumn("_g", F.explode(F.array_distinct(runs))).drop("_w", "_k")
+        grams = _word_runs(outer, lengths)
         return grams.join(inner.withColumn("_g", F.array_join("_w", " ")).drop("_w"), "_g").drop("_g")
 
     return inside(a, b).select(key, other).unionByName(inside(b, a).select(key, other)).distinct()
