@@ -133,18 +133,27 @@ CASE WHEN l_partkey % 5 = 0 THEN 'ean' WHEN l_partkey % 3 = 0 THEN 'customer_cod
 
 
 def article_resolution(spark, d):
-    """Parts resolved by EAN, customer code, own code or description, less what is discontinued or not for sale."""
+    """Parts resolved by EAN, customer code, own code or description (without the part's number, and in another order), less what is discontinued or not for sale; some codes are unknown."""
     part = table(spark, d, "part")
-    text = F.col("p_partkey").cast("string")
-    lines = part.select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("E"), text)).alias("ean"), F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("c"), text)).when(F.col("p_partkey") % 4 == 2, text).alias("article"), F.concat_ws(" ", "p_name", "p_type", "p_brand", text).alias("description"))
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    ean = F.when(k % 4 == 0, F.concat(F.lit("e"), text, F.when(k % 5 == 0, "x").otherwise("")))
+    article = F.when(k % 4 == 1, F.concat(F.lit(" c"), text)).when(k % 4 == 2, text).when(k % 12 == 3, "none")
+    said = F.concat_ws(" ", "p_type", "p_name", "p_brand", F.when(k % 8 == 3, "neuf"), F.when(k % 16 == 7, "lot de cent pieces en carton"))
+    lines = part.select("p_partkey", ean.alias("ean"), article.alias("article"), F.when(k % 4 == 3, said).alias("description"))
     pairs = lambda p: part.select(F.concat(F.lit(p), text).alias("k"), text.alias("v"))
     master = part.select(text.alias("matnr"), F.concat_ws(" ", "p_name", "p_type", "p_brand", text).alias("text"), F.col("p_partkey").alias("ordinal"))
     code = lambda m: part.filter(f"p_partkey % {m} = 3").select(text.alias("k"))
     return M.resolve_articles(lines, "p_partkey", pairs("E"), pairs("C"), master, code(10), code(7)).select("p_partkey", "matnr", "method", "error")
 
 
-ARTICLE_RESOLUTION = """SELECT p_partkey, p_partkey::VARCHAR AS matnr, ['ean', 'customer_code', 'direct', 'fuzzy'][p_partkey % 4 + 1] AS method,
-CASE WHEN p_partkey % 10 = 3 THEN 'DISCONTINUED_MATERIAL' WHEN p_partkey % 7 = 3 THEN 'ROH_NONCOMMERCIAL' END AS error FROM part"""
+ARTICLE_RESOLUTION = """WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN upper('e' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END) END AS ean, CASE WHEN p_partkey % 4 = 1 THEN 'C' || p_partkey WHEN p_partkey % 4 = 2 THEN p_partkey::VARCHAR WHEN p_partkey % 12 = 3 THEN 'NONE' END AS code,
+  CASE WHEN p_partkey % 4 = 3 THEN concat_ws(' ', p_type, p_name, p_brand, CASE WHEN p_partkey % 8 = 3 THEN 'neuf' END, CASE WHEN p_partkey % 16 = 7 THEN 'lot de cent pieces en carton' END) END AS said FROM part),
+w AS (SELECT k, list_distinct(list_filter(string_split(trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM l WHERE said IS NOT NULL),
+m AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(trim(regexp_replace(lower(concat_ws(' ', p_name, p_type, p_brand, p_partkey)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS v FROM part),
+f AS (SELECT k, arg_min(id, (-j, id)) AS id FROM (SELECT k, id, 100.0 * len(list_intersect(w, v)) / len(list_distinct(w || v)) AS j FROM w, m) WHERE j >= 65 GROUP BY k),
+r AS (SELECT l.k, coalesce(e.p_partkey, c.p_partkey, o.p_partkey, f.id) AS id, CASE WHEN e.p_partkey IS NOT NULL THEN 'ean' WHEN c.p_partkey IS NOT NULL THEN 'customer_code' WHEN o.p_partkey IS NOT NULL THEN 'direct' WHEN f.id IS NOT NULL THEN 'fuzzy' END AS method
+  FROM l LEFT JOIN part e ON 'E' || e.p_partkey = l.ean LEFT JOIN part c ON 'C' || c.p_partkey = l.code LEFT JOIN part o ON o.p_partkey::VARCHAR = l.code LEFT JOIN f ON f.k = l.k)
+SELECT k AS p_partkey, id::VARCHAR AS matnr, method, CASE WHEN id IS NULL THEN 'UNKNOWN_MATERIAL' WHEN id % 10 = 3 THEN 'DISCONTINUED_MATERIAL' WHEN id % 7 = 3 THEN 'ROH_NONCOMMERCIAL' END AS error FROM r"""
 
 
 def blocked_anti(spark, d):
@@ -163,7 +172,8 @@ def semi_variants(spark, d):
     return asked.join(known, "v", "left_semi").select("p_partkey").distinct()
 
 
-SEMI_VARIANTS = "SELECT p_partkey FROM part WHERE p_partkey % 6 = 0 OR (p_partkey % 2 = 0 AND length('00' || p_partkey) IN (10, 18))"
+SEMI_VARIANTS = """WITH k AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN lpad(p_partkey::VARCHAR, 10, '0') ELSE '00' || p_partkey END AS v FROM part WHERE p_partkey % 2 = 0),
+a AS (SELECT p_partkey, unnest([p_partkey::VARCHAR, ltrim(p_partkey::VARCHAR, '0'), lpad(p_partkey::VARCHAR, 10, '0'), lpad(p_partkey::VARCHAR, 18, '0')]) AS v FROM part) SELECT DISTINCT p_partkey FROM a WHERE v IN (SELECT v FROM k)"""
 
 
 def or_duplicate(spark, d):
@@ -210,11 +220,22 @@ SELECT q, vec_id, round(c, 4) AS cosine FROM s QUALIFY row_number() OVER (PARTIT
 
 
 def shape_histogram(spark, d):
-    names = table(spark, d, "customer").select(F.col("c_name").alias("x")).unionAll(table(spark, d, "supplier").select("s_name"))
+    """The shapes of names, brands, order numbers as customers write them, priorities, and words of documents with digits: the first 80."""
+    of = lambda t, *columns: [table(spark, d, t).select(c.alias("x")) for c in columns]
+    k = F.col("o_orderkey")
+    number = F.when(k % 3 == 0, F.concat(F.lit("PO-"), k, F.lit("/"), F.col("o_custkey"))).when(k % 3 == 1, F.concat(F.lit("cde "), k)).otherwise(F.hex(k))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9/-]*[0-9][A-Za-z0-9/-]*"), F.lit(0))).alias("x"))
+    rows = [*of("customer", F.col("c_name")), *of("supplier", F.col("s_name")), *of("part", F.col("p_name"), F.col("p_brand"), F.col("p_type")), *of("orders", F.col("o_orderpriority"), number), words]
+    names = rows[0]
+    for more in rows[1:]:
+        names = names.unionAll(more)
     return names.groupBy(N.order_shape(F.col("x")).alias("shape")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape").limit(80)
 
 
-SHAPE_HISTOGRAM = "SELECT shape, count(*) AS n FROM (SELECT 'A8#99' AS shape FROM customer UNION ALL SELECT 'A8#99' FROM supplier) GROUP BY shape"
+SHAPE_HISTOGRAM = """WITH x AS (SELECT c_name AS x FROM customer UNION ALL SELECT s_name FROM supplier UNION ALL SELECT unnest([p_name, p_brand, p_type]) FROM part UNION ALL SELECT o_orderpriority FROM orders
+  UNION ALL SELECT CASE o_orderkey % 3 WHEN 0 THEN 'PO-' || o_orderkey || '/' || o_custkey WHEN 1 THEN 'cde ' || o_orderkey ELSE hex(o_orderkey) END FROM orders UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9/-]*[0-9][A-Za-z0-9/-]*')) FROM documents),
+s AS (SELECT array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(upper(x), '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g'), 'A+|9+|[^A9]'), lambda r: CASE WHEN r[1] IN ('A', '9') THEN r[1] || length(r) ELSE r END), '') AS shape FROM x)
+SELECT shape, count(*) AS n FROM s GROUP BY shape ORDER BY n DESC, shape LIMIT 80"""
 
 
 def _lines(spark, d):
