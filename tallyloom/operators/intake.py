@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import normalize as N
 from tallyloom.operators.addresses import city_compatible
+from tallyloom.operators.answers import answer_fields, value
 from tallyloom.operators.review import filled
 
 # fixed values: states as they are shown, and the confidence from which an order needs no review
@@ -224,21 +225,33 @@ def preview(orders: DataFrame, lines: DataFrame, order: str) -> DataFrame:
 
 # fixed values: what a model's line must not begin with, and the form of its answers
 CHARGES = ("PORT", "PORTSFAB", "ECOTAXE", "FRAIS DE PORT", "PARTICIPATION TRANSPORT")
-ANSWER = "order_key string, document_date string, delivery_date string, soldto_keys struct<vat: string, name: string, street: string, city: string, postal: string>, shipto_keys struct<name: string, street: string, city: string, postal: string, country: string>, line_items array<struct<article_code: string, description: string, qty: string, unit_price: string>>, confidence double"
+PARTY = ("vat", "name", "street", "city", "postal", "country")
+ANSWER = {
+    "order_key": (["$.order_key", "$.order_number", "$.order.number", "$.po_number"], "text"), "document_date": (["$.document_date", "$.order_date", "$.order.date"], "text"), "delivery_date": (["$.delivery_date", "$.requested_delivery_date"], "text"),
+    **{f"soldto_{c}": ([f"$.soldto_keys.{c}", f"$.soldto.{c}", f"$.buyer.{c}"], "text") for c in PARTY}, **{f"shipto_{c}": ([f"$.shipto_keys.{c}", f"$.shipto.{c}", f"$.delivery.{c}"], "text") for c in PARTY},
+    "line_items": (["$.line_items", "$.lines", "$.lignes"], "list"), "confidence": (["$.confidence"], "number"),
+}
+ANSWER_LINE = {"article": (["$.article_code", "$.article", "$.ref"], "text"), "description": (["$.description", "$.designation"], "text"), "qty": (["$.qty", "$.quantity"], "number"), "unit_price": (["$.unit_price", "$.price"], "number")}
 
 
 def build_parameters(answers: DataFrame, key: str, body: str) -> DataFrame:
-    """What a message is built from, of a model's answers (key, body: JSON): key, order_number, order_date, delivery_date, soldto, shipto (structs), lines, confidence, warnings. Charges are no lines, a quantity that is none is 1, the delivery falls back on the buyer."""
-    a = F.from_json(F.col(body), ANSWER)
+    """What a message is built from, of a model's answers (key, body: JSON, or text that has it): key, order_number, order_date, delivery_date, soldto, shipto (structs), lines, confidence, warnings, drift and whole.
+
+    Charges are no lines, a quantity that is none is 1, the delivery falls back on the buyer. Fields may come under several names and as
+    other types; drift says which did, and whole is the answer as a variant, so that fields nobody asked for are kept.
+    """
+    rows = answer_fields(answers.select(key, body), body, ANSWER, "whole")
     text = lambda c: F.coalesce(F.trim(c), F.lit(""))
-    rows = answers.select(key, a.alias("a"))
-    s, t = F.col("a.soldto_keys"), F.col("a.shipto_keys")
-    kept = F.filter(F.coalesce("a.line_items", F.array().cast("array<struct<article_code: string, description: string, qty: string, unit_price: string>>")), lambda x: ~F.exists(F.array(*map(F.lit, CHARGES)), lambda w: F.startswith(F.upper(text(x.article_code)), w)))
-    number = lambda c: F.coalesce(N.lenient_double(c), F.lit(0.0))
-    lines = F.transform(kept, lambda x: F.struct(F.upper(text(x.article_code)).alias("article"), F.coalesce(filled(x.description), F.upper(text(x.article_code))).alias("description"), F.when(number(x.qty) > 0, number(x.qty)).otherwise(1.0).alias("quantity"), number(x.unit_price).alias("unit_price")))
-    soldto = F.struct(F.coalesce(F.nullif(N.vat_key(text(s.vat)), F.lit("")), F.left(text(s["name"]), F.lit(12))).alias("code"), text(s["name"]).alias("name"), text(s.street).alias("street"), text(s.city).alias("city"), text(s.postal).alias("postal"))
+    given = lambda who: {c: F.col(f"{who}_{c}") for c in PARTY}
+    s, t = given("soldto"), given("shipto")
+    of = lambda v, name: F.coalesce(*(value(v, path, ANSWER_LINE[name][1]) for path in ANSWER_LINE[name][0]))
+    read = F.transform(F.coalesce("line_items", F.array().cast("array<variant>")), lambda v: F.struct(F.upper(text(of(v, "article"))).alias("article"), of(v, "description").alias("description"), F.coalesce(of(v, "qty"), F.lit(0.0)).alias("quantity"), F.coalesce(of(v, "unit_price"), F.lit(0.0)).alias("unit_price")))
+    kept = F.filter(read, lambda x: ~F.exists(F.array(*map(F.lit, CHARGES)), lambda w: F.startswith(x.article, w)))
+    lines = F.transform(kept, lambda x: F.struct(x.article.alias("article"), F.coalesce(filled(x.description), x.article).alias("description"), F.when(x.quantity > 0, x.quantity).otherwise(1.0).alias("quantity"), x.unit_price.alias("unit_price")))
+    soldto = F.struct(F.coalesce(F.nullif(N.vat_key(text(s["vat"])), F.lit("")), F.left(text(s["name"]), F.lit(12))).alias("code"), *(text(s[c]).alias(c) for c in ("name", "street", "city", "postal")))
     other = lambda c: F.coalesce(filled(t[c]), text(s[c]))
-    shipto = F.struct(*(other(c).alias(c) for c in ("name", "street", "city", "postal")), F.coalesce(filled(t.country), F.lit("FR")).alias("country"))
+    shipto = F.struct(*(other(c).alias(c) for c in ("name", "street", "city", "postal")), F.coalesce(filled(t["country"]), F.lit("FR")).alias("country"))
     warn = lambda test, message: F.when(test, message)
-    warnings = F.array_compact(F.array(warn(text(F.col("a.order_key")) == "", "order_key missing"), warn(N.loose_date(F.col("a.document_date")) == "", "document_date missing"), warn(text(s["name"]) == "", "soldto name missing"), warn(F.size(lines) == 0, "no valid article lines extracted")))
-    return rows.select(key, text(F.col("a.order_key")).alias("order_number"), N.loose_date(F.col("a.document_date")).alias("order_date"), N.loose_date(F.col("a.delivery_date")).alias("delivery_date"), soldto.alias("soldto"), shipto.alias("shipto"), lines.alias("lines"), F.coalesce("a.confidence", F.lit(0.5)).alias("confidence"), warnings.alias("warnings"))
+    rows = rows.withColumn("_lines", lines)
+    warnings = F.array_compact(F.array(warn(text(F.col("order_key")) == "", "order_key missing"), warn(N.loose_date(F.col("document_date")) == "", "document_date missing"), warn(text(s["name"]) == "", "soldto name missing"), warn(F.size("_lines") == 0, "no valid article lines extracted")))
+    return rows.select(key, text(F.col("order_key")).alias("order_number"), N.loose_date(F.col("document_date")).alias("order_date"), N.loose_date(F.col("delivery_date")).alias("delivery_date"), soldto.alias("soldto"), shipto.alias("shipto"), F.col("_lines").alias("lines"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), warnings.alias("warnings"), "drift", "whole")
\ No newline at end of file
