@@ -26,6 +26,22 @@ def patched_state(log: DataFrame, key: str, fields: list[str], seq: str = "seq")
     return log.groupBy(key).agg(*(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(seq))).alias(f) for f in fields))
 
 
+def edited_state(log: DataFrame, key: list[str], fields: list[str], seq: str = "seq", actor: str = "actor", edited_by: str = "user") -> DataFrame:
+    """As patched_state(), with sources: a map from each field to the actor of its last value, for those that edited_by set last.
+
+    A hot key sends one row of a task: values and actors are aggregated together before the shuffle. Of changes with one seq the greatest value counts.
+    """
+    last = [F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(f).alias("v"), F.col(actor).alias("a")))).alias(f) for f in fields]
+    rows = log.groupBy(*key).agg(*last)
+    by = F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"{f}.a")))), lambda _, a: a == edited_by)
+    return rows.select(*key, *(F.col(f"{f}.v").alias(f) for f in fields), by.alias("sources"))
+
+
+def with_amounts(lines: DataFrame, quantity: str = "quantity", price: str = "unit_price", amount: str = "amount") -> DataFrame:
+    """lines whose amount is quantity times price, two decimals, where both are known; else the amount that they have."""
+    return lines.withColumn(amount, F.coalesce(F.round(F.col(quantity) * F.col(price), 2), F.col(amount)))
+
+
 def hits(log: DataFrame, key: list[str], at: str) -> DataFrame:
     """How often each key was seen, first and last."""
     return log.groupBy(*key).agg(F.count("*").alias("hit_count"), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import extract as X, normalize as N
-from tallyloom.operators import candidates as C, edifact, joins as J, ranking as R
+from tallyloom.operators import candidates as C, edifact, joins as J, ranking as R, store
 from tallyloom.plans.resolving import _MESSAGES, _messages
 from tallyloom.plans.tables import table
 
@@ -114,7 +114,24 @@ def search_with_status(spark, d):
 SEARCH_WITH_STATUS = """SELECT o_orderkey, o_orderstatus, c_name, o_orderdate::DATE = (SELECT max(o_orderdate)::DATE FROM orders) AS today FROM orders LEFT JOIN customer ON c_custkey = o_custkey
 WHERE o_orderstatus IN ('F', 'O') AND (contains(o_orderkey::VARCHAR, '12') OR contains(lower(o_orderpriority), '12') OR contains(lower(c_name), '12') OR contains(lower(c_mktsegment), '12')) ORDER BY o_orderstatus, o_orderkey"""
 
+def edited_lines(spark, d):
+    """Order lines with what users corrected on them: the last value of each field, who set it, and the amount worked out again."""
+    base = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("quantity"), F.min("l_extendedprice").alias("price"), F.min("l_partkey").alias("article"))
+    price = F.when(F.col("l_linenumber") % 5 > 0, F.col("price").cast("decimal(18,2)").cast("double"))
+    log = base.select("l_orderkey", "l_linenumber", F.lit(0).alias("seq"), F.lit("engine").alias("actor"), F.col("quantity").alias("quantity"), price.alias("unit_price"), F.col("article").cast("string").alias("article"), F.lit(None).cast("double").alias("amount"))
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    edits = base.filter(k % 3 == 0).select("l_orderkey", "l_linenumber", (1 + k % 2).cast("int").alias("seq"), F.lit("user").alias("actor"), F.when(k % 2 == 0, F.col("quantity") + 1).alias("quantity"), F.lit(None).cast("double").alias("unit_price"), F.when(k % 4 == 1, F.concat(F.lit("X"), F.col("article"))).alias("article"), F.lit(None).cast("double").alias("amount"))
+    engine = base.filter(k % 9 == 0).select("l_orderkey", "l_linenumber", F.lit(3).alias("seq"), F.lit("engine").alias("actor"), (F.col("quantity") * 2).alias("quantity"), F.lit(9.5).alias("unit_price"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("double").alias("amount"))
+    rows = store.edited_state(log.unionByName(edits).unionByName(engine), ["l_orderkey", "l_linenumber"], ["quantity", "unit_price", "article", "amount"])
+    out = store.with_amounts(rows)
+    return out.select("l_orderkey", "l_linenumber", "quantity", "article", F.coalesce("amount", F.lit(-1.0)).alias("amount"), F.array_join(F.sort_array(F.map_keys("sources")), ",").alias("edited"))
+
+
+EDITED_LINES = """WITH b AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, min(l_quantity) AS q, min(l_extendedprice)::DECIMAL(18,2)::DOUBLE AS p, min(l_partkey)::VARCHAR AS a FROM lineitem GROUP BY ALL),
+e AS (SELECT *, CASE WHEN k % 9 = 0 THEN q * 2 WHEN k % 6 = 0 THEN q + 1 ELSE q END AS quantity, CASE WHEN k % 9 = 0 THEN 9.5 WHEN l_linenumber % 5 > 0 THEN p END AS price, k % 6 = 0 AND k % 9 > 0 AS by_q, k % 3 = 0 AND k % 4 = 1 AS by_a FROM b)
+SELECT l_orderkey, l_linenumber, quantity, CASE WHEN by_a THEN 'X' || a ELSE a END AS article, coalesce(round(quantity * price, 2), -1.0) AS amount, concat_ws(',', CASE WHEN by_a THEN 'article' END, CASE WHEN by_q THEN 'quantity' END) AS edited FROM e"""
+
 QUERIES = {
     "tax_identification": (tax_identification, TAX_IDENTIFICATION), "candidate_fields": (candidate_fields, CANDIDATE_FIELDS), "message_checklist": (message_checklist, MESSAGE_CHECKLIST),
-    "appended_lines": (appended_lines, APPENDED_LINES), "longest_mentions": (longest_mentions, LONGEST_MENTIONS), "search_with_status": (search_with_status, SEARCH_WITH_STATUS),
+    "appended_lines": (appended_lines, APPENDED_LINES), "longest_mentions": (longest_mentions, LONGEST_MENTIONS), "search_with_status": (search_with_status, SEARCH_WITH_STATUS), "edited_lines": (edited_lines, EDITED_LINES),
 }
