@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter
@@ -14,7 +15,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tallyloom.llm import bpe, centroids, collocations as C
+from tallyloom.llm import bpe, centroids, collocations as C, queries
 
 MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -183,3 +184,14 @@ def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.check(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     bpe.check(json.dumps(json.load(open(MODEL, encoding="utf-8"))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
+def test_queries_over_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    whole, sha = Tokenizer.from_file(MODEL), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = {k: whole.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
+    want = {k: (len(i), sha(",".join(map(str, i))), sha(whole.decode(i, skip_special_tokens=False))) for k, i in ids.items()}
+    assert {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in queries.op13_bpe(spark, sf).collect()} == want
+    assert sum(len(bpe.chunks(t)) for t in texts.values()) > len(texts)
