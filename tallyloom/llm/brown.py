@@ -21,7 +21,7 @@ P(text) is the product over its words and its end of P(class | class before) * P
 Tokens: words (runs of other than ASCII white space, A-Z lower-cased), then one end. base_score is the unigram model
 with add-one smoothing. Defined results: a null text is empty and has its end only; a null doc_id trains; repeated rows
 count as often as they stand; a text of any length is one row and scored whole. Of equal gains the class of the lowest
-number wins, of equally frequent words at the border of the seeds those of the least hashes. Without training texts all
+number wins, words of equal frequency move in the order of their hashes, of equally frequent words at the border of the seeds those of the least hashes. Without training texts all
 words are unknown. No documents, no rows.
 """
 
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.llm.scratch import Scratch
 from tallyloom.llm.shingles import U, buffers, slices, word_hashes
 
-HEAD = 1 << 18  # 18 bytes each are broadcast
+HEAD = 1 << 20  # 18 bytes each are broadcast: 19 MB
 SEEDS, CLASSES = 1024, 64
 TAIL, END, NEW = CLASSES, CLASSES + 1, CLASSES + 2  # what stands beside the classes; NEW: no class yet
 SYMBOLS = CLASSES + 3
 ROUNDS = 2
 RANGE, BATCH = 1024, 256  # words whose contexts meet in a task, and that move at once
 BATCH_SHARE = 1 / 500  # of all tokens that more than one word may have to move at once
-EXCHANGE_TASKS = 32
+RANGES_A_TASK = 8  # so that the number of tasks grows with the head, and not with the cluster, which would change the classes
 FOLDED = 512  # tasks whose counts of a range are added up in one
 BACK_OFF = 5.0
 SWEEPS = 10
@@ -338,7 +338,8 @@ def _exchanged(coded: DataFrame, of: np.ndarray, table: np.ndarray, all_words: b
     blocks = _contexts(coded, of)
     if (coded.select(F.spark_partition_id().alias("p")).agg(F.max("p")).head()[0] or 0) >= FOLDED:
         blocks = _by_range(blocks)
-    ranges = blocks.select("r", "keys", "n").repartition(EXCHANGE_TASKS, "r").sortWithinPartitions("r")
+    tasks = max(1, -(-len(of) // (RANGE * RANGES_A_TASK)))
+    ranges = blocks.select("r", "keys", "n").repartition(tasks, "r").sortWithinPartitions("r")
     found = ranges.mapInArrow(exchanged, "word long, to short").toArrow()  # at most HEAD rows of 10 bytes
     of = of.copy()
     of[found["word"].to_numpy()] = found["to"].to_numpy()
