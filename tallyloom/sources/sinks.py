@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -18,13 +18,18 @@ def append_log(rows: DataFrame, path: str, kind: str = "parquet") -> None:
     rows.write.mode("append").format(kind).save(path)
 
 
+def reported(rows: DataFrame, keys: Sequence[str], hidden: Sequence[str] = ("source", "score_resolution")) -> DataFrame:
+    """rows in the order of their keys, without the columns that are for inner use; those that rows lack are no matter."""
+    return rows.drop(*hidden).orderBy(*keys)
+
+
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
     writer = rows.write.mode("overwrite")
     writer.option("header", "true").csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
 def deliver(rows: DataFrame, send: Callable[[str, str], None], retries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """(file, status, attempts, error) of sending each row's file and message; tried again after 1, 2, 4 ... seconds. Write the result once: reading it sends."""
+    """(file, status, attempts, error) of sending each row's file and message; tried again after 1, 2, 4 ... seconds. Reading the result sends, each time: outbox.deliver_once() is for messages that must go once."""
 
     def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

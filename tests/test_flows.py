@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.sources import documents as D, outbox, snapshots as S
+from tallyloom.sources import documents as D, outbox, settings, sinks, snapshots as S
 from tallyloom.streaming import flows
 from tallyloom.streaming.jobs import MOVES, Job, Limits, job_moves, moved, outcomes, state_in_rocksdb
 
@@ -169,3 +169,24 @@ def test_only_the_pages_asked_for_are_read(spark, tmp_path):
     errors = {(Path(x.path).name, x.page): x.error for x in read().collect()}
     assert "torn page" in errors["b.txt", 2] and errors["b.txt", 1] is None
     assert all("no list of pages" in x.error for x in read(pages="3-1").collect() if "bad" not in x.path)
+
+
+def test_settings_are_layered(spark, tmp_path):
+    ini, defaults = tmp_path / "c.ini", {"edi": {"sender": "A", "profile": "STANDARD"}, "run": {"dry": False, "minutes": 5, "root": "/x"}, "box": {"user": ""}}
+    ini.write_text("\ufeff[edi]\nsender = ${SENDER}\n[run]\ndry = Yes\nminutes = 7\n[box]\nuser = ${USER_OF}${NOBODY} \n", encoding="utf-8")
+    read = lambda **more: settings.read_settings(spark, str(ini), defaults, {"SENDER": "B", "USER_OF": "u1"}, **more)
+    assert read(mandatory=("box.user",), fixed={"edi.profile": "STANDARD"}) == {"edi": {"sender": "B", "profile": "STANDARD"}, "run": {"dry": True, "minutes": 7, "root": "/x"}, "box": {"user": "u1"}}
+    with pytest.raises(ValueError, match="box.password is missing; edi.sender is 'B', not 'A'"):
+        read(mandatory=("box.password", "run.root"), fixed={"edi.sender": "A"})
+    ini.write_text("[run]\nminutes = soon\n")
+    with pytest.raises(ValueError, match="run.minutes"):
+        read()
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("run:\n  minutes: 9\n  words: [a, '${SENDER}']\n")
+    assert settings.read_settings(spark, str(tmp_path / "c.yaml"), defaults, {"SENDER": "B"})["run"] == {"dry": False, "minutes": 9, "root": "/x", "words": ["a", "B"]}
+
+
+def test_reports_hide_and_order(spark):
+    rows = spark.createDataFrame([(2, "b", "x", 1), (1, "z", "x", 2), (1, "a", "x", 3)], "k int, n string, source string, v int")
+    got = sinks.reported(rows, ["k", "n"])
+    assert got.columns == ["k", "n", "v"] and [tuple(x) for x in got.collect()] == [(1, "a", 3), (1, "z", 2), (2, "b", 1)]
