@@ -16,8 +16,8 @@ than the room that is left is passed over, and the rest go on in the seeded orde
 the room, as far as their running sum goes, and where there are none the first of those that fit; the room halves or the
 source is done in each, until no untaken document of any source fits (_filling()).
 
-Running sums are taken within ranges of hashes of about RANGE documents, and over the sums of a source's ranges; a source's
-documents never come together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
+Running sums are taken within ranges of hashes of about RANGE documents, within groups of TOGETHER ranges and over the groups of a source; a source's
+documents, or all of its ranges, never come together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
 a null doc_id or source, and repeated rows, are mixed like others, each row by itself. No documents, no rows.
 """
 
@@ -31,7 +31,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCKS, MOST_BLOCKS = 4096, 1 << 20
 FINE = 64  # blocks of the smallest target
-RANGE = 10_000
+RANGE = 2_000  # documents of a range of hashes
+TOGETHER = 4096  # ranges whose running sums are taken in one task
 SHARDS = 8
 SEED = 20240611
 _ORDER = ("mixed", "doc_id", "size", "rid")  # of the documents of a source
@@ -135,8 +136,7 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     place = F.shiftrightunsigned(mixed, 11) * F.lit(2.0**-53)  # uniform in [0, 1)
     joined = joined.withColumn("mixed", place).withColumn("block", F.floor(F.col("mixed") * F.col("own_blocks")))
 
-    by = joined.groupBy("sid", "block").agg(F.sum("size").alias("words"))
-    before = by.select("sid", "block", (F.sum("words").over(Window.partitionBy("sid").orderBy("block")) - F.col("words")).alias("before"))
+    before = _before(joined)
     own = Window.partitionBy("sid", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = joined.withColumn("upto", F.sum("size").over(own)).join(before, ["sid", "block"])
     extra = F.col("limit") - F.col("passes") * F.col("source_size")
@@ -151,6 +151,14 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     return out.select("rid", "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("quota").cast("long").alias("quota"), _shards(total / blocks).alias("shards"))
 
 
+def _before(rows: DataFrame) -> DataFrame:
+    """(sid, block, before): the words of a source before each of its ranges: those of whole groups of TOGETHER ranges, and those within the group."""
+    by = rows.groupBy("sid", "block").agg(F.sum("size").alias("words")).withColumn("upper", F.floor(F.col("block") / TOGETHER))
+    upto = lambda *keys, at: F.sum("words").over(Window.partitionBy(*keys).orderBy(at)) - F.col("words")
+    groups = by.groupBy("sid", "upper").agg(F.sum("words").alias("words")).select("sid", "upper", upto("sid", at="upper").alias("outer"))
+    return by.withColumn("inner", upto("sid", "upper", at="block")).join(groups, ["sid", "upper"]).select("sid", "block", (F.col("outer") + F.col("inner")).alias("before"))
+
+
 def _shards(width: float) -> Column:
     """The output shard of each copy: that of the block in which it begins, as the quotas of the source deal its blocks out; what is added beyond them goes with the last."""
     last = lambda k: F.aggregate(F.slice("by_shard", 1, k + 1), F.lit(0).cast("long"), lambda x, y: x + y)  # noqa: E731  the first block after shard k
@@ -171,8 +179,7 @@ def _filling(placed: DataFrame, scratch: Scratch) -> DataFrame:
         fit = scratch.keep(rest.join(bound, "sid").filter("size <= room"), "fit")
         firsts = fit.groupBy("sid").agg(F.min(F.struct(*_ORDER)).alias("x"), F.sum(F.when(2 * F.col("size") <= F.col("room"), 1)).alias("small")).filter("small is null").select(F.col("x.rid").alias("rid"))
         small = fit.filter(2 * F.col("size") <= F.col("room"))
-        by = small.groupBy("sid", "block").agg(F.sum("size").alias("words"))
-        before = by.select("sid", "block", (F.sum("words").over(Window.partitionBy("sid").orderBy("block")) - F.col("words")).alias("before")).join(bound, "sid").filter("before < room").drop("room")
+        before = _before(small).join(bound, "sid").filter("before < room").drop("room")
         own = Window.partitionBy("sid", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         reached = small.join(before, ["sid", "block"]).withColumn("upto", F.sum("size").over(own)).filter(F.col("before") + F.col("upto") <= F.col("room"))
         taken = scratch.keep(reached.select("rid").union(firsts).withColumn("added", F.lit(True)), "filling")

@@ -534,6 +534,8 @@ def test_mix_matches_block_selection_written_out(spark, monkeypatch):
     for _, source, n, _ in rows:
         sizes[source] += n
     monkeypatch.setattr(mixing, "MOST_BLOCKS", 64)
+    monkeypatch.setattr(mixing, "RANGE", 9)  # many ranges, and groups of them
+    monkeypatch.setattr(mixing, "TOGETHER", 4)
     got = mixing.mix(frame, blocks=64, row="rid").collect()
     target = {sizes_: x.target for x in got for sizes_ in [next(s for rid, s, *_ in rows if rid == x.rid)]}
     quota = {next(s for rid, s, *_ in rows if rid == x.rid): x.quota for x in got}
