@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 SCHEMA = "path string, page int, text string, error string"
 PAGES_A_TASK = 50
+FILES_A_TASK = 100  # whose pages are counted
 
 
 class Reader(NamedTuple):
@@ -42,18 +44,20 @@ def chosen(selection: str | None, count: int) -> list[int]:
 
 
 class _PageReader(DataSourceReader):
-    def __init__(self, reader: Reader, paths: list[str], selection: str | None, columns: list[str], per_task: int):
-        self.reader, self.paths, self.selection, self.columns, self.per_task = reader, paths, selection, columns, per_task
+    def __init__(self, reader: Reader, counts: list[tuple[str, int, str | None]], selection: str | None, columns: list[str], per_task: int):
+        self.reader, self.counts, self.selection, self.columns, self.per_task = reader, counts, selection, columns, per_task
         self.tests: list[Callable[[int], bool]] = []
 
     def partitions(self) -> list[InputPartition]:
-        """A task for each file and PAGES_A_TASK of its pages; only page counts are asked for here."""
+        """A task for each file and PAGES_A_TASK of its pages."""
         out: list[InputPartition] = []
-        for path in self.paths:
+        for path, count, error in self.counts:
             try:
-                pages = [p for p in chosen(self.selection, self.reader.count(path)) if all(test(p) for test in self.tests)]
-            except Exception as failed:  # a reader may fail in any way on a broken file; the row says how
-                out.append(_Pages(path, None, f"{type(failed).__name__}: {failed}"))
+                pages = [p for p in chosen(self.selection, count) if all(test(p) for test in self.tests)]
+            except ValueError as failed:
+                error = f"ValueError: {failed}"
+            if error:
+                out.append(_Pages(path, None, error))
                 continue
             out += [_Pages(path, tuple(pages[k : k + self.per_task])) for k in range(0, len(pages), self.per_task)]
         return out or [_Pages("", ())]
@@ -94,16 +98,38 @@ class _FilteringPageReader(_PageReader):
                 yield f
 
 
+def _counted(spark: SparkSession, paths: Sequence[str], count: Callable[[str], int]) -> list[tuple[str, int, str | None]]:
+    """Path, number of pages and error of each file, counted in tasks."""
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for path in part["path"]:
+                try:
+                    out.append((path, int(count(path)), None))
+                except Exception as failed:  # a reader may fail in any way on a broken file; the row says how
+                    out.append((path, 0, f"{type(failed).__name__}: {failed}"))
+            yield pd.DataFrame(out, columns=["path", "n", "error"])
+
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(paths)], "k long, path string")
+    tasks = max(1, min(len(paths), 8) if len(paths) <= FILES_A_TASK else -(-len(paths) // FILES_A_TASK))
+    found = rows.repartition(tasks, "k").select("path").mapInPandas(counted, "path string, n long, error string").collect()  # a row a file, like a listing
+    return sorted((x.path, x.n, x.error) for x in found)
+
+
 def read_documents(spark: SparkSession, paths: Sequence[str], reader: Reader, pages: str | None = None, columns: Sequence[str] = ("path", "page", "text", "error"), per_task: int = PAGES_A_TASK) -> DataFrame:
     """path, page, text and error of the selected pages of documents.
 
     Pages are read in tasks of per_task pages, and only those of the selection and, where spark.sql.python.filterPushdown.enabled
     is true, those that filters on `page` leave; without the column text no file is read. A file whose pages cannot be counted is one row with an error and no page; pages that the reader
-    fails on have an error and no text. The paths are listed on the driver, like those of any file source; contents never are.
+    fails on have an error and no text. The paths and their page counts are on the driver, like the listing of any file source; contents
+    never are, and pages are counted in tasks.
     """
     schema = ", ".join(c.strip() for c in SCHEMA.split(",") if c.split()[0] in columns)
     kind = _FilteringPageReader if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true" else _PageReader
 
+    counts = _counted(spark, list(dict.fromkeys(paths)), reader.count)
+
     class Documents(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -113,7 +139,7 @@ def read_documents(spark: SparkSession, paths: Sequence[str], reader: Reader, pa
             return schema
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return kind(reader, list(paths), pages, schema.fieldNames(), per_task)
+            return kind(reader, counts, pages, schema.fieldNames(), per_task)
 
     spark.dataSource.register(Documents)
     return spark.read.format("documents").load()
