@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import extract as X, normalize as N
-from tallyloom.operators import candidates as C, edifact, joins as J, ranking as R, store
+from tallyloom.operators import candidates as C, edifact, joins as J, ranking as R, rules, store
 from tallyloom.plans.resolving import _MESSAGES, _messages
 from tallyloom.plans.tables import table
+from tallyloom.sources import tables as S
 
 
 def tax_identification(spark, d):
@@ -131,7 +132,53 @@ EDITED_LINES = """WITH b AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_lin
 e AS (SELECT *, CASE WHEN k % 9 = 0 THEN q * 2 WHEN k % 6 = 0 THEN q + 1 ELSE q END AS quantity, CASE WHEN k % 9 = 0 THEN 9.5 WHEN l_linenumber % 5 > 0 THEN p END AS price, k % 6 = 0 AND k % 9 > 0 AS by_q, k % 3 = 0 AND k % 4 = 1 AS by_a FROM b)
 SELECT l_orderkey, l_linenumber, quantity, CASE WHEN by_a THEN 'X' || a ELSE a END AS article, coalesce(round(quantity * price, 2), -1.0) AS amount, concat_ws(',', CASE WHEN by_a THEN 'article' END, CASE WHEN by_q THEN 'quantity' END) AS edited FROM e"""
 
+def prevalidated_orders(spark, d):
+    """Orders before they become messages: some without a number, a date or lines, some lines with quantities that are none."""
+    k, n = F.col("o_orderkey"), F.col("l_linenumber") + F.col("l_partkey")
+    orders = table(spark, d, "orders").select("o_orderkey", F.when(k % 17 > 0, F.concat(F.lit("PO"), k)).otherwise("-").alias("order_number"), F.when(k % 19 > 0, F.date_format("o_orderdate", "yyyyMMdd")).alias("order_date"))
+    quantity = F.when(n % 23 == 0, "0").when(n % 29 == 0, "n/a").when(n % 31 == 0, "-1,5").when(n % 37 > 0, F.replace(F.col("l_quantity").cast("string"), F.lit("."), F.lit(",")))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line_number")).agg(F.min_by(quantity, "l_partkey").alias("quantity")).filter("o_orderkey % 13 > 0")
+    return rules.prevalidated(orders, lines, "o_orderkey").select("o_orderkey", F.coalesce("failure", F.lit("")).alias("failure"))
+
+
+PREVALIDATED_ORDERS = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem WHERE l_orderkey % 13 > 0 GROUP BY ALL),
+q AS (SELECT l.*, CASE WHEN (n + p) % 23 = 0 THEN '0' WHEN (n + p) % 29 = 0 THEN 'n/a' WHEN (n + p) % 31 = 0 THEN '-1,5' WHEN (n + p) % 37 = 0 THEN '' END AS bad FROM l),
+b AS (SELECT k, min(n) FILTER (bad IS NOT NULL) AS n, arg_min(bad, n) FILTER (bad IS NOT NULL) AS v FROM q GROUP BY k)
+SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'ORDER_NUMBER_MISSING' WHEN o_orderkey % 19 = 0 THEN 'ORDER_DATE_MISSING' WHEN k IS NULL THEN 'NO_ORDER_LINES' WHEN n IS NOT NULL THEN 'INVALID_QUANTITY: line ' || n || ' has ' || v ELSE '' END AS failure FROM orders LEFT JOIN b ON k = o_orderkey"""
+
+
+def party_projection(spark, d):
+    """Customers and suppliers as rows of a master file with its headers, as parties, and customers as partners of their own; the tables' status."""
+    def rows(name, p, key):
+        k = F.col(key)
+        own = table(spark, d, name).select(k.alias("KUNNR"), F.concat(F.lit("  "), f"{p}_name").alias("NAME"), F.when(k % 3 > 0, F.concat(k % 99, F.lit(" rue"))).alias("stras"), F.lpad((k % 100000).cast("string"), (k % 4 + 2).cast("int"), "0").alias("PSTLZ"), F.when(k % 5 == 0, "be").alias("LAND1"), F.concat(F.lit(" fr 0"), k.cast("string"), F.lit(".")).alias("VAT_NR"))
+        return own.drop("LAND1") if p == "s" else own
+
+    customers, suppliers = (S.parties(rows(*x), "kunnr") for x in (("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey")))
+    status = S.table_status([S.load_audit(customers, "customers", ["id", "vat"]), S.load_audit(suppliers, "suppliers", ["id", "iban"])])
+    one = status.select(F.lit("status").alias("kind"), F.col("tables").cast("string").alias("id"), F.concat_ws(" ", "rows", F.col("all_valid").cast("string"), "invalid").alias("text"))
+    text = lambda kind, df: df.select(F.lit(kind).alias("kind"), "id", F.concat_ws("|", *df.columns).alias("text"))
+    return text("customer", customers).unionByName(text("supplier", suppliers)).unionByName(text("partner", S.as_partners(customers))).unionByName(one)
+
+
+PARTY_PROJECTION = """WITH r AS (SELECT 'customer' AS kind, c_custkey AS k, c_name AS n, CASE WHEN c_custkey % 5 = 0 THEN 'be' ELSE 'FR' END AS c FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, 'FR' FROM supplier),
+f AS (SELECT *, CASE WHEN k % 3 > 0 THEN (k % 99) || ' rue' ELSE '' END AS s, lpad(lpad((k % 100000)::VARCHAR, (k % 4 + 2)::INT, '0'), 5, '0') AS p, 'FR0' || k AS v FROM r)
+SELECT kind, k::VARCHAR AS id, concat_ws('|', k, n, s, '', p, c, v) AS text FROM f UNION ALL SELECT 'partner', k::VARCHAR, concat_ws('|', k, k, n, s, '', p, c) FROM f WHERE kind = 'customer'
+UNION ALL SELECT 'status', '2', (SELECT count(*) FROM r) || ' false suppliers'"""
+
+
+def forbidden_words(spark, d):
+    """Documents, pages and turns of conversations that hold a word of a list, here the longest words of benchmark items, with the words."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).filter(F.length("w") >= 12).distinct()
+    texts = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(table(spark, d, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text"))
+    return rules.forbidden_in(texts, "text", words, "w").filter("size(forbidden) > 0").select("id", F.array_join("forbidden", ",").alias("forbidden"))
+
+
+FORBIDDEN_WORDS = """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 12), t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT concat_ws('-', 'c', conv_id, turn), text FROM conversations)
+SELECT id, string_agg(w, ',' ORDER BY w) AS forbidden FROM (SELECT row_number() OVER () AS r, * FROM t) JOIN w ON contains(text, w) GROUP BY r, id"""
+
 QUERIES = {
     "tax_identification": (tax_identification, TAX_IDENTIFICATION), "candidate_fields": (candidate_fields, CANDIDATE_FIELDS), "message_checklist": (message_checklist, MESSAGE_CHECKLIST),
     "appended_lines": (appended_lines, APPENDED_LINES), "longest_mentions": (longest_mentions, LONGEST_MENTIONS), "search_with_status": (search_with_status, SEARCH_WITH_STATUS), "edited_lines": (edited_lines, EDITED_LINES),
+    "prevalidated_orders": (prevalidated_orders, PREVALIDATED_ORDERS), "party_projection": (party_projection, PARTY_PROJECTION), "forbidden_words": (forbidden_words, FORBIDDEN_WORDS),
 }

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallyloom.functions import normalize as N
+
 SEPARATORS = (";", ",", "\t")
 
 
@@ -119,3 +121,29 @@ def load_audit(rows: DataFrame, name: str, required: Sequence[str]) -> DataFrame
     """One row: table, rows, missing columns, valid."""
     lacking = [c for c in required if c not in rows.columns]
     return rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows", F.lit(",".join(lacking)).alias("missing"), F.lit(not lacking).alias("valid"))
+
+
+# fixed values: the headers of a master file that make up a party
+PARTY = {"name": "NAME", "street": "STRAS", "city": "ORT01", "postal": "PSTLZ", "country": "LAND1", "vat": "VAT_NR"}
+
+
+def parties(rows: DataFrame, id_column: str, headers: Mapping[str, str] = PARTY, country: str = "FR") -> DataFrame:
+    """id, name, street, city, postal (five digits filled up), country and vat (bare) of the rows of a master file; what a file lacks is empty, the country the given one."""
+    have = {c.lower(): c for c in rows.columns}
+    value = lambda c: F.trim(F.coalesce(F.col(f"`{have[c.lower()]}`").cast("string"), F.lit(""))) if c.lower() in have else F.lit("")
+    made = {name: value(header) for name, header in headers.items()}
+    made |= {"postal": N.postal_padded(made["postal"]), "vat": N.vat_key(made["vat"]), "country": F.coalesce(F.nullif(made["country"], F.lit("")), F.lit(country))}
+    return rows.select(value(id_column).alias("id"), *(c.alias(name) for name, c in made.items()))
+
+
+def as_partners(customers: DataFrame) -> DataFrame:
+    """Customers as delivery partners of their own: soldto and the fields of a party but the VAT number."""
+    return customers.select(F.col("id").alias("soldto"), *(c for c in customers.columns if c != "vat"))
+
+
+def table_status(audits: Sequence[DataFrame]) -> DataFrame:
+    """One row of several load_audit() rows: tables, all_valid, rows, and invalid, the names of those that are not."""
+    out = audits[0]
+    for more in audits[1:]:
+        out = out.unionByName(more)
+    return out.agg(F.count("*").alias("tables"), F.bool_and("valid").alias("all_valid"), F.sum("rows").alias("rows"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("valid"), F.col("table_name")))), ",").alias("invalid"))
