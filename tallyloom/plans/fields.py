@@ -9,6 +9,7 @@ from tallyloom.operators import candidates as C, edifact, joins as J, ranking as
 from tallyloom.plans.resolving import _MESSAGES, _messages
 from tallyloom.plans.tables import table
 from tallyloom.sources import tables as S
+from tallyloom.sources.pages import read_pages, selected_pages
 
 
 def tax_identification(spark, d):
@@ -177,8 +178,39 @@ def forbidden_words(spark, d):
 FORBIDDEN_WORDS = """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 12), t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT concat_ws('-', 'c', conv_id, turn), text FROM conversations)
 SELECT id, string_agg(w, ',' ORDER BY w) AS forbidden FROM (SELECT row_number() OVER () AS r, * FROM t) JOIN w ON contains(text, w) GROUP BY r, id"""
 
+def _utf8_pages(content: bytes) -> list[str]:
+    if content.startswith(b"%LOCKED"):
+        raise ValueError("locked")
+    return content.decode("utf-8").split("\f")
+
+
+def _western_pages(content: bytes) -> list[str]:
+    if content.startswith(b"%LOCKED"):
+        raise ValueError("locked")
+    return content.decode("cp1252").split("\f")
+
+
+def converted_files(spark, d):
+    """Letters of customers as files of one to three pages, some in another encoding, too short or locked: read by the first reader that can, the pages that are asked for, with errors kept to their own file."""
+    k = F.col("c_custkey")
+    page = lambda n: F.concat(F.lit(f"Page {n} de "), "c_name", F.lit(" été "), F.repeat(F.col("c_mktsegment"), 8))
+    text = F.concat_ws("\f", page(1), F.when(k % 3 > 0, page(2)), F.when(k % 3 == 2, page(3)))
+    content = F.when(k % 7 == 0, F.encode(F.lit("court"), "UTF-8")).when(k % 11 == 0, F.encode(F.concat(F.lit("%LOCKED"), text), "UTF-8")).when(k % 5 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    files = table(spark, d, "customer").select(F.concat(F.lit("f"), k).alias("path"), content.alias("content"))
+    wanted = table(spark, d, "customer").filter(k % 4 == 0).select(F.concat(F.lit("f"), k).alias("path"), F.when(k % 8 == 0, "1,3").otherwise("1-2").alias("selection"))
+    pages = read_pages(files, [("utf8", _utf8_pages), ("western", _western_pages)])
+    good = selected_pages(pages.filter("error is null"), wanted)
+    rows = good.unionByName(pages.filter("error is not null"))
+    return rows.select("path", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("reader", F.lit("-")).alias("reader"), F.coalesce(F.length("text"), F.lit(0)).alias("characters"), F.col("error").isNotNull().alias("failed"))
+
+
+CONVERTED_FILES = """WITH f AS (SELECT c_custkey AS k, 'f' || c_custkey AS path, length(c_name) + 8 * length(c_mktsegment) + 15 AS n, (c_custkey % 3 + 1)::INT AS pages, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'failed' WHEN c_custkey % 5 = 0 THEN 'western' ELSE 'utf8' END AS how FROM customer),
+p AS (SELECT *, unnest(range(1, pages + 1))::INT AS page FROM f WHERE how <> 'failed')
+SELECT path, page, how AS reader, n::INT AS characters, false AS failed FROM p WHERE k % 4 > 0 OR (k % 8 = 0 AND page IN (1, 3)) OR (k % 8 = 4 AND page <= 2)
+UNION ALL SELECT path, 0, '-', 0, true FROM f WHERE how = 'failed'"""
+
 QUERIES = {
     "tax_identification": (tax_identification, TAX_IDENTIFICATION), "candidate_fields": (candidate_fields, CANDIDATE_FIELDS), "message_checklist": (message_checklist, MESSAGE_CHECKLIST),
     "appended_lines": (appended_lines, APPENDED_LINES), "longest_mentions": (longest_mentions, LONGEST_MENTIONS), "search_with_status": (search_with_status, SEARCH_WITH_STATUS), "edited_lines": (edited_lines, EDITED_LINES),
-    "prevalidated_orders": (prevalidated_orders, PREVALIDATED_ORDERS), "party_projection": (party_projection, PARTY_PROJECTION), "forbidden_words": (forbidden_words, FORBIDDEN_WORDS),
+    "prevalidated_orders": (prevalidated_orders, PREVALIDATED_ORDERS), "party_projection": (party_projection, PARTY_PROJECTION), "forbidden_words": (forbidden_words, FORBIDDEN_WORDS), "converted_files": (converted_files, CONVERTED_FILES),
 }
