@@ -1,7 +1,7 @@
 """Scored matching of documents against master data: customers, delivery sites and articles.
 
 Weights are the fixed values below. The best and the second of each query are those of all master rows, but only rows
-that can be either meet it (candidates()). A pair's points come from features that both have: VAT, postal code or its
+that can be either meet it (best_pairs()). A pair's points come from features that both have: VAT, postal code or its
 beginning, town, a similar town or street text, words of the name. A feature of at most OFTEN master rows brings all of
 them. Rows that share nothing but frequent features with a query are in the posting lists of every combination of these; of
 a list the two first rows by ordinal of each name length stand for all, since they have all that the list is for and, with
@@ -47,7 +47,7 @@ def _filled(x: str, y: str) -> Column:
 
 
 def scored(pairs: DataFrame, q: str = "q_", m: str = "m_") -> DataFrame:
-    """pairs of prepared query and master columns, with score (2 decimals), and the flags by_vat, by_postal, by_city."""
+    """pairs of prepared query and master columns, with score (2 decimals), and the flags by_vat, by_postal (or VAT), by_city and by_street."""
     vat, postal = F.coalesce(_filled(f"{q}vat", f"{m}vat"), F.lit(False)), F.coalesce(_filled(f"{q}postal", f"{m}postal"), F.lit(False))
     near = F.coalesce((F.col(f"{q}postal") != "") & F.col(f"{m}postal").startswith(F.left(f"{q}postal", F.lit(3))), F.lit(False))
     city = F.coalesce(_filled(f"{q}city", f"{m}city"), F.lit(False))
@@ -56,7 +56,7 @@ def scored(pairs: DataFrame, q: str = "q_", m: str = "m_") -> DataFrame:
     score += F.when(city, CITY).when(jaccard("city_t") >= CITY_LEAST, CITY_SHARE * jaccard("city_t")).otherwise(0.0)
     score += F.when(jaccard("street") >= STREET_LEAST, STREET_SHARE * jaccard("street")).otherwise(0.0) + NAME_SHARE * jaccard("name")
     score += F.when((postal | vat) & city, BOTH).otherwise(0.0)
-    return pairs.withColumns({"score": F.round(score, 2), "by_vat": vat, "by_postal": postal | vat, "by_city": city})
+    return pairs.withColumns({"score": F.round(score, 2), "by_vat": vat, "by_postal": postal | vat, "by_city": city, "by_street": jaccard("street") >= STREET_LEAST})
 
 
 def _alike(q: DataFrame, m: DataFrame, text: Column, words: str, least: float) -> DataFrame:
@@ -113,8 +113,11 @@ def _most_frequent(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "feature")))
 
 
-def candidates(q: DataFrame, m: DataFrame, query_id: str, often: int = OFTEN) -> DataFrame:
-    """Pairs (query_id, ordinal) of prepared queries and master rows of the same block, among them the best and the second of each query that have any points."""
+_SCORED = ["id", "ordinal", "score", "by_postal", "by_city", "by_street"]
+
+
+def best_pairs(q: DataFrame, m: DataFrame, query_id: str, often: int = OFTEN) -> DataFrame:
+    """query_id, id, ordinal, score and flags of the best two master rows of each prepared query that have any points, of all rows of its block; of equal ones the first by ordinal."""
     features = written(_master_features(m), "features")
     counts = features.groupBy("block", "feature").agg(F.first("n").alias("n"))
     asked = written(_query_features(q, m, query_id).join(counts, ["block", "feature"]), "asked")
@@ -143,11 +146,17 @@ def candidates(q: DataFrame, m: DataFrame, query_id: str, often: int = OFTEN) ->
     names = ranked_q.filter(F.col("rank") <= SUBSETS).groupBy(query_id).agg(F.sort_array(F.collect_list("feature")).alias("w"))
     sides = q.select(query_id, "block", F.size("q_name").alias("long")).join(places, query_id, "left").join(names, query_id, "left")
     sides = written(sides.filter("v is not null or w is not null"), "sides")
-    certain = written(direct.unionByName(_asked_lists(sides, query_id, similar=False).join(lists, "_key").select(pair)).distinct(), "certain")
-    found = scored(certain.join(m, "ordinal").join(q.drop("block"), query_id)).select(query_id, "score", "ordinal")
-    second = top_k(found, query_id, [F.desc("score"), F.asc("ordinal")], 2).groupBy(query_id).agg(F.min("score").alias("_second"), F.count("*").alias("_n")).filter("_n = 2").drop("_n")
-    more = _asked_lists(sides.join(second, query_id, "left"), query_id, similar=True).join(lists, "_key").select(pair)
-    return certain.unionByName(more).distinct()
+    first = direct.unionByName(_asked_lists(sides, query_id, similar=False).join(lists, "_key").select(pair)).distinct()
+
+    def two(pairs: DataFrame) -> DataFrame:
+        rows = scored(pairs.join(m, "ordinal").join(q.drop("block"), query_id)).select(query_id, *_SCORED)
+        return top_k(rows, query_id, [F.desc("score"), F.asc("ordinal")], 2)
+
+    so_far = written(two(first), "first")
+    second = so_far.groupBy(query_id).agg(F.min("score").alias("_second"), F.count("*").alias("_n")).filter("_n = 2").drop("_n")
+    more = _asked_lists(sides.join(second, query_id, "left"), query_id, similar=True).join(lists, "_key").select(pair).distinct()
+    both = so_far.unionByName(two(more)).dropDuplicates(pair)
+    return top_k(both, query_id, [F.desc("score"), F.asc("ordinal")], 2)
 
 
 def _asked_lists(sides: DataFrame, query_id: str, similar: bool) -> DataFrame:
@@ -169,16 +178,17 @@ def _asked_lists(sides: DataFrame, query_id: str, similar: bool) -> DataFrame:
     return rows.select(query_id, F.concat_ws("|", "block", "v.feature", "p.feature", "c.feature", "s.feature", "w.w").alias("_key"))
 
 
-def _judged(pairs: DataFrame, queries: DataFrame, query_id: str, least: float, master_rows: Column) -> DataFrame:
-    """The best of each query's pairs; rows that are no pair have no points. master_rows: how many there are for a query."""
-    best = best_and_gap(scored(pairs), query_id, "score", "ordinal", GAP).select(query_id, "id", "score", "second", "by_postal", "by_city")
+def _judged(found: DataFrame, queries: DataFrame, query_id: str, least: float, master_rows: Column) -> DataFrame:
+    """The best of each query's scored rows, which may be none; rows that are no pair have no points. master_rows: how many there are for a query."""
+    best = best_and_gap(found, query_id, "score", "ordinal", GAP).select(query_id, "id", "score", "second", "by_postal", "by_city", "by_street")
     rows = queries.join(best, query_id, "left").withColumn("_n", F.coalesce(master_rows, F.lit(0)))
     rows = rows.withColumns({"score": F.when(F.col("_n") > 0, F.coalesce("score", F.lit(0.0))), "second": F.when(F.col("_n") > 1, F.coalesce("second", F.lit(0.0)))})
     rows = rows.withColumn("gap", F.round(F.col("score") - F.col("second"), 2))
     sure = F.coalesce(F.col("by_postal") | F.col("by_city"), F.lit(False))
     status = F.when(F.col("_n") == 0, "none").when(F.col("score") < least, "low").when((F.col("gap") < GAP) & ~sure, "ambiguous").otherwise("matched")
     rows = rows.withColumn("status", status)
-    return rows.select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status")
+    alone = F.coalesce(F.col("by_street") & ~F.col("by_postal") & ~F.col("by_city"), F.lit(False))
+    return rows.select(query_id, F.when(F.col("status") == "matched", F.col("id")).alias("id"), "score", "second", "gap", "status", alone.alias("street_alone"))
 
 
 def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: float = SOLDTO_LEAST, often: int = OFTEN) -> DataFrame:
@@ -190,17 +200,15 @@ def match_parties(queries: DataFrame, master: DataFrame, query_id: str, least: f
     """
     q = written(prepared(queries, "q_").withColumn("block", F.lit("")), "queries")
     m = written(prepared(master, "m_").drop(*FIELDS).withColumn("block", F.lit("")), "master")
-    pairs = candidates(q, m, query_id, often).join(m, "ordinal").join(q.drop("block"), query_id)
     total = F.broadcast(m.agg(F.count("*").alias("_total")))  # one row
-    return _judged(pairs, q.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total"))
+    return _judged(best_pairs(q, m, query_id, often), q.select(query_id).join(total, F.lit(True)), query_id, least, F.col("_total")).drop("street_alone")
 
 
 def best_two(queries: DataFrame, master: DataFrame, query_id: str, often: int = OFTEN) -> DataFrame:
     """(query_id, id, score) of the best two master rows of each query that have any points, out of all; of equal ones the first by ordinal."""
     q = written(prepared(queries, "q_").withColumn("block", F.lit("")), "queries")
     m = written(prepared(master, "m_").drop(*FIELDS).withColumn("block", F.lit("")), "master")
-    pairs = scored(candidates(q, m, query_id, often).join(m, "ordinal").join(q.drop("block"), query_id)).filter("score > 0")
-    return top_k(pairs, query_id, [F.desc("score"), F.asc("ordinal")], 2).select(query_id, "id", "score")
+    return best_pairs(q, m, query_id, often).filter("score > 0").select(query_id, "id", "score")
 
 
 def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: float = SHIPTO_LEAST, often: int = OFTEN) -> DataFrame:
@@ -208,14 +216,9 @@ def match_sites(queries: DataFrame, sites: DataFrame, query_id: str, least: floa
     block = F.col("soldto").cast("string").alias("block")
     q = written(prepared(queries.withColumn("vat", F.lit("")), "q_").select("*", block), "queries")
     m = written(prepared(sites, "m_").filter("soldto is not null").select("*", block).drop(*FIELDS, "soldto"), "sites")
-    asking = q.filter("block is not null")
-    pairs = candidates(asking, m, query_id, often).join(m, "ordinal").join(asking.drop("block"), query_id)
     own = q.select(query_id, "block").join(m.groupBy("block").agg(F.count("*").alias("_total")), "block", "left")
-    street = F.coalesce(N.token_jaccard(F.col("q_street"), F.col("m_street")), F.lit(0.0)) >= STREET_LEAST
-    best = best_and_gap(scored(pairs).withColumn("_street", street), query_id, "score", "ordinal", GAP)
-    weak = best.filter("_street and not by_postal and not by_city").select(query_id, F.lit(True).alias("_weak"))
-    rows = _judged(pairs, own, query_id, least, F.col("_total")).join(weak, query_id, "left")
-    status = F.when(F.col("_weak"), "street_only").otherwise(F.col("status"))
+    rows = _judged(best_pairs(q.filter("block is not null"), m, query_id, often), own, query_id, least, F.col("_total"))
+    status = F.when(F.col("street_alone"), "street_only").otherwise(F.col("status"))
     return rows.select(query_id, F.when(status == "matched", F.col("id")).alias("id"), "score", "second", "gap", status.alias("status"))
 
 
