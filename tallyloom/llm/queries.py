@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import public_tokenizers
-
 from tallyloom.llm import bpe, sql
 from tallyloom.llm.brown import score
 from tallyloom.llm.centroids import cluster
@@ -92,8 +90,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """tokenizer: the path of another byte-level BPE."""
-    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("byte_bpe_50k.json"), bpe.digests, bpe.DIGESTS)
+    """tokenizer: the path of another byte-level BPE than the public one."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer, bpe.digests, bpe.DIGESTS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
