@@ -11,7 +11,7 @@ from tallyloom.plans.tables import table
 from tallyloom.sources.shared import shared_folder
 from tallyloom.sources.snapshots import Audit, manifest, publish, snapshot
 from tallyloom.streaming.flows import deduplicated, file_stream, routed, run_available
-from tallyloom.streaming.jobs import Limits, job_moves, outcomes, state_in_rocksdb
+from tallyloom.streaming.jobs import LOG, Limits, job_moves, outcomes, state_in_rocksdb, worked_off
 
 _EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -113,4 +113,27 @@ MASTER_SNAPSHOTS = """SELECT c_custkey, c_name FROM customer WHERE c_custkey % 1
 UNION ALL SELECT * FROM (SELECT count(*) AS n, 'load 1' FROM customer UNION ALL SELECT -count(*), 'load 2' FROM customer UNION ALL SELECT -count(*), 'load 3' FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT count(*), 'load 4' FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT -2 * count(*), 'load 5' FROM customer)"""
 
-QUERIES = {"master_snapshots": (master_snapshots, MASTER_SNAPSHOTS), "job_state_machine": (job_state_machine, JOB_STATE_MACHINE), "job_outcomes": (job_outcomes, JOB_OUTCOMES), "stream_dedupe": (stream_dedupe, STREAM_DEDUPE), "stream_intake": (stream_intake, STREAM_INTAKE)}
+def stream_worker(spark, d):
+    """Orders of a queue that is read in two parts, the second with some of the first again, worked off into a log of states: orders with lines and a customer are done, those without lines rejected, the rest fail."""
+    to = shared_folder(spark, "stream")
+    orders, lines, customers = (table(spark, d, t) for t in ("orders", "lineitem", "customer"))
+    queue = orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("at"), F.col("o_custkey").alias("customer"))
+    log = f"{to}/log"
+
+    def work(rows):
+        have = lines.select(F.col("l_orderkey").alias("job_id"), F.lit(True).alias("lines")).distinct()
+        judged = rows.join(customers.filter("c_custkey % 10 > 0").select(F.col("c_custkey").alias("customer")), "customer").join(have, "job_id", "left")
+        return judged.select("job_id", F.when(F.col("lines"), "COMPLETED").otherwise("REJECTED").alias("status"), F.when(F.col("lines").isNull(), "NO_LINES").alias("reason"))
+
+    for part in ("job_id % 3 > 0", "job_id % 3 = 0 or job_id % 5 = 0"):
+        queue.filter(part).write.mode("append").parquet(f"{to}/queue")
+        worked_off(file_stream(spark, f"{to}/queue", "job_id long, at timestamp, customer long"), work, log, f"{to}/state")
+    return spark.read.schema(LOG).parquet(log).select("job_id", "seq", "status", "reason")
+
+
+STREAM_WORKER = """WITH j AS (SELECT o_orderkey AS k, o_custkey % 10 > 0 AS known, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders)
+SELECT k AS job_id, 1 AS seq, 'PROCESSING' AS status, '' AS reason FROM j
+UNION ALL SELECT k, 2, CASE WHEN NOT known THEN 'FAILED' WHEN lines THEN 'COMPLETED' ELSE 'REJECTED' END, CASE WHEN NOT known THEN 'NOT_DONE' WHEN lines THEN '' ELSE 'NO_LINES' END FROM j
+UNION ALL SELECT k, 2, 'DUPLICATE', 'SEEN_BEFORE' FROM j WHERE k % 3 > 0 AND k % 5 = 0"""
+
+QUERIES = {"stream_worker": (stream_worker, STREAM_WORKER), "master_snapshots": (master_snapshots, MASTER_SNAPSHOTS), "job_state_machine": (job_state_machine, JOB_STATE_MACHINE), "job_outcomes": (job_outcomes, JOB_OUTCOMES), "stream_dedupe": (stream_dedupe, STREAM_DEDUPE), "stream_intake": (stream_intake, STREAM_INTAKE)}

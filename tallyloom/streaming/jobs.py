@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyloom.operators.ranking import first_occurrence
 from tallyloom.operators.store import STATES
 
 MOVES = "job_id long, seq long, at timestamp, before string, after string, accepted boolean, reason string, attempts int"
@@ -144,3 +145,36 @@ def outcomes(jobs: DataFrame, results: DataFrame, within: str, delay: str = "1 h
     joined = a.join(b, F.expr(f"_j = _r and _to >= _from and _to <= _from + interval {within}"), "full")
     status = F.when(F.col("_r").isNull(), "MISSING").when(F.col("_j").isNull(), "LATE").otherwise("DELIVERED")
     return joined.select(F.coalesce("_j", "_r").alias("job_id"), F.col("_from").alias("at"), F.col("_to").alias("result_at"), "result", status.alias("status"))
+
+
+LOG = "job_id long, seq int, at timestamp, status string, reason string, batch long"
+
+
+def worked_off(stream: DataFrame, work: Callable[[DataFrame], DataFrame], log: str, checkpoint: str, every: str | None = None) -> None:
+    """Jobs of a queue (job_id, at, ...), each claimed, worked on and entered in the log by one micro-batch after the other.
+
+    work: from the rows of a batch to job_id, status and reason of those that it could do; it runs as Spark jobs of its own. A
+    job that work leaves out is FAILED, one that stands in the queue again is DUPLICATE, of rows with one job_id in a batch the
+    first by time counts. The log has for each job PROCESSING (seq 1) and what came of it (seq 2). A batch that is run again writes
+    its own folder again (batch=<id>), so that nothing is entered twice. every: how often the queue is looked at, like `5 seconds`; without it all that is there is worked off.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        before = spark.read.schema(LOG).parquet(log).filter(F.col("batch") < number) if there else spark.createDataFrame([], LOG)
+        first = first_occurrence(rows.filter("job_id is not null"), "job_id", ["at"])
+        known = before.select("job_id", F.lit(True).alias("_known")).distinct()
+        claimed = first.join(known, "job_id", "left").persist()
+        fresh = claimed.filter("_known is null").drop("_known")
+        done = work(fresh).select("job_id", "status", "reason").dropDuplicates(["job_id"])
+        begun = fresh.select("job_id", F.lit(1).alias("seq"), "at", F.lit("PROCESSING").alias("status"), F.lit("").alias("reason"))
+        ended = fresh.select("job_id", "at").join(done, "job_id", "left").select("job_id", F.lit(2).alias("seq"), "at", F.coalesce("status", F.lit("FAILED")).alias("status"), F.coalesce("reason", F.when(F.col("status").isNull(), "NOT_DONE").otherwise("")).alias("reason"))
+        again = claimed.filter("_known").select("job_id", F.lit(2).alias("seq"), "at", F.lit("DUPLICATE").alias("status"), F.lit("SEEN_BEFORE").alias("reason"))
+        begun.unionByName(ended).unionByName(again).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        claimed.unpersist()
+
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    query = writer.trigger(processingTime=every).start() if every else writer.trigger(availableNow=True).start()
+    query.awaitTermination()
