@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # fixed values: accented Latin letters and their base letters
@@ -137,6 +139,11 @@ def first_filled(*columns: Column) -> Column:
 # numbers and dates
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), for which the value is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lenient_double(x: Column) -> Column:
     """French or English decimals with blanks and currency signs; null if there is no number."""
     text = F.regexp_replace(x, r"[^0-9,.\-]", "")

@@ -25,19 +25,19 @@ def _kind(at: Column) -> Column:
 def value(answer: Column, path: str, kind: str) -> Column:
     """The value at a path as kind, whatever type it came in; null where there is none that can be read so, or it is empty."""
     at = F.try_variant_get(answer, path, "variant")
+    if kind == "list":  # one value that should have been a list is a list of one
+        many = F.try_variant_get(answer, path, "array<variant>")
+        return F.when(many.isNotNull(), many).when(at.isNotNull() & (_kind(at) != "VOID"), F.array(at))
     raw = F.trim(F.try_variant_get(answer, path, "string"))  # numbers and flags as their text
     plain = F.when(~_kind(at).rlike("^(OBJECT|ARRAY|VOID)"), F.nullif(raw, F.lit("")))
     if kind == "text":
         return plain
     if kind == "number":
-        return N.lenient_double(plain)
+        return N.once(plain, N.lenient_double)
     if kind == "whole":
-        return F.when(N.lenient_double(plain) == F.floor(N.lenient_double(plain)), F.floor(N.lenient_double(plain)))
+        return N.once(N.once(plain, N.lenient_double), lambda x: F.when(x == F.floor(x), F.floor(x)))
     if kind == "flag":
-        return F.when(F.lower(plain).isin(*_FLAGS[0]), True).when(F.lower(plain).isin(*_FLAGS[1]), False)
-    if kind == "list":  # one value that should have been a list is a list of one
-        many = F.try_variant_get(answer, path, "array<variant>")
-        return F.when(many.isNotNull(), many).when(at.isNotNull() & (_kind(at) != "VOID"), F.array(at))
+        return N.once(F.lower(plain), lambda x: F.when(x.isin(*_FLAGS[0]), True).when(x.isin(*_FLAGS[1]), False))
     raise ValueError(f"no kind {kind}")
 
 
