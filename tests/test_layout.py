@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import extract as X2
 from tallyloom.operators import answers as A, batch, delivery as D, edifact, evidence as E, intake as I, joins as J, resolution as X, tables as T, vectors as V
 
 
@@ -122,3 +123,14 @@ def test_sites_in_several_arrays_score_as_in_one(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(E.together, "__defaults__", (3,))
     assert run() == whole and len(whole[0]) == 120 and len(whole[1]) == 7
+
+
+def test_candidate_fields_and_checklists(spark):
+    text = "Tél 01 23 45 67 89, tel +33 1 23 45 67 89\nMONTANT TOTAL : 1 234,50 EUR\nmontant  total : 1 234,50 eur\nClient Été SA\nclient ete sa\na@b.fr A@B.fr 12/05/2024 2024-05-12\nDE89 3704 0044 0532 0130 00 / FR14 2004 1010 0505 0001 3M02 606 / DE00 3704 0044 0532 0130 00"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(X2.candidate_fields(F.col("t")).alias("x")).select("x.*").collect()
+    assert got[0].phones == ["01 23 45 67 89", "0532 0130 00"] and got[0].emails == ["a@b.fr"] and got[0].dates == ["12/05/2024", "2024-05-12"] and got[0].clients == ["Client Été SA"] and got[0].totals == ["MONTANT TOTAL : 1 234,50 EUR"]
+    assert all(x == [] for x in got[1])
+    ibans = spark.createDataFrame([("DE89 3704 0044 0532 0130 00",), ("FR1420041010050500013M02606",), ("DE00370400440532013000",), ("",), (None,)], "i string").select(X2.valid_iban(F.col("i")).alias("ok"))
+    assert [x.ok for x in ibans.collect()] == [True, True, False, False, None]
+    points = spark.createDataFrame([("UNA:+.? 'UNB+UNOC:3+S+R'UNH+1'BGM+220'DTM+137:1'NAD+BY+1'NAD+DP+1'LIN+1'PIA+1'QTY+21'UNZ+1'",), (None,)], "m string").select(edifact.checklist(F.col("m"), "+S+", "+R'").alias("c")).collect()
+    assert len(points[0].c) == 13 and all(x.ok for x in points[0].c) and not any(x.ok for x in points[1].c) and [x.required for x in points[0].c] == [True] * 11 + [False] * 2
