@@ -68,9 +68,9 @@ def test_addresses_are_cleaned_and_rebuilt(spark):
         (2, "Chantier DUPONT / DUPONT / Livraison : Hall 3 Tel : 01", "93700 DRANCY", "BP 12 / BP 12", "69007", "LYON", "fr", "12 avenue Foch - quai 2\n93700 DRANCY\n69007 LYON"),
         (3, None, None, None, None, None, None, None),
         (4, "a DURAND et fils", "1234 rue Haute", None, "75001", "PARIS", "Belgique", "x@y.fr"),
-        (5, "ELM, 9 quai Sud", "9 quai Sud", "etage 2", "75001", "PARIS", "France", "PARIS\n9 quai Sud"),
+        (5, "ACME, 9 quai Sud", "9 quai Sud", "etage 2", "75001", "PARIS", "France", "PARIS\n9 quai Sud"),
     ]
-    own = [{"organisations": ["elm"], "streets": ["quai sud"], "numbers": ["9"]}]
+    own = [{"organisations": ["acme"], "streets": ["quai sud"], "numbers": ["9"]}]
     got = {x.k: x for x in D.purified(spark.createDataFrame(rows, schema)).collect()}
     assert (got[1].address, got[1].name, got[1].cleaned) == ("PPC\n28 rue Croix Barret\n69007 LYON\nFRANCE", "PPC", True) and got[1].raw == rows[0][-1]
     assert (got[2].name, got[2].street, got[2].complement, got[2].country) == ("DUPONT / Hall 3", "12 avenue Foch", "BP 12", "FRANCE") and got[2].address == "DUPONT\nHall 3\n12 avenue Foch\nBP 12\n69007 LYON\nFRANCE"
