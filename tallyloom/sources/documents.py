@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -141,5 +143,6 @@ def read_documents(spark: SparkSession, paths: Sequence[str], reader: Reader, pa
         def reader(self, schema: StructType) -> DataSourceReader:
             return kind(reader, counts, pages, schema.fieldNames(), per_task)
 
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the worker that plans the scan knows the environment's modules only
     spark.dataSource.register(Documents)
     return spark.read.format("documents").load()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -118,6 +120,8 @@ def job_moves(wanted: DataFrame, limits: Limits = Limits(), delay: str = "1 hour
     the rows do not depend on how the stream was cut into batches. Moves later than the watermark are dropped. Run it within state_in_rocksdb().
     """
     rows = wanted.filter("job_id is not null and at is not null").select("job_id", F.coalesce("seq", F.lit(-1).cast("long")).alias("seq"), "at", "wanted", F.unix_micros("at").alias("us")).withWatermark("at", delay)
+    # the worker that plans the stream knows the environment's modules only, so the machine travels as a whole
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return rows.groupBy("job_id").transformWithStateInPandas(_Machine(limits), MOVES, "append", "eventTime")
 
 
