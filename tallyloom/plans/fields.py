@@ -178,18 +178,6 @@ def forbidden_words(spark, d):
 FORBIDDEN_WORDS = """WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) >= 12), t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT concat_ws('-', 'c', conv_id, turn), text FROM conversations)
 SELECT id, string_agg(w, ',' ORDER BY w) AS forbidden FROM (SELECT row_number() OVER () AS r, * FROM t) JOIN w ON contains(text, w) GROUP BY r, id"""
 
-def _utf8_pages(content: bytes) -> list[str]:
-    if content.startswith(b"%LOCKED"):
-        raise ValueError("locked")
-    return content.decode("utf-8").split("\f")
-
-
-def _western_pages(content: bytes) -> list[str]:
-    if content.startswith(b"%LOCKED"):
-        raise ValueError("locked")
-    return content.decode("cp1252").split("\f")
-
-
 def converted_files(spark, d):
     """Letters of customers as files of one to three pages, some in another encoding, too short or locked: read by the first reader that can, the pages that are asked for, with errors kept to their own file."""
     k = F.col("c_custkey")
@@ -198,7 +186,16 @@ def converted_files(spark, d):
     content = F.when(k % 7 == 0, F.encode(F.lit("court"), "UTF-8")).when(k % 11 == 0, F.encode(F.concat(F.lit("%LOCKED"), text), "UTF-8")).when(k % 5 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     files = table(spark, d, "customer").select(F.concat(F.lit("f"), k).alias("path"), content.alias("content"))
     wanted = table(spark, d, "customer").filter(k % 4 == 0).select(F.concat(F.lit("f"), k).alias("path"), F.when(k % 8 == 0, "1,3").otherwise("1-2").alias("selection"))
-    pages = read_pages(files, [("utf8", _utf8_pages), ("western", _western_pages)])
+
+    def reader(encoding):
+        def pages(content: bytes) -> list[str]:
+            if content.startswith(b"%LOCKED"):
+                raise ValueError("locked")
+            return content.decode(encoding).split("\f")
+
+        return pages
+
+    pages = read_pages(files, [("utf8", reader("utf-8")), ("western", reader("cp1252"))])
     good = selected_pages(pages.filter("error is null"), wanted)
     rows = good.unionByName(pages.filter("error is not null"))
     return rows.select("path", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("reader", F.lit("-")).alias("reader"), F.coalesce(F.length("text"), F.lit(0)).alias("characters"), F.col("error").isNotNull().alias("failed"))
