@@ -63,9 +63,9 @@ def message_checklist(spark, d):
     """The points of the checklist that messages fail, some of them cut or changed."""
     k, m = F.col("o_orderkey") % 6, F.col("message")
     changed = F.when(k == 0, F.replace(m, F.lit("UNA"), F.lit("una"))).when(k == 1, F.replace(m, F.lit("SENDER"), F.lit("NOBODY"))).when(k == 2, F.replace(m, F.lit("QTY+21"), F.lit("QTX+21"))).when(k == 3, F.left(m, F.lit(200))).when(k == 4, F.replace(m, F.lit("PIA+5+"), F.lit("PIB+5+")))
-    points = edifact.checklist(F.coalesce(changed, m), "SENDER", "RECEIVER")
-    failed = F.transform(F.filter(points, lambda x: ~x.ok), lambda x: F.concat(x.key, F.when(x.required, "!").otherwise("")))
-    return _messages(spark, d).select("o_orderkey", F.size(points).alias("points"), F.array_join(failed, ",").alias("failed"))
+    rows = _messages(spark, d).select("o_orderkey", edifact.checklist(F.coalesce(changed, m), "SENDER", "RECEIVER").alias("points"))
+    failed = F.transform(F.filter("points", lambda x: ~x.ok), lambda x: F.concat(x.key, F.when(x.required, "!").otherwise("")))
+    return rows.select("o_orderkey", F.size("points").alias("points"), F.array_join(failed, ",").alias("failed"))
 
 
 MESSAGE_CHECKLIST = "WITH " + _MESSAGES + """,
