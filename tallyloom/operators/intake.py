@@ -26,6 +26,7 @@ LINE_FIELDS = {
     "quantity": ("Quantite", "quantite", "quantity", "qty"), "unit_price": ("Prix unitaire", "prix_unitaire_ht", "unit_price", "price"), "amount": ("Montant", "montant_ligne_ht", "amount"),
     "article": ("code_article", "article", "matnr"), "customer_reference": ("Reference client", "customer_reference"), "description": ("Designation", "description", "designation"), "unit": ("Unite", "unit"), "confidence": ("Confiance", "confidence"),
 }
+COMMON = 10000  # fixed value: files of a word that are many
 PARTNERS = ("soldto", "shipto", "billto", "payer")
 
 
@@ -180,7 +181,8 @@ def claimed(jobs: DataFrame, workers: int, job: str = "job_id", at: str = "creat
 def document_paths(orders: DataFrame, uploads: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """(key, path): of orders (key, path, upload_id, file_name) their own path if files (path, name) has it, else their upload's, else that of the first file whose name has theirs in it.
 
-    Names meet by the part before their first dot or underscore, of three letters or more, so that no order meets all files.
+    Names meet by their first word of three letters or more, so that no order meets all files. Words of more than COMMON files that no
+    order asks for are dropped before the files are shuffled by word: they would all come to one task.
     """
     known = files.select(F.col("path").alias("_own")).distinct()
     up = uploads.select("upload_id", F.col("path").alias("_upload")).dropDuplicates(["upload_id"])
@@ -189,6 +191,8 @@ def document_paths(orders: DataFrame, uploads: DataFrame, files: DataFrame, key:
     lacking = rows.filter("_own is null and _upload is null and _name is not null")
     asked = lacking.select(key, "_name", F.get(words("_name"), F.lit(0)).alias("_word"))
     named = files.select(F.lower("name").alias("_file"), F.col("path").alias("_found")).select("_file", "_found", F.explode(F.array_distinct(words(F.col("_file")))).alias("_word"))
+    common = named.groupBy("_word").agg(F.count("*").alias("_n")).filter(F.col("_n") > COMMON).select("_word")
+    named = named.join(F.broadcast(common.join(asked.select("_word").distinct(), "_word", "left_anti")), "_word", "left_anti")  # one word in COMMON files at most
     first = asked.join(named, "_word").filter(F.contains("_file", F.col("_name"))).groupBy(key).agg(F.min_by("_found", "_file").alias("_found"))
     return rows.join(first, key, "left").select(key, F.coalesce("_own", "_upload", "_found").alias("path"))
 
