@@ -6,11 +6,11 @@ import os
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tallyloom.sources import documents as D, outbox, settings, sinks, snapshots as S
 from tallyloom.streaming import flows
-from tallyloom.streaming.jobs import MOVES, Job, Limits, job_moves, moved, outcomes, state_in_rocksdb
+from tallyloom.streaming.jobs import MOVES, Job, Limits, _Machine, job_moves, moved, outcomes, state_in_rocksdb
 
 LIMITS = Limits(processing=100, backoff=10, remembered=1000, attempts=2)
 SECOND = 1_000_000
@@ -190,3 +190,21 @@ def test_reports_hide_and_order(spark):
     rows = spark.createDataFrame([(2, "b", "x", 1), (1, "z", "x", 2), (1, "a", "x", 3)], "k int, n string, source string, v int")
     got = sinks.reported(rows, ["k", "n"])
     assert got.columns == ["k", "n", "v"] and [tuple(x) for x in got.collect()] == [(1, "a", 3), (1, "z", 2), (2, "b", 1)]
+
+
+def test_a_job_costs_few_calls_and_no_frame():
+    calls, row = [], Row("us", "seq", "wanted")
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            return lambda *value: calls.append(name) or (self.value if name == "get" else None)
+
+    machine = _Machine(Limits())
+    machine.handle, machine.job = State(None), State(None)
+    wanted = [row(2_000_000, 2, "PROCESSING"), row(1_000_000, 1, None), row(1_000_000, 1, "RECEIVED")]  # two at one time and place, of which one wants nothing
+    got = [(x.job_id, x.seq, x["at"].timestamp(), x.after, x.accepted) for x in machine.handleInputRows((7,), iter(wanted), None)]
+    assert got == [(7, 1, 1.0, None, False), (7, 1, 1.0, "RECEIVED", True), (7, 2, 2.0, "PROCESSING", True)]
+    assert calls == ["get", "update", "registerTimer"]
