@@ -14,7 +14,7 @@ passes included, shard after shard its quota of them. So quota * width words are
 the last block where the quota was rounded up. Whole documents are taken. A document larger
 than the room that is left is passed over, and the rest go on in the seeded order: in each round those of at most half
 the room, as far as their running sum goes, and where there are none the first of those that fit; the room halves or the
-source is done in each, until no untaken document of any source fits (_filling()).
+source is done in each, until no untaken document of any source fits (_filling()); once FEW or fewer fit, a source's rounds are gone through in one task.
 
 Running sums are taken within ranges of hashes of about RANGE documents, within groups of TOGETHER ranges and over the groups of a source; a source's
 documents, or all of its ranges, never come together in a task. Defined results: size 0 for null or wordless text; such documents are never taken. Documents with
@@ -23,6 +23,8 @@ a null doc_id or source, and repeated rows, are mixed like others, each row by i
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.llm.scratch import Scratch
@@ -37,6 +39,8 @@ SHARDS = 8
 SEED = 20240611
 _ORDER = ("mixed", "doc_id", "size", "rid")  # of the documents of a source
 MAX_SOURCES = 1_000_000  # their targets are worked out in one task
+FEW = 100_000  # documents that still fit, all sources together, whose rounds are gone through a source at a time
+FEW_SOURCES = 50_000  # some 60 bytes each
 
 
 def n_words(text: Column) -> Column:
@@ -121,7 +125,7 @@ def _with_quota(goals: DataFrame, blocks: int) -> DataFrame:
 
 
 def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: int, scratch: Scratch) -> DataFrame:
-    total = goals.agg(F.sum("source_size")).head()[0] or 0
+    n_sources, total = goals.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).head()
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     goals = goals.alias("g").join(counts.alias("c"), F.expr("g.source <=> c.source")).select("g.*", F.ceil(F.col("n") / RANGE).alias("own_blocks"))
     goals = goals.withColumn("quota", F.aggregate("by_shard", F.lit(0).cast("long"), lambda x, y: x + y))
@@ -129,7 +133,7 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     goals = goals.withColumn("limit", F.least("target", F.col("quota") * F.lit(float(total)) / blocks))
     goals = goals.withColumn("passes", F.floor(F.when(F.col("source_size") > 0, F.col("limit") / F.col("source_size")).otherwise(0)))
     goals = goals.withColumn("sid", F.xxhash64(F.col("source").isNull(), "source"))
-    small = F.broadcast(goals) if goals.count() <= 50_000 else goals  # some 60 bytes a source
+    small = F.broadcast(goals) if n_sources <= FEW_SOURCES else goals
     by = [x for x in ("doc_id", "text_hash") if x in rows.columns]
     joined = rows.alias("r").join(small.alias("g"), F.expr("r.source <=> g.source")).select("r.rid", "r.doc_id", "r.size", *(f"r.{x}" for x in by[1:]), "g.*")
     mixed = F.xxhash64(*by, F.lit(seed))  # by text too, where rows have its hash, so that rows with a null or one repeated doc_id do not meet in one block
@@ -142,7 +146,7 @@ def _taken(rows: DataFrame, goals: DataFrame, most: float, blocks: int, seed: in
     extra = F.col("limit") - F.col("passes") * F.col("source_size")
     once_more = F.col("before") + F.col("upto") <= extra
     placed = scratch.keep(placed.select("rid", "doc_id", "size", "sid", "mixed", "block", "source_size", "target", "quota", "by_shard", "passes", (F.col("before") + F.col("upto") - F.col("size")).alias("start"), extra.alias("extra"), once_more.alias("once_more")), "placed")
-    added = _filling(placed, scratch)
+    added = scratch.keep(_filling(placed, n_sources, scratch), "added")
     extra_copy = (F.col("once_more") | F.col("added").isNotNull()).cast("long")
     copies = F.least(F.lit(int(most)), F.col("passes") + extra_copy)
     out = placed.join(F.broadcast(added) if added.count() <= 50_000 else added, "rid", "left")
@@ -167,26 +171,42 @@ def _shards(width: float) -> Column:
     return F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), shard)).otherwise(F.array().cast("array<int>"))
 
 
-def _filling(placed: DataFrame, scratch: Scratch) -> DataFrame:
+def _filled(rows: pd.DataFrame) -> pd.DataFrame:
+    """rid of the documents of one source that fill its room, round by round as in _filling()."""
+    rows = rows.sort_values(["mixed", "id", "size", "rid"], kind="stable")
+    size, room, rid = rows["size"].to_numpy(), rows["room"].iloc[0], rows["rid"].to_numpy()
+    taken, left = np.zeros(len(rows), bool), np.arange(len(rows))
+    while len(left := left[~taken[left] & (size[left] <= room)]):
+        small = left[2 * size[left] <= room]
+        now = small[np.cumsum(size[small]) <= room] if len(small) else left[:1]
+        taken[now] = True
+        room -= size[now].sum()
+    return pd.DataFrame({"rid": rid[taken]})
+
+
+def _filling(placed: DataFrame, n_sources: int, scratch: Scratch) -> DataFrame:
     """(rid, added): what each source takes beyond the first document that did not fit, until nothing fits."""
     room = placed.groupBy("sid").agg(F.first("extra").alias("extra"), F.coalesce(F.sum(F.when(F.col("once_more"), F.col("size"))), F.lit(0)).alias("used")).select("sid", (F.col("extra") - F.col("used")).alias("room"))
     room = scratch.keep(room, "room")
     rest = placed.filter("not once_more and size > 0").select("rid", "sid", "block", *_ORDER[:-1])
     added = placed.select("rid", F.lit(True).alias("added")).limit(0)
     while True:
-        bound = F.broadcast(room) if room.count() <= 50_000 else room
+        bound = F.broadcast(room) if n_sources <= FEW_SOURCES else room
         # what does not fit now never will
         fit = scratch.keep(rest.join(bound, "sid").filter("size <= room"), "fit")
+        n = fit.count()
+        if n == 0:
+            return added
+        if n <= FEW:
+            last = fit.select("sid", "rid", "mixed", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "size", "room")
+            return added.union(last.groupBy("sid").applyInPandas(_filled, "rid long").withColumn("added", F.lit(True)))
         firsts = fit.groupBy("sid").agg(F.min(F.struct(*_ORDER)).alias("x"), F.sum(F.when(2 * F.col("size") <= F.col("room"), 1)).alias("small")).filter("small is null").select(F.col("x.rid").alias("rid"))
         small = fit.filter(2 * F.col("size") <= F.col("room"))
         before = _before(small).join(bound, "sid").filter("before < room").drop("room")
         own = Window.partitionBy("sid", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         reached = small.join(before, ["sid", "block"]).withColumn("upto", F.sum("size").over(own)).filter(F.col("before") + F.col("upto") <= F.col("room"))
-        taken = scratch.keep(reached.select("rid").union(firsts).withColumn("added", F.lit(True)), "filling")
-        n = taken.count()
-        if n == 0:  # only where no row of fit is left: else each source has small ones, the first of which fits, or a first
-            return added
+        taken = scratch.keep(reached.select("rid").union(firsts).withColumn("added", F.lit(True)), "filling")  # some of each source of fit: its first small one, or a first
         added = added.union(taken)
-        known = fit.join(F.broadcast(taken) if n <= 50_000 else taken, "rid", "left")
+        known = fit.join(F.broadcast(taken) if taken.count() <= 50_000 else taken, "rid", "left")
         room = scratch.keep(known.groupBy("sid").agg((F.first("room") - F.coalesce(F.sum(F.when(F.col("added"), F.col("size"))), F.lit(0))).alias("room")), "room")
         rest = known.filter("added is null").select("rid", "sid", "block", *_ORDER[:-1])

@@ -18,7 +18,7 @@ shingles). Groups are the connected components of the links; the smallest doc_id
    only. A family's pairs of blocks are dealt out by their second block, so that many tasks share a large family. What is
    left here grows with the documents that lie close to the threshold in one group of copies, not with the groups.
 
-Every step is a partial aggregation, an equi-join whose large keys Spark can split, or a pass over rows; no bucket is
+Components are found by steps of joins until FEW_LINKS links or fewer are left, which one task settles. Every other step is a partial aggregation, an equi-join whose large keys Spark can split, or a pass over rows; no bucket is
 gathered in a task beyond blocks of bounded size. Defined results: null or wordless text: size 0, linked with nothing, its own group. Null doc_id:
 such rows are left out, as they cannot be named. doc_id must be unique; where it repeats with
 different texts, each row is named by its own set, and the rows of the least class may be compared under either text.
@@ -43,6 +43,7 @@ HUBS, BLOCK = 16, 512
 BLOCK_BYTES = 4 << 20  # of shingle hashes in a block; one longer document is a block of its own
 CELLS = 1 << 22  # of a matrix of sets and shingles
 BROADCAST_ROWS = 500_000  # ids of 8 bytes: at most 4 MB before Spark's hash table
+FEW_LINKS = 200_000  # pairs of ids, at most 3 MB, whose components one task works out
 
 _orders: list[np.ndarray] = []
 
@@ -139,6 +140,23 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, comp) of the links (u, v) of all batches: each step every component takes the least one beside it."""
+    ends = [(x["u"].to_numpy(), x["v"].to_numpy()) for x in batches]
+    if not ends:
+        return
+    u, v = map(np.concatenate, zip(*ends, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label, before = at[: len(u)], at[len(u) :], np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(label, before[x], before[y])
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "comp"])
+
+
 class Components:
     """Connected components of links that come in parts. labels: (node, comp) of the nodes that have any link."""
 
@@ -146,26 +164,40 @@ class Components:
         self.scratch, self.labels = scratch, None
 
     def add(self, links: DataFrame) -> None:
-        """links: (u, v). Each step every component takes the least label beside it, labels are followed to their end, and the links between components that remain go on."""
+        """links: (u, v). Each step every component takes the least label beside it, labels are followed to their end, and the links between components that remain go on, until one task can hold them."""
         if self.labels is not None:
             links = self._relabel(links, self.labels)
         edges = self.scratch.keep(links.filter("u <> v").distinct(), "edges")
-        while not edges.isEmpty():
-            both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select("v", "u"))
-            parent = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp"))
-            kept = self._followed(self.scratch.keep(parent, "parents"))
-            parent = kept.select("node", "comp")
-            rest = self.scratch.keep(self._relabel(edges, parent).filter("u <> v").distinct(), "edges")
-            labels = parent
-            if self.labels is not None:
-                step = parent.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-                moved = self.labels.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-                labels = moved.union(parent.join(self.labels.select("node"), "node", "left_anti"))
-            labels = self.scratch.keep(labels, "labels")
-            self.scratch.drop(edges, kept, *([self.labels] if self.labels is not None else []))
-            self.labels, edges = labels, rest
+        while n := edges.count():
+            if n <= FEW_LINKS:
+                kept = self.scratch.keep(edges.coalesce(1).mapInArrow(_settled, "node long, comp long"), "parents")
+                rest = None
+            else:
+                both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select("v", "u"))
+                parent = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp"))
+                kept = self._followed(self.scratch.keep(parent, "parents"))
+                rest = self.scratch.keep(self._relabel(edges, kept.select("node", "comp")).filter("u <> v").distinct(), "edges")
+            self._moved(kept)
+            self.scratch.drop(edges)
+            if rest is None:
+                return
+            edges = rest
         self.scratch.drop(edges)
 
+    def _moved(self, kept: DataFrame) -> None:
+        """Labels follow kept (node, comp), whose nodes are among their components or new. kept is dropped, or is the labels."""
+        parent = kept.select("node", "comp")
+        if self.labels is None:
+            self.labels = kept if kept.columns == parent.columns else self.scratch.keep(parent, "labels")
+        else:
+            step = parent.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            moved = self.labels.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            labels = self.scratch.keep(moved.union(parent.join(self.labels.select("node"), "node", "left_anti")), "labels")
+            self.scratch.drop(self.labels)
+            self.labels = labels
+        if self.labels is not kept:
+            self.scratch.drop(kept)
+
     def _followed(self, parent: DataFrame) -> DataFrame:
         """Each label replaced by its own label until none changes."""
         while True:
