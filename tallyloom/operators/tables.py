@@ -50,13 +50,16 @@ def table_rows(cells: DataFrame, page: Sequence[str], labels: Mapping[str, str])
     A column belongs to the first label that its heading has; of two columns of one label the left one counts. Pages without a heading have no rows, rows without any labelled cell neither.
     """
     keys = list(page)
+    own, band = Window.partitionBy(*keys), Window.partitionBy(*keys, "band")
     folded = N.fold_text(F.col("text"))
     which = F.coalesce(*(F.when(folded.rlike(pattern), F.lit(name)) for name, pattern in labels.items()))
-    named = cells.withColumn("label", which).filter("label is not null")
-    heads = named.groupBy(*keys, "band").agg(F.count_distinct("label").alias("n")).filter("n >= 2").groupBy(*keys).agg(F.min("band").alias("head"))
-    columns = named.join(heads, keys).filter("band = head").groupBy(*keys, "label").agg(F.min("col").alias("col"), F.first("head").alias("head"))
-    found = cells.join(columns, [*keys, "col"]).filter("band > head")
-    return found.groupBy(*keys, "band").agg(*(F.max(F.when(F.col("label") == name, F.col("text"))).alias(name) for name in labels))
+    rows = cells.select(*keys, "band", "col", "text").filter(" and ".join(f"`{c}` is not null" for c in keys)).withColumn("_label", which)
+    # by windows over a page's cells, so that the cells are worked out once
+    rows = rows.withColumn("_named", F.size(F.collect_set("_label").over(band)) >= 2).withColumn("_head", F.min(F.when(F.col("_named"), F.col("band"))).over(own)).filter("band >= _head")
+    places = {name: f"_at{k}" for k, name in enumerate(labels)}
+    rows = rows.withColumns({at: F.min(F.when((F.col("band") == F.col("_head")) & (F.col("_label") == name), F.col("col"))).over(own) for name, at in places.items()})
+    rows = rows.filter(F.col("band") > F.col("_head")).filter(F.col("col").isin(*map(F.col, places.values())))
+    return rows.groupBy(*keys, "band").agg(*(F.max(F.when(F.col("col") == F.col(at), F.col("text"))).alias(name) for name, at in places.items()))
 
 
 def line_items(rows: DataFrame, page: Sequence[str], article: str = "article", quantity: str = "quantity", price: str = "price") -> DataFrame:

@@ -134,3 +134,12 @@ def test_candidate_fields_and_checklists(spark):
     assert [x.ok for x in ibans.collect()] == [True, True, False, False, None]
     points = spark.createDataFrame([("UNA:+.? 'UNB+UNOC:3+S+R'UNH+1'BGM+220'DTM+137:1'NAD+BY+1'NAD+DP+1'LIN+1'PIA+1'QTY+21'UNZ+1'",), (None,)], "m string").select(edifact.checklist(F.col("m"), "+S+", "+R'").alias("c")).collect()
     assert len(points[0].c) == 13 and all(x.ok for x in points[0].c) and not any(x.ok for x in points[1].c) and [x.required for x in points[0].c] == [True] * 11 + [False] * 2
+
+
+def test_cells_of_a_page_are_worked_out_once(spark):
+    head = [("Ref Qte", 1), ("Qte", 2), ("Prix", 3), ("Prix", 4)]
+    cells = [(1, 1, "ref", 1), *((1, 2, *x) for x in head), (1, 3, "a", 1), (1, 3, "2", 2), (1, 4, "x", 4), (1, 5, "b", 1), (1, 5, "9", 3), (1, 5, "8", 4), (2, 1, "ref", 1), (2, 2, "c", 1), (None, 1, "ref", 1), (None, 1, "qte", 2), (None, 2, "d", 1)]
+    found = T.table_rows(spark.createDataFrame(cells, "page int, band int, text string, col int"), ["page"], {"article": r"\bref\b", "quantity": r"\bqte\b", "price": r"\bprix\b"})
+    assert sorted(map(tuple, found.select("page", "band", "article", "quantity", "price").collect())) == [(1, 3, "a", "2", None), (1, 5, "b", None, "9")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
