@@ -6,6 +6,7 @@ All of it is sweeps by window over a page's own words; a page's rows never meet
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -38,8 +39,8 @@ def table_cells(words: DataFrame, page: Sequence[str], word_gap: float = WORD_GA
     rows = swept(rows, [*keys, "band"], "x0", "x1", word_gap, "piece", ["text"])
     in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "y0", c))), lambda w: w[c]), " ")
     around = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    rows = rows.withColumn("_n", F.max("piece").over(Window.partitionBy(*keys, "band"))).filter(F.col("_n") >= least)  # pieces are numbered from 1
     pieces = rows.groupBy(*keys, "band", "piece").agg(in_order("text").alias("text"), *around)
-    pieces = pieces.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "band"))).filter(F.col("_n") >= least)
     pieces = swept(pieces, keys, "x0", "x1", column_gap, "col", ["band", "piece"])
     return pieces.groupBy(*keys, "band", "col").agg(in_order("text").alias("text"), *around)
 
@@ -55,7 +56,8 @@ def table_rows(cells: DataFrame, page: Sequence[str], labels: Mapping[str, str])
     which = F.coalesce(*(F.when(folded.rlike(pattern), F.lit(name)) for name, pattern in labels.items()))
     rows = cells.select(*keys, "band", "col", "text").filter(" and ".join(f"`{c}` is not null" for c in keys)).withColumn("_label", which)
     # by windows over a page's cells, so that the cells are worked out once
-    rows = rows.withColumn("_named", F.size(F.collect_set("_label").over(band)) >= 2).withColumn("_head", F.min(F.when(F.col("_named"), F.col("band"))).over(own)).filter("band >= _head")
+    several = reduce(Column.__add__, (F.max(F.when(F.col("_label") == name, 1).otherwise(0)).over(band) for name in labels)) >= 2
+    rows = rows.withColumn("_named", several).withColumn("_head", F.min(F.when(F.col("_named"), F.col("band"))).over(own)).filter("band >= _head")
     places = {name: f"_at{k}" for k, name in enumerate(labels)}
     rows = rows.withColumns({at: F.min(F.when((F.col("band") == F.col("_head")) & (F.col("_label") == name), F.col("col"))).over(own) for name, at in places.items()})
     rows = rows.filter(F.col("band") > F.col("_head")).filter(F.col("col").isin(*map(F.col, places.values())))
