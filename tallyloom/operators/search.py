@@ -79,7 +79,7 @@ class Block:
     def __init__(self, rows: pa.Table, points: dict[str, float], kept: dict):
         self.points, self.kept, self.n = points, kept, len(rows)
         column = lambda c: rows[c].combine_chunks()
-        self.ordinal = rows["ordinal"].to_numpy()
+        self.ordinal = rows["ordinal"].to_pylist()
         self.texts = {c: Texts(column(c)) for c in ("name", "street")}
         self.towns = Texts(column("city"))
         self.codes = sorted(set(rows["postal"].to_pylist()))
@@ -126,7 +126,7 @@ class Block:
 
         return self._once("city", text, work)
 
-    def best(self, name: str, street: str, city: str, postal: str, vat: str, often: int, few: int) -> list[int]:
+    def best(self, name: str, street: str, city: str, postal: str, vat: str, often: int, few: int) -> list:
         """Ordinals of the best two rows with any points. A block of at most often rows is scored whole; of at most few texts the rows are taken list by list, of more by a pass over all rows."""
         names, streets, places = self._shared("name", name), self._shared("street", street), self._places(city)
         name_of, street_of = self.texts["name"].ids, self.texts["street"].ids
@@ -212,7 +212,7 @@ class Chunk:
         self.blocks: dict[str, Block] = {}
         self.kept: dict = {}
 
-    def best(self, keys: Iterable[str], often: int, few: int) -> tuple[list[str], list[int]]:
+    def best(self, keys: Iterable[str], often: int, few: int) -> tuple[list[str], list]:
         """Keys (name|street|city|postal|vat|block) and ordinals of the best two rows of each."""
         out_keys, out = [], []
         for key in keys:
